@@ -18,6 +18,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lamina.llm.additive import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("k") % 20 == 0)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("findings")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import quality
 
@@ -25,6 +39,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lamina.llm.balltree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("k") % 100 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
