@@ -49,7 +49,7 @@ def _spans(text: str, pattern: str, kind: int, keep: str = "true") -> Column:
     p = _literal(pattern)
     return _expr(f"""
         CASE WHEN {text} RLIKE {p} THEN aggregate(
-            arrays_zip(split({text}, {p}, -1) AS g, regexp_extract_all({text}, {p}, 0) AS m),
+            zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
             named_struct('at', 0, 'out', CAST(array() AS {SPAN})),
             (a, x) -> named_struct(
                 'at', a.at + length(x.g) + coalesce(length(x.m), 0),
