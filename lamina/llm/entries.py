@@ -38,6 +38,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
+def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archives against a replica in which one page in 97 has a changed byte and one in 1009 lost one."""
+    from pyspark.sql import functions as F
+
+    from lamina.llm.links import cut
+    from lamina.llm.merkle import manifest, report
+
+    pages = _table(spark, sf_dir, "pages")
+    html = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).when(F.col("page_id") % 1009 == 7, F.expr("substring(html, 2)")).otherwise(F.col("html"))
+    return report(cut(manifest(pages)), cut(manifest(pages.withColumn("html", html))))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm import quality
 
@@ -73,5 +85,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Every record hashed anew in both replicas; a record whose bytes agree has moved if an earlier one of its archive changed its length.
+OP6_SQL = """
+WITH pages_two AS (
+    SELECT page_id, url, html, CASE WHEN page_id % 97 = 5 THEN '~' || substring(html, 2) WHEN page_id % 1009 = 7 THEN substring(html, 2) ELSE html END AS theirs
+    FROM pages),
+records AS (
+    SELECT page_id, page_id // 1024 AS archive,
+        concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+            'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS a,
+        concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+            'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(theirs), chr(13), chr(10), chr(13), chr(10), theirs, chr(13), chr(10), chr(13), chr(10)) AS b
+    FROM pages_two),
+placed AS (
+    SELECT page_id, archive, a, b,
+        row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS seq,
+        coalesce(sum(strlen(a)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_a,
+        coalesce(sum(strlen(b)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_b
+    FROM records)
+SELECT page_id, CAST(archive AS BIGINT) AS archive, CAST(0 AS INTEGER) AS part, CAST(seq AS BIGINT) AS seq, CAST(at_a AS BIGINT) AS "offset", CAST(strlen(a) AS BIGINT) AS length, sha256(a) AS sha256,
+    CASE WHEN a <> b THEN 'corrupt' WHEN at_a <> at_b THEN 'shifted' ELSE 'ok' END AS state
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_merkle_audit": OP6_SQL}
