@@ -193,6 +193,6 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
                 parts += [(int(ids[i]), int(k), int(s)) for i in range(len(at)) for k, s in zip(found.key[i], found.score[i], strict=True)]
         return pd.DataFrame(parts, columns=["q", "k", "score"]).astype({"q": "int64", "k": "int64", "score": "int64"})
 
-    told = right.join(floors, "k", "left").fillna({"floor": float("-inf")})
+    told = right.join(floors.withColumnRenamed("k", "asked"), F.col("k") == F.col("asked"), "left").select("k", "v", "s", "g", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).toDF("k", "v", "s", "g", "floor")
     found = left.groupBy("s", "g").cogroup(told.groupBy("s", "g")).applyInPandas(second_pass, "q long, k long, score long")
     return best(found, top).select(F.col("q").alias("query_id"), "rank", F.col("k").alias(key), "score")

@@ -32,6 +32,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lamina.llm.near import join
 
