@@ -1,15 +1,510 @@
-"""Named queries over the driver's tables, each with the SQL that must give the same rows."""
+"""Named queries over the driver's tables, each with the SQL that must give the same rows.
+
+Documents stand in for chunks: ids that are multiples of ten are parents, the others children of the
+multiple below; sources stand in for companies, embeddings are joined by id, events for job logs.
+Queries whose rules carry state from line to line have no SQL; tests hold them against small cases.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lamina.functions import columns as C
+from lamina.operators import checks, chunking, cleaning, jobs, retrieval, skills
+from lamina.sources.files import effective_formats, valid_upload
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+QUESTION = "the of"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    up = F.col("doc_id") % 10
+    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("policy_id"), F.when(up != 0, F.col("doc_id") - up).alias("parent_id"), F.when(up == 0, "parent").otherwise("child").alias("chunk_type"), F.col("text").alias("content"), "embedding", F.upper("source").alias("company_sigla"))
+
+
+def asked(spark: SparkSession, sf: str) -> list[float]:
+    """The query vector: that of vector 0 (one row)."""
+    return list(table(spark, sf, "embeddings").where("vec_id = 0").first().embedding)
+
+
+CHUNKS = """chunks AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 <> 0 THEN doc_id - doc_id % 10 END AS parent_id, CASE WHEN doc_id % 10 = 0 THEN 'parent' ELSE 'child' END AS chunk_type,
+    text AS content, CAST(embedding AS DOUBLE[]) AS e, upper(source) AS sigla FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+asked AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
+scored AS (SELECT id, sigla, list_cosine_similarity(e, q) AS s FROM chunks, asked WHERE e IS NOT NULL)"""
+MATCH = r""",words AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}_]+'), lambda x: x IN ('the', 'of')) AS w FROM chunks),
+matched AS (SELECT id, len(w) AS tf FROM words WHERE len(list_distinct(w)) = 2)"""
+RANKS = """,v AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS vector_rank FROM scored QUALIFY vector_rank <= 60),
+t AS (SELECT id, row_number() OVER (ORDER BY tf DESC, id) AS text_rank FROM matched QUALIFY text_rank <= 60),
+fused AS (SELECT coalesce(v.id, t.id) AS id, vector_rank, text_rank, coalesce(CAST(1.0 AS DOUBLE) / (60 + vector_rank), 0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + text_rank), 0) AS score FROM v FULL JOIN t ON v.id = t.id)"""
+HITS = """,hits AS (SELECT id, parent_id, chunk_type, content, score FROM chunks JOIN (SELECT id, score FROM fused ORDER BY score DESC, id LIMIT 20) USING (id)),
+above AS (SELECT parent_id AS id, max(score) AS score FROM hits WHERE parent_id IS NOT NULL GROUP BY 1),
+resolved AS (SELECT id, score, 0 AS p FROM chunks JOIN above USING (id) WHERE chunk_type = 'parent' UNION ALL SELECT id, score, 1 FROM hits WHERE parent_id IS NULL),
+final AS (SELECT id, score FROM resolved QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) = 1)"""
+
+
+@query(f"WITH {CHUNKS} SELECT id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 5")
+def vector_topk(spark, sf):
+    return retrieval.vector_topk(chunk_table(spark, sf), asked(spark, sf)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM (SELECT id, round(s, 6) AS score FROM scored ORDER BY s DESC, id LIMIT 20) WHERE score >= 0.3")
+def vector_topk_threshold(spark, sf):
+    return retrieval.vector_topk(chunk_table(spark, sf), asked(spark, sf), 50, 0.3).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, round(s, 6) AS score FROM scored WHERE sigla = 'SRC3' ORDER BY s DESC, id LIMIT 5")
+def vector_topk_filtered(spark, sf):
+    chunks = chunk_table(spark, sf)
+    policies = chunks.select("policy_id", "company_sigla")
+    return retrieval.vector_topk(retrieval.filtered(chunks.drop("company_sigla"), policies, sigla="src3"), asked(spark, sf)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CHUNKS}{MATCH} SELECT id, tf FROM matched")
+def text_match_all_terms(spark, sf):
+    return retrieval.match_all(chunk_table(spark, sf), QUESTION)
+
+
+@query(f"WITH {CHUNKS}{MATCH} SELECT id, row_number() OVER (ORDER BY tf DESC, id) AS text_rank FROM matched QUALIFY text_rank <= 60")
+def text_rank_tf(spark, sf):
+    return retrieval.text_ranks(chunk_table(spark, sf), QUESTION).select("id", F.col("text_rank").cast("long").alias("text_rank"))
+
+
+@query()
+def text_rank_cover_density(spark, sf):
+    hits = retrieval.match_postings(retrieval.postings(chunk_table(spark, sf)), QUESTION)
+    return hits.select("id", F.round(retrieval.cover_density("places"), 6).alias("rank"))
+
+
+@query(r"""SELECT w AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1""")
+def postings_terms(spark, sf):
+    index = retrieval.postings(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return index.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS} SELECT id, vector_rank, text_rank, round(score, 9) AS score FROM fused")
+def rrf_fusion(spark, sf):
+    c = chunk_table(spark, sf)
+    f = retrieval.fuse_outer(retrieval.vector_ranks(c, asked(spark, sf)), retrieval.text_ranks(c, QUESTION))
+    return f.select("id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("text_rank").cast("long").alias("text_rank"), F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS} SELECT id, round(score, 9) AS score FROM fused")
+def rrf_fusion_union(spark, sf):
+    c = chunk_table(spark, sf)
+    return retrieval.fuse(retrieval.vector_ranks(c, asked(spark, sf)), retrieval.text_ranks(c, QUESTION)).select("id", F.round("score", 9).alias("score"))
+
+
+def _hits(spark, sf):
+    c = chunk_table(spark, sf)
+    return retrieval.hybrid(c, asked(spark, sf), QUESTION), c
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS}{HITS} SELECT id AS parent_id, round(score, 9) AS score FROM above")
+def parent_max_score(spark, sf):
+    hits, _ = _hits(spark, sf)
+    return hits.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.round(F.max("score"), 9).alias("score"))
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS}{HITS} SELECT id, round(score, 9) AS score FROM final")
+def parent_resolve_dedup(spark, sf):
+    return retrieval.resolve_parents(*_hits(spark, sf)).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS}{HITS} SELECT id, chunk_type, substring(content, 1, 500) AS preview, round(score, 9) AS score FROM final JOIN chunks USING (id)")
+def hybrid_search(spark, sf):
+    out = retrieval.search(chunk_table(spark, sf), asked(spark, sf), QUESTION)
+    return out.select("id", "chunk_type", F.substring("content", 1, 500).alias("preview"), F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {CHUNKS}{MATCH}{RANKS}{HITS} SELECT id, round(score, 9) AS score, 'rrf' AS score_kind FROM final ORDER BY final.score DESC, id LIMIT 3")
+def rerank_mock(spark, sf):
+    return retrieval.rerank(retrieval.search(chunk_table(spark, sf), asked(spark, sf), QUESTION), QUESTION).select("id", F.round("score", 9).alias("score"), "score_kind")
+
+
+@query()
+def rerank_model(spark, sf):
+    """A stand-in for a cross-encoder: the share of the question's terms among the words."""
+    hits = retrieval.search(chunk_table(spark, sf), asked(spark, sf), QUESTION)
+    return retrieval.rerank(hits, QUESTION, scorer=lambda q, c: c.map(lambda t: sum(w in q.split() for w in t.lower().split()) / max(1, len(t.split())))).select("id", F.round("score", 6).alias("score"), "score_kind")
+
+
+LABELLED = """CASE WHEN doc_id % 3 = 0 THEN source || ' | ' || lang WHEN doc_id % 3 = 1 THEN source ELSE 'Chunk #' || doc_id END"""
+
+
+def _labels() -> Column:
+    meta = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("source_file"), F.col("source"), F.lit("Header 2"), F.col("lang"))).when(F.col("doc_id") % 3 == 1, F.create_map(F.lit("policy_number"), F.col("source"), F.lit("Header 1"), F.lit(" "))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    return retrieval.label(meta, F.col("doc_id"))
+
+
+@query(f"SELECT doc_id, {LABELLED} AS label FROM documents")
+def document_label(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _labels().alias("label"))
+
+
+@query(f"""SELECT string_agg({LABELLED} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, doc_id) AS context, count(*) AS n_hits
+    FROM (SELECT *, 1.0 / (1 + doc_id) AS score FROM documents ORDER BY doc_id LIMIT 5)""")
+def context_string(spark, sf):
+    few = table(spark, sf, "documents").orderBy("doc_id").limit(5)
+    return retrieval.context(few.select(F.col("doc_id").alias("id"), _labels().alias("label"), F.col("text").alias("content"), (F.lit(1.0) / (1 + F.col("doc_id"))).alias("score")))
+
+
+@query(f"SELECT 'nothing here' AS question, '{retrieval.NO_HITS}' AS answer, false AS found")
+def answer_without_hits(spark, sf):
+    none = retrieval.match_all(chunk_table(spark, sf), "qqqq zzzz").select("id", F.col("tf").alias("score"), F.lit("").alias("label"), F.lit("").alias("content"))
+    return retrieval.answer(none, "nothing here")
+
+
+def _hashed(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "lang", jobs.file_hash(F.col("text")).alias("file_hash"))
+
+
+@query("SELECT sha256(text) AS file_hash, min(lang) AS lang FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY 1")
+def ingest_new(spark, sf):
+    d = _hashed(spark, sf)
+    return jobs.new_documents(d, d.where("lang = 'en'").select("file_hash")).groupBy("file_hash").agg(F.min("lang").alias("lang"))
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0)")
+def ingest_skipped(spark, sf):
+    d = _hashed(spark, sf)
+    return jobs.skipped_documents(d, d.where("doc_id % 7 = 0")).select("doc_id", "file_hash")
+
+
+@query("SELECT sha256(text) AS file_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def file_hash_dups(spark, sf):
+    return jobs.duplicates(_hashed(spark, sf))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'SKIPPED' ELSE 'COMPLETED' END AS state, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(text) // 5000 + 1 END AS n_chunks
+    FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents GROUP BY sha256(text) HAVING count(*) > 1)""")
+def ingest_report(spark, sf):
+    d = table(spark, sf, "documents").withColumn("file_hash", jobs.file_hash(F.col("text")))
+    d = d.join(jobs.duplicates(d), "file_hash", "left_anti")
+    pieces = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.expr("cast(length(text) div 5000 as int)"))).alias("n"))
+    return jobs.report(d, d.where("doc_id % 7 = 0"), pieces)
+
+
+#: Events as job states.
+STATUS = "CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'view' THEN 'SKIPPED' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'FAILED' ELSE 'PROCESSING' END"
+
+
+def _jobs(spark, sf):
+    return table(spark, sf, "events").select("event_id", "ts", "user_id", "value", F.expr(STATUS).alias("status"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER ({STATUS} IN ('COMPLETED', 'SKIPPED')) AS succeeded, count(*) FILTER ({STATUS} = 'FAILED') AS failed FROM events")
+def job_counts(spark, sf):
+    return jobs.job_counts(_jobs(spark, sf))
+
+
+@query(f"""WITH last AS (SELECT user_id, {STATUS} AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT greatest(count(*), (SELECT count(*) FROM documents)) AS total, count(*) FILTER (status IN ('COMPLETED', 'SKIPPED')) AS succeeded, count(*) FILTER (status = 'FAILED') AS failed, (SELECT count(*) FROM documents) AS policies FROM last""")
+def job_reconcile(spark, sf):
+    return jobs.reconciled(jobs.job_counts(jobs.latest(_jobs(spark, sf), "user_id")), table(spark, sf, "documents"))
+
+
+@query("SELECT round(avg(value), 6) AS mean_value, count(*) AS n FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)")
+def recent_mean_duration(spark, sf):
+    return jobs.recent_mean(table(spark, sf, "events"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE contains(event_type, 'ic') ORDER BY ts DESC, event_id DESC LIMIT 50")
+def log_tail(spark, sf):
+    return jobs.tail(table(spark, sf, "events"), "ic", 50, "event_type").select("event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 3")
+def last_events_per_user(spark, sf):
+    return jobs.ranked_last(table(spark, sf, "events"), "user_id", 3).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS successful, count(*) FILTER (quality = 0) AS failed FROM labels")
+def extract_status_totals(spark, sf):
+    status = F.when(F.col("quality") == 1, "success").otherwise("failed")
+    return table(spark, sf, "labels").select(status.alias("s")).agg(F.count("*").alias("total"), F.count_if(F.col("s").isin("success", "partial")).alias("successful"), F.count_if(F.col("s") == "failed").alias("failed"))
+
+
+@query("SELECT doc_id, substring(text, 1, 500) AS preview, strlen(text) AS size_bytes FROM documents")
+def preview(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 500).alias("preview"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'json,markdown' ELSE 'markdown' END AS formats FROM documents")
+def effective_format_lists(spark, sf):
+    asked_for = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("all"), F.lit("json"))).otherwise(F.array(F.lit("markdown"), F.lit("Markdown")))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(effective_formats(asked_for), ",").alias("formats"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'CRI' WHEN p_partkey % 4 = 1 THEN 'ALI' END AS sigla, p_partkey % 4 < 2 AS valid FROM part")
+def sigla_from_path(spark, sf):
+    k = F.col("p_partkey")
+    path = F.when(k % 4 == 0, F.concat(F.lit("/data/cri/"), k, F.lit(".PDF"))).when(k % 4 == 1, F.concat(F.lit("in/ALI/CRI/"), k, F.lit(".pdf"))).otherwise(F.concat(F.lit("/other/"), k, F.lit(".txt")))
+    return table(spark, sf, "part").select("p_partkey", skills.sigla_of_path(path).alias("sigla"), valid_upload(path).alias("valid"))
+
+
+@query("SELECT company_sigla, length(company_sigla) AS n FROM (VALUES ('ALI'), ('ALV'), ('BIS'), ('FOV'), ('CRI'), ('CRG'), ('CRP'), ('FOR'), ('LBC'), ('LBP'), ('VIT'), ('MSC'), ('NPF'), ('NVS'), ('UNI'), ('UBI')) t(company_sigla)")
+def company_registry(spark, sf):
+    return skills.registry(spark).select("company_sigla", F.length("company_sigla").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 3000.0) AS BIGINT) AS n_pages, substring(text, 3001, 40) AS second_start FROM documents WHERE length(text) > 0 AND text NOT LIKE '%' || chr(10) || '---' || chr(10) || '%'")
+def page_split_fixed(spark, sf):
+    p = C.pages(F.col("text"))
+    d = table(spark, sf, "documents").where((F.length("text") > 0) & ~F.col("text").contains("\n---\n"))
+    return d.select("doc_id", F.size(p).cast("long").alias("n_pages"), F.coalesce(F.substring(F.get(p, 1), 1, 40), F.lit("")).alias("second_start"))
+
+
+PAGED = r"""p AS (SELECT doc_id, CAST(ceil(length(text) / 400.0) AS BIGINT) AS total, unnest(range(CAST(ceil(length(text) / 400.0) AS BIGINT))) AS page, text FROM documents),
+l AS (SELECT doc_id, total, page, string_split(regexp_replace(regexp_replace(substring(text, CAST(page * 400 + 1 AS BIGINT), 400), '^\s+', ''), '\s+$', ''), chr(10)) AS ls FROM p WHERE total >= 3),
+e AS (SELECT DISTINCT doc_id, total, page, regexp_replace(regexp_replace(unnest(list_concat(ls[1:3], ls[greatest(1, len(ls) - 2):])), '^\s+', ''), '\s+$', '') AS line FROM l),
+again AS (SELECT doc_id, line, count(*) AS n_pages FROM e WHERE length(line) > 3 GROUP BY doc_id, total, line HAVING count(*) >= greatest(2, floor(total * 0.3)))"""
+
+
+@query(f"WITH {PAGED} SELECT * FROM again")
+def repeated_lines(spark, sf):
+    return cleaning.repeated(table(spark, sf, "documents"), share=0.3, page_size=400)
+
+
+@query(f"""WITH {PAGED}, x AS (SELECT d.doc_id, string_split(rtrim(text, chr(10)), chr(10)) AS ls, coalesce(a, []) AS a FROM documents d LEFT JOIN (SELECT doc_id, list(line) AS a FROM again GROUP BY 1) USING (doc_id))
+SELECT doc_id, CAST(len(list_filter(ls, lambda y: list_contains(a, regexp_replace(regexp_replace(y, '^\\s+', ''), '\\s+$', '')))) AS INTEGER) AS n_removed FROM x""".replace("\\\\s", "\\s"))
+def remove_repeated_lines(spark, sf):
+    return cleaning.without_repeated(table(spark, sf, "documents"), share=0.3, page_size=400).select("doc_id", "n_removed")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 3 <> 0 AS is_page_number FROM lineitem")
+def page_number_lines(spark, sf):
+    k, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    text = F.when(n % 3 == 0, F.concat(F.lit("Page "), k)).when(n % 3 == 1, F.concat(F.lit("PÁGINA 3 de "), k)).otherwise(F.concat(F.lit("pág. 2 / "), k))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.rlike(C.PAGE_NUMBER).alias("is_page_number"))
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN trim(t, chr(10) || ' ') = '' THEN '' ELSE regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') || chr(10) END) AS digest, length(t) AS n
+    FROM (SELECT doc_id, regexp_replace(replace(replace(text, '. ', '.' || repeat(chr(10), 5)), chr(13), chr(10)), '\n{4,}', repeat(chr(10), 3), 'g') AS t FROM documents)""")
+def normalize_newlines_blank(spark, sf):
+    spread = F.replace(F.col("text"), F.lit(". "), F.lit(".\r\n\r\n\n\r\r"))
+    t = C.newlines(spread)
+    return table(spark, sf, "documents").select("doc_id", F.md5(C.fewer_blanks(t)).alias("digest"), F.length(F.regexp_replace(t, r"\n{4,}", "\n\n\n")).cast("long").alias("n"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: lower(regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g'))) AS b,
+    list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: regexp_matches(trim(x), '^(#|\||```|<!--|\*|-|>)')) AS m FROM documents),
+i AS (SELECT doc_id, b, m, unnest(range(1, len(b) + 1)) AS i FROM b),
+g AS (SELECT doc_id, length(b[i]) >= 15 AND NOT m[i] AND len(list_filter(b[greatest(1, i - 10):i + 11], lambda n: length(n) > length(b[i]) AND length(n) >= length(b[i]) * 1.15 AND contains(n, b[i]))) > 0 AS ghost FROM i)
+SELECT doc_id, CAST(count(*) FILTER (ghost) AS INTEGER) AS n_ghosts FROM g GROUP BY doc_id""")
+def paragraph_dedup_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", cleaning.ghost_lines(F.col("text")).alias("n_ghosts"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(string_split(rtrim(t, chr(10)), chr(10)), lambda x: regexp_matches(trim(x), '(\S ){3}') AND len(list_filter(string_split(trim(x), ' '), lambda p: length(p) = 1)) / len(string_split(trim(x), ' ')) >= 0.4)) AS INTEGER) AS n_spaced
+    FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'P ó l i z a 12' || chr(10) || text ELSE text END AS t FROM documents)""")
+def spaced_line_detector(spark, sf):
+    t = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("P ó l i z a 12\n"), "text")).otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", cleaning.spaced_lines(t).alias("n_spaced"))
+
+
+def _forms(spark, sf) -> DataFrame:
+    """Markdown made of the documents' own words: a spaced heading, form fields, a merged table, page numbers."""
+    head = F.concat_ws("\n", F.lit("# I n f o r m e"), F.concat(F.lit("Póliza: ABC-"), F.lpad("doc_id", 6, "0"), F.lit("  Vigencia: 2024")), F.concat(F.lit("Agente: "), "source"), F.lit(""), F.lit("| A | B | B |"), F.lit("|---|---|---|"), F.concat(F.lit("| "), "lang", F.lit(" | x | x |")), F.lit("| | DESCRIPCIÓN DE COBERTURAS | |"), F.lit("| Código | Coberturas | |"), F.lit("| 1 | Muerte | |"), F.lit("Página 1 de 3"), F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", F.concat(head, "text").alias("text"), F.concat(F.lit("doc"), "doc_id", F.lit(".pdf")).alias("name"))
+
+
+def _rule_query(name: str):
+    def run(spark, sf):
+        return _forms(spark, sf).select("doc_id", cleaning.rule(name, F.col("text")).alias("text"))
+
+    run.__name__ = {"unspace": "spaced_text_fix", "format_forms": "kv_format", "clean_tables": "table_clean", "drop_ghosts": "paragraph_dedup"}[name]
+    return query()(run)
+
+
+for _name in ("unspace", "format_forms", "clean_tables", "drop_ghosts"):
+    _rule_query(_name)
+
+
+@query()
+def post_process_all(spark, sf):
+    return cleaning.post_process(_forms(spark, sf)).select("doc_id", "text", F.to_json("context").alias("context"))
+
+
+@query()
+def company_rules(spark, sf):
+    from lamina.functions.rules import CompanyRules
+
+    own = CompanyRules("CRI", kv_keys=("Ramo", "Póliza"), header_patterns=(r"^Agente", "["), table_split_hints=(r"^# ",), fixes=({"header_pattern": ["A", "B"], "expected_columns": 4, "insert_at_index": 1, "fill_value": "copy_previous"},))
+    return cleaning.post_process(_forms(spark, sf), company=own).select("doc_id", "text")
+
+
+@query(r"""SELECT lower(trim(k)) AS key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(t, '(?m)^\s*\**([\p{L}][\p{L} ]{2,40}?)\**\s*:', 1)) AS k FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'Vigencia: 1' || chr(10) || 'Ramo: x' || chr(10) ELSE 'Producto : y' || chr(10) END || text AS t FROM documents)) GROUP BY 1 ORDER BY n DESC, key LIMIT 30""")
+def kv_key_frequency(spark, sf):
+    return skills.key_counts(_keyed(spark, sf))
+
+
+def _keyed(spark, sf) -> DataFrame:
+    lead = F.when(F.col("doc_id") % 2 == 0, F.lit("Vigencia: 1\nRamo: x\n")).otherwise(F.lit("Producto : y\n"))
+    return table(spark, sf, "documents").select(F.concat(lead, "text").alias("text"))
+
+
+@query("SELECT key, n FROM (" + SQL["kv_key_frequency"] + ") WHERE key NOT IN ('ramo')")
+def kv_key_gaps(spark, sf):
+    return skills.key_gaps(skills.key_counts(_keyed(spark, sf)), spark.createDataFrame([("Ramo",)], "key string"))
+
+
+@query(r"""SELECT doc_id, 'ABC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS policy_code, CAST(2 AS BIGINT) AS n FROM documents""")
+def policy_code_mode(spark, sf):
+    code = F.lpad(F.col("doc_id").cast("string"), 6, "0")
+    return chunking.policy_codes(table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ABC - "), code, F.lit(" ZZ-9999 ABC-"), code, F.lit(" x")).alias("text")))
+
+
+def _chunks(spark, sf):
+    return chunking.chunks(_forms(spark, sf), name=F.col("name"))
+
+
+@query()
+def chunk_parents(spark, sf):
+    return _chunks(spark, sf).where("chunk_type = 'parent'").select("doc_id", "chunk_index", "content", "chunk_id")
+
+
+@query()
+def chunk_children(spark, sf):
+    return _chunks(spark, sf).where("chunk_type = 'child'").select("doc_id", "chunk_index", "content", "parent_id")
+
+
+@query()
+def chunk_stats(spark, sf):
+    return chunking.stats(_chunks(spark, sf))
+
+
+@query("SELECT doc_id, length(text) > 0 AS has_text, CAST(1 AS BIGINT) AS n_tables FROM documents")
+def table_chunks(spark, sf):
+    n = _chunks(spark, sf).where(F.contains("content", F.lit("| --- |")) | F.contains("content", F.lit("|---|"))).groupBy("doc_id").agg(F.count("*").alias("n_tables"))
+    return table(spark, sf, "documents").join(n, "doc_id").select("doc_id", (F.length("text") > 0).alias("has_text"), "n_tables")
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '001' ELSE concat_ws(',',
+    CASE WHEN length(trim(regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', ''))) = 0 THEN '010' WHEN length(regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '')) < 50 THEN '011' END,
+    CASE WHEN length(t) / (1 + doc_id % 20) < 100 THEN '020' END, CASE WHEN length(t) > 1000 AND NOT contains(t, chr(10) || '#') THEN '030' END, CASE WHEN doc_id % 13 = 0 THEN '050' END) END AS codes
+    FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS t FROM documents)""")
+def val_codes(spark, sf):
+    k = F.col("doc_id")
+    codes = checks.validation_codes(F.when(k % 11 == 0, "failed").otherwise("success"), F.when(k % 17 == 0, F.lit(" ")).otherwise(F.col("text")), 1 + k % 20, F.lit(0), F.when(k % 13 == 0, F.array(F.lit("e"))))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(codes, ",").alias("codes"))
+
+
+STRIPPED = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+LINES = f"list_transform(string_split(rtrim(text, chr(10)), chr(10)), lambda x: {STRIPPED.format('x')})"
+
+
+@query(f"SELECT doc_id, CASE WHEN length({STRIPPED.format('text')}) > 100 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
+def fid_not_empty(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", checks.not_empty(F.col("text")).alias("score"))
+
+
+@query(r"""SELECT doc_id, least(1.0, len(regexp_extract_all(replace(text, '. ', chr(10) || '# '), '(?m)^#{1,6}\s+.+')) / 5.0)::DOUBLE AS score FROM documents""")
+def fid_headings(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", checks.headings(F.replace(F.col("text"), F.lit(". "), F.lit("\n# "))).alias("score"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN len(f) < 20 THEN 1.0 ELSE round(1.0 - len(list_filter(f, lambda x: length(x) < 20)) / len(f), 6) END::DOUBLE AS score FROM (SELECT doc_id, list_filter({LINES}, lambda x: x <> '') AS f FROM documents)""")
+def fid_column_mixing(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(checks.column_mixing(F.col("text")), 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM documents")
+def fid_table_integrity(spark, sf):
+    good, bad = "| a | b |\n|---|---|\n| 1 | 2 |\n\n", "| a | b |\n|---|---|\n| 1 |\n\n"
+    t = F.when(F.col("doc_id") % 2 == 0, F.lit(good + "x\n")).otherwise(F.lit(good + bad))
+    return table(spark, sf, "documents").select("doc_id", checks.table_integrity(t).alias("score"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) > 10) AS l FROM documents), n AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(l) AS x FROM l) GROUP BY 1, 2),
+c AS (SELECT doc_id, round(1.0 - count(*) FILTER (n > 5) / count(*), 6) AS s FROM n GROUP BY 1)
+SELECT doc_id, coalesce(s, 1.0)::DOUBLE AS score FROM documents LEFT JOIN c USING (doc_id)""")
+def fid_no_duplicates(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(checks.repeated_lines(F.col("text")), 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN round(least(1.0, length(text) / (doc_id % 4) / 500.0), 6) WHEN length(text) > 200 THEN 1.0 ELSE 0.3 END::DOUBLE AS score FROM documents")
+def fid_density(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(checks.density(F.col("text"), F.col("doc_id") % 4), 6).alias("score"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '')) AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+n AS (SELECT doc_id, len(list_intersect(a, b)) / len(a) AS p, len(list_intersect(a, b)) / len(b) AS r FROM w)
+SELECT doc_id, CASE WHEN p + r = 0 THEN 0.0 ELSE round(2 * p * r / (p + r), 6) END AS score FROM n""")
+def fid_reference_f1(spark, sf):
+    ref = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
+    d = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40).join(ref, "item_id")
+    return d.select("doc_id", F.round(checks.overlap_f1(F.col("text"), F.col("reference")), 6).alias("score"))
+
+
+@query()
+def fid_report(spark, sf):
+    return checks.fidelity_report(checks.fidelity(table(spark, sf, "documents")))
+
+
+@query("""SELECT doc_id, count(*) AS n_pages, round(avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END), 6) AS scanned_share,
+    CASE WHEN avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END) = 0 THEN 'digital' WHEN avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'scanned' ELSE 'hybrid' END AS pdf_type
+    FROM (SELECT page_id // 4 AS doc_id, length(html) % 150 AS n FROM pages) GROUP BY 1""")
+def pdf_type_class(spark, sf):
+    return checks.document_types(table(spark, sf, "pages").select(F.expr("page_id div 4").alias("doc_id"), (F.length("html") % 150).alias("n_chars")))
+
+
+@query("""WITH t AS (SELECT doc_id, CAST(doc_id % 60 AS INTEGER) AS n FROM documents)
+SELECT doc_id, CASE WHEN n <= 10 THEN array_to_string(range(n), ',') ELSE array_to_string(list_sort(list_distinct(list_concat([0, 1, 2], list_filter(list_transform(range(5), lambda i: 3 + i * greatest(1, (n - 5) // 6)), lambda i: i < n - 2), [n - 2, n - 1]))), ',') END AS sample FROM t""")
+def page_sample(spark, sf):
+    n = (F.col("doc_id") % 60).cast("int")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(checks.sampled_pages(n), lambda i: i.cast("string")), ",").alias("sample"))
+
+
+@query("""SELECT * FROM (VALUES ('CRI', 'Póliza,Ramo,Vigencia', 'x,y', true), ('ALI', 'Póliza,Ramo', 'x', false)) t(sigla, kv_keys, header_patterns, normalize_dates)""")
+def skill_merge(spark, sf):
+    fields = "sigla string, estado string, kv_keys array<string>, header_patterns array<string>, normalize_dates boolean"
+    general = spark.createDataFrame([("GENERAL", "activo", ["Póliza", "Ramo"], ["x"], True)], fields)
+    own = spark.createDataFrame([("CRI", "draft", ["Ramo", "Vigencia"], ["y", "x"], False), ("ALI", "activo", [], [], False)], fields)
+    m = skills.merge_tables(general, own)
+    return m.select("sigla", F.array_join("kv_keys", ",").alias("kv_keys"), F.array_join("header_patterns", ",").alias("header_patterns"), "normalize_dates")
+
+
+@query()
+def stream_ingest(spark, sf):
+    """Documents as a stream of files, each text stored once; the result is read back from the store."""
+    import uuid
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/stream-{uuid.uuid4().hex}"
+    from lamina.streaming.ingest import ingest
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ingest(spark, f"{sf}/documents.parque[t]", schema, folder, f"{folder}/_state").awaitTermination()
+    return spark.read.parquet(f"{folder}/documents").select("doc_id", "file_hash", "batch")
+
+
+def _own_folder() -> str:
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="lamina-stream-")
