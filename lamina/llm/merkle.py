@@ -34,7 +34,7 @@ def record(key: str, url: str, body: str) -> Column:
 def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
     """(key, archive, part, seq, offset, length, sha256) of each record."""
     rec = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k"), record(key, url, body).alias("r"))
-    rows = rec.select("k", F.expr(f"k div {per_archive}").alias("archive"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
+    rows = rec.select("k", F.expr(f"(k - pmod(k, {per_archive})) div {per_archive}").alias("archive"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
     most = 4 * per_archive
     large = rows.groupBy("archive").agg(F.count("*").alias("n")).where(F.col("n") > most)
     rows = rows.withColumn("salt", F.monotonically_increasing_id()).join(large, "archive", "left")

@@ -143,6 +143,8 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarr
         m = np.zeros((len(sets), min(width, n - at)), np.float32)
         m[owner[lo:hi], cols[lo:hi] - at] = 1
         out += m[: len(a)] @ (m[len(a) :] if b else m).T
+    if b is None:  # elements of one set only were left out above
+        np.fill_diagonal(out, [len(s) for s in a])
     return out
 
 
