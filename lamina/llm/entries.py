@@ -115,5 +115,57 @@ FROM placed
 """
 
 
+def _spans_sql(kind: int, pattern: str, keep: str = "true") -> str:
+    """Matches of a pattern with positions: lengths of the gaps and matches before them, summed."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {kind} AS kind, CAST(pre + g AS BIGINT) AS a, CAST(pre + g + length(m) AS BIGINT) AS b FROM (
+        SELECT doc_id, m, length(g) AS g, coalesce(sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+        FROM (SELECT doc_id, unnest(string_split_regex(t, {p})) AS g, unnest(regexp_extract_all(t, {p})) AS m, generate_subscripts(string_split_regex(t, {p}), 1) AS i FROM texts)) WHERE m IS NOT NULL AND {keep}"""
+
+
+def _secrets_sql() -> str:
+    from lamina.llm import secrets as S
+
+    value = S.ASSIGN_VALUE.replace("'", "''")
+    # RE2 has no look-around: a bare key is a whole run of its letters
+    key = "length(m) = 40 AND regexp_full_match(m, '[A-Za-z0-9+/]+') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"
+    parts = [_spans_sql(0, S.ASSIGN, f"length(regexp_extract(m, '{value}', 1)) >= 6"), _spans_sql(1, S.ACCESS), _spans_sql(2, S.HEX), _spans_sql(3, "[A-Za-z0-9+/=_-]+", key), _spans_sql(4, S.ACCOUNT), _spans_sql(5, S.ENDPOINT)]
+    names = "['" + "', '".join(S.KINDS) + "']"
+    listed = f"string_agg({names}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b)"
+    return f"""
+WITH texts AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+ends AS ({_spans_sql(-1, S.SCOPE_END)}),
+placed AS (SELECT *, (SELECT count(*) FROM ends e WHERE e.doc_id = p.doc_id AND e.a <= p.a) AS scope FROM parts p),
+linked AS (SELECT DISTINCT w.doc_id, w.kind, w.a, w.b FROM placed w JOIN placed o ON o.doc_id = w.doc_id AND o.scope = w.scope AND greatest(o.a - w.b, w.a - o.b) <= 400
+    WHERE (w.kind = 3 AND o.kind IN (1, 4, 5) OR w.kind IN (4, 5) AND o.kind IN (0, 2, 3))
+    AND NOT EXISTS (SELECT 1 FROM parts b WHERE b.doc_id = w.doc_id AND b.kind < 3 AND b.a < w.b AND w.a < b.b)),
+base AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {listed} AS s FROM parts WHERE kind < 3 GROUP BY 1),
+whole AS (SELECT doc_id, {listed} AS s FROM (SELECT doc_id, kind, a, b FROM parts WHERE kind < 3 UNION ALL SELECT * FROM linked) GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base.s, '')) AS base_sha256, coalesce(whole.s, '') AS spans
+FROM documents d LEFT JOIN base USING (doc_id) LEFT JOIN whole USING (doc_id)
+"""
+
+
+#: All pairs that share a five-word shingle, their exact similarity, and the transitive closure of the links.
+OP5_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+flat AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM sets),
+met AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT i, j FROM met JOIN sets a ON a.doc_id = i JOIN sets b ON b.doc_id = j WHERE n >= 0.8 * (len(a.s) + len(b.s) - n) - 1e-9
+    UNION SELECT a.doc_id, b.doc_id FROM words a JOIN words b ON a.t = b.t AND a.doc_id <> b.doc_id),
+reach AS (SELECT doc_id, doc_id AS v FROM documents UNION SELECT r.doc_id, l.j FROM reach r JOIN links l ON l.i = r.v)
+SELECT doc_id, min(v) AS class_id, (SELECT count(*) FROM links WHERE i = doc_id) AS links FROM reach GROUP BY doc_id
+"""
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_merkle_audit": OP6_SQL}
+    return {"op3_secrets": _secrets_sql(), "op5_jaccard_join": OP5_SQL, "op6_merkle_audit": OP6_SQL, "op8_ball_tree": OP8_SQL}

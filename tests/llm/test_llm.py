@@ -477,6 +477,22 @@ def test_merkle_roots_follow_the_bytes(spark):
 # -- the whole ---------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_query_against_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = entries.queries()[name](spark, sf)
+    found = con.execute(entries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    cols = sorted(got.columns)
+    assert sorted(names) == cols
+    want = sorted(tuple(r[names.index(c)] for c in cols) for r in found.fetchall())
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == want
+
+
 def test_every_operator_is_registered():
     names = list(entries.queries())
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == []
@@ -507,8 +523,9 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         if k in heads:
             at, out = 0, ""
             for a, _, b in all_spans(t, 400):
-                out += t[at:a] + "[SECRET]"
-                at = b
+                if b > at:
+                    out += t[at:a] + "[SECRET]"
+                    at = b
             want[k] = len(lib.encode(out + t[at:], add_special_tokens=False).ids) + 1
     assert {int(k): int(n) for k, n in got.groupby("doc_id").length.sum().items()} == want
     assert 8 not in want and 5 not in want and 6 not in want and 4 in want
