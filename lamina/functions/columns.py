@@ -11,6 +11,11 @@ PAGE_NUMBER = r"(?iu)^(página|page|pág\.?|p\.?)\s*\d+\s*(de|of|/)\s*\d+$"
 PAGE_BREAK = r"\n---\n|\n\*\*\*\n|<!-- page break -->"
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. What a lambda only refers to from outside is computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -39,9 +44,9 @@ def words(c: Column) -> Column:
 
 def pages(c: Column, size: int = 3000) -> Column:
     """Pages at breaks; a text without breaks in slices of ``size`` characters."""
-    cut = F.split(c, PAGE_BREAK, -1)
-    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / size).cast("int") - 1)), lambda i: F.substring(c, i * size + 1, F.lit(size)))
-    return F.when(F.size(cut) > 1, cut).otherwise(slices)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / size).cast("int") - 1))
+    slices = F.transform(starts, lambda i: F.substring(c, i * size + 1, F.lit(size)))
+    return F.when(c.rlike(PAGE_BREAK), F.split(c, PAGE_BREAK, -1)).otherwise(slices)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.columns import lines, ratio, strip
+from lamina.functions.columns import bind, lines, ratio, strip
 
 
 def validation_codes(status: Column, text: Column, pages: Column, tables: Column, errors: Column) -> Column:
@@ -34,28 +34,33 @@ def headings(text: Column) -> Column:
     return F.least(F.lit(1.0), F.regexp_count(text, F.lit(r"(?m)^#{1,6}\s+.+")) / 5.0)
 
 
-def short_line_share(text: Column, short: int = 20) -> Column:
-    filled = _filled(text)
+def short_line_share(filled: Column, short: int = 20) -> Column:
     return ratio(F.size(F.filter(filled, lambda x: F.length(strip(x)) < short)), F.size(filled))
 
 
 def column_mixing(text: Column) -> Column:
     """1 less the share of short lines; texts under 20 lines count as whole."""
-    return F.when(F.size(_filled(text)) < 20, 1.0).otherwise(1.0 - short_line_share(text))
+    return bind(_filled(text), lambda f: F.when(F.size(f) < 20, 1.0).otherwise(1.0 - short_line_share(f)))
 
 
 def table_integrity(text: Column) -> Column:
     """Share of tables (rows, a delimiter row, more rows) whose rows all have as many bars; 1 without tables."""
-    tables = F.regexp_extract_all(text, F.lit(r"((?:\|.+\|\n)+(?:\|[-:| ]+\|\n)(?:\|.+\|\n)*)"), F.lit(1))
-    sound = F.filter(tables, lambda t: F.size(F.array_distinct(F.transform(lines(t), lambda r: F.regexp_count(r, F.lit(r"\|"))))) == 1)
-    return F.when(F.size(tables) == 0, 1.0).otherwise(ratio(F.size(sound), F.size(tables)))
+    found = F.regexp_extract_all(text, F.lit(r"((?:\|.+\|\n)+(?:\|[-:| ]+\|\n)(?:\|.+\|\n)*)"), F.lit(1))
+    sound = lambda t: F.size(F.array_distinct(F.transform(lines(t), lambda r: F.regexp_count(r, F.lit(r"\|"))))) == 1
+    share = bind(found, lambda ts: F.when(F.size(ts) == 0, 1.0).otherwise(ratio(F.size(F.filter(ts, sound)), F.size(ts))))
+    return F.when(text.contains("|\n|"), share).otherwise(1.0)
 
 
 def repeated_lines(text: Column, often: int = 5) -> Column:
     """1 less the share of distinct long lines that occur more than ``often`` times: in sorted lines those stand ``often`` places apart."""
     long = F.array_sort(F.filter(F.transform(lines(text), strip), lambda x: F.length(x) > 10))
-    many = F.array_distinct(F.filter(F.transform(long, lambda x, i: F.when(x == F.get(long, i + often), x)), lambda x: x.isNotNull()))
-    return F.when(F.size(long) == 0, 1.0).otherwise(1.0 - ratio(F.size(many), F.size(F.array_distinct(long))))
+
+    def score(s: Column) -> Column:
+        apart = F.zip_with(F.slice(s, 1, F.greatest(F.lit(0), F.size(s) - often)), F.slice(s, often + 1, F.greatest(F.lit(0), F.size(s) - often)), lambda x, y: F.when(x == y, x))
+        many = F.array_distinct(F.array_compact(apart))
+        return F.when(F.size(s) == 0, 1.0).otherwise(1.0 - ratio(F.size(many), F.size(F.array_distinct(s))))
+
+    return bind(long, score)
 
 
 def density(text: Column, pages: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import rules as R
-from lamina.functions.columns import PAGE_NUMBER, fewer_blanks, lines, newlines, pages, strip
+from lamina.functions.columns import PAGE_NUMBER, bind, fewer_blanks, lines, newlines, pages, strip
 
 RESULT = "text string, applied array<string>, errors array<string>, counts map<string,int>"
 
@@ -45,7 +45,8 @@ def rule(name: str, text: Column) -> Column:
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.7, page_size: int = 3000) -> DataFrame:
     """(key, line, n_pages): lines among the first or last three of most pages, for documents of three pages or more."""
-    page = docs.select(F.col(key), F.posexplode(pages(F.col(text), page_size)).alias("page", "t"), F.size(pages(F.col(text), page_size)).alias("total")).where("total >= 3")
+    cut = docs.select(F.col(key), pages(F.col(text), page_size).alias("_p")).where(F.size("_p") >= 3)
+    page = cut.select(F.col(key), F.size("_p").alias("total"), F.explode("_p").alias("t"))
     rows = lines(F.regexp_replace("t", r"^\s+|\s+$", ""))
     page = page.withColumn("_l", rows)
     ends = F.concat(F.slice("_l", 1, 3), F.expr("slice(_l, greatest(1, size(_l) - 2), 3)"))
@@ -75,9 +76,12 @@ def ghost_lines(text: Column) -> Column:
     """How many lines a longer neighbour within ten lines before and eleven after holds, letters compared; natively, for counts."""
     bare = F.transform(lines(text), lambda x: F.struct(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")).alias("b"), F.trim(x).rlike(r"^(#|\||```|<!--|\*|-|>)").alias("mark")))
 
-    def ghost(x: Column, i: Column) -> Column:
-        near = F.slice(bare, F.greatest(F.lit(1), i - 9), F.least(i, F.lit(10)) + 12)
-        held = F.exists(near, lambda n: (F.length(n.b) > F.length(x.b)) & (F.length(n.b) >= F.length(x.b) * 1.15) & F.contains(n.b, x.b))
-        return (F.length(x.b) >= 15) & ~x.mark & held
+    def count(all_lines: Column) -> Column:
+        def ghost(x: Column, i: Column) -> Column:
+            near = F.slice(all_lines, F.greatest(F.lit(1), i - 9), F.least(i, F.lit(10)) + 12)
+            held = F.exists(near, lambda n: (F.length(n.b) > F.length(x.b)) & (F.length(n.b) >= F.length(x.b) * 1.15) & F.contains(n.b, x.b))
+            return (F.length(x.b) >= 15) & ~x.mark & held
 
-    return F.size(F.filter(F.transform(bare, ghost), lambda g: g))
+        return F.size(F.filter(F.transform(all_lines, ghost), lambda g: g))
+
+    return bind(bare, count)
