@@ -20,6 +20,7 @@ import json
 import random
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -78,6 +79,7 @@ def varied(text: str, rng: random.Random, filler: list[str]) -> list[str]:
     return lead + out + tail
 
 
+@lru_cache(maxsize=1)
 def train(copies: int = 40, steps: int = 300, ridge: float = 2e-4, least_weight: float = 0.05, seed: int = 11) -> Model:
     rng = random.Random(seed)
     filler = sorted({w for t in OTHERWISE for w in tokens(t)} - set(CUES)) + ["der", "und", "la", "les", "que", "los", "thing", "river"]
