@@ -8,9 +8,10 @@ or threat are run; the insult's own weight is multiplied by what the grammar say
 
 The insult lexicon is a prefix trie learned from labelled rows: word beginnings (or whole words) whose
 share among the words of toxic documents is well above that among clean ones, in at least
-``least_docs`` toxic documents, so that inflected forms that never occurred in training match.
+``least_docs`` toxic documents and by a likelihood ratio over documents with one, two or three of them, so that inflected forms that never occurred in training match.
 Document scores are logistic in the clauses' totals and density, fitted on the same rows.
-At most ``train_rows`` labelled rows and ``train_chars`` characters are learned from, in hash order.
+At most ``train_rows`` labelled rows and ``train_chars`` characters are learned from, in hash order, one of
+each group of near copies.
 
 Defined cases: null text counts as empty; empty texts get the score of a text without matches; rows
 are scored one by one, so repeated rows get the same score and ties keep their rows; an empty table
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.fst import Transducer
+from lamina.llm.near import drawn, shingles
 
 CLASSES = "IHTNRO"
 #: Seed words of the grammar in the four languages of the corpus.
@@ -124,7 +126,7 @@ def seed_model() -> Model:
     return Model({w + "$": 2.0 for w in SEED_INSULTS}, [1.0, 0.6, 0.5, -0.1, -0.1, 0.1], -3.0)
 
 
-def learn_insults(texts: list[str], toxic: np.ndarray, least_docs: int = 5, least_odds: float = 1.3, least_g: float = 25.0, most: int = 300) -> dict[str, float]:
+def learn_insults(texts: list[str], toxic: np.ndarray, least_docs: int = 4, least_odds: float = 1.3, least_g: float = 22.0, most: int = 300) -> dict[str, float]:
     """Word beginnings of 3 to 8 letters and whole words by log odds of their shares among words."""
 
     def starts(word: str) -> set[str]:
@@ -136,23 +138,26 @@ def learn_insults(texts: list[str], toxic: np.ndarray, least_docs: int = 5, leas
         if t:
             seen.update({s for w in bag for s in starts(w)})
     kept = {s for s, n in seen.items() if n >= least_docs}
-    bad, good, good_docs, sizes = Counter(), Counter(), Counter(), [1, 1]
-    for bag, t in zip(bags, toxic, strict=True):
+    words, sizes = (Counter(), Counter()), [1, 1]
+    docs = {m: (Counter(), Counter()) for m in (1, 2, 3)}  # documents with at least so many of them
+    for bag, t in zip(bags, toxic.astype(int).tolist(), strict=True):
         here = Counter()
         for w, n in bag.items():
             for s in starts(w) & kept:
                 here[s] += n
-        (bad if t else good).update(here)
-        if not t:
-            good_docs.update(here.keys())
-        sizes[int(t)] += sum(bag.values())
-    n_bad, n_good = int(toxic.sum()), int((1 - toxic).sum())
+        words[t].update(here)
+        for m, by in docs.items():
+            by[t].update(s for s, n in here.items() if n >= m)
+        sizes[t] += sum(bag.values())
+    total = [int((1 - toxic).sum()), int(toxic.sum())]
     ranked = []
     for s in kept:
-        odds = math.log(((bad[s] + 0.5) / sizes[1]) / ((good[s] + 0.5) / sizes[0]))
-        by_docs = math.log(((seen[s] + 0.5) / (n_bad + 1)) / ((good_docs[s] + 0.5) / (n_good + 1)))
+        odds = math.log(((words[1][s] + 0.5) / sizes[1]) / ((words[0][s] + 0.5) / sizes[0]))
         # the words' share must say so, and so must the documents', else one long document would do
-        if odds >= least_odds and by_docs >= 0.7 and likelihood_ratio(seen[s], n_bad, good_docs[s], n_good) >= least_g:
+        best = max((likelihood_ratio(by[1][s], total[1], by[0][s], total[0]), m) for m, by in docs.items() if by[1][s] >= least_docs)
+        bad, good = docs[best[1]][1][s], docs[best[1]][0][s]
+        by_docs = math.log(((bad + 0.5) / (total[1] + 1)) / ((good + 0.5) / (total[0] + 1)))
+        if odds >= least_odds and by_docs >= 0.7 and best[0] >= least_g:
             ranked.append((seen[s] * min(odds, 4 * by_docs), len(s), s, min(odds, 5.0)))
     out: dict[str, float] = {}
     for _, _, s, w in sorted(ranked, reverse=True):
@@ -183,7 +188,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return coef.tolist(), float(w[-1] - coef @ mean)
 
 
+def without_copies(texts: list[str], toxic: list[int], keys: int = 3) -> tuple[list[str], list[int]]:
+    """One of each group of near copies, so that a group counts as one document: later texts that share a minimum of shingle hashes go."""
+    flat, n = shingles(texts, 5)
+    starts = (np.cumsum(n) - n)[n > 0]
+    mins = [np.minimum.reduceat(flat * t, starts).tolist() if len(starts) else [] for t in drawn(keys, 9) | np.uint64(1)]
+    seen, keep, rows = set(), [], zip(*mins, strict=True)
+    for i, k in enumerate(n.tolist()):
+        mine = {(j, v) for j, v in enumerate(next(rows))} if k else {("", texts[i])}
+        if not mine & seen:
+            keep.append(i)
+        seen |= mine
+    return [texts[i] for i in keep], [toxic[i] for i in keep]
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
+    texts, toxic = without_copies(texts, toxic)
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return seed_model()
