@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Parts of a label's vertices.
+SALTS = 16
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where none is set, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,8 +40,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         heard = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         new = labels.join(heard.withColumnRenamed("a", "v"), "v", "left").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = new.select(F.col("v").alias("comp"), F.col("comp").alias("above"))
-        new = cut(new.join(up, "comp", "left").select("v", "old", F.coalesce("above", "comp").alias("comp")))
+        # labels that have moved on themselves, once each for every salt, so that a label of very many vertices is spread
+        up = new.select(F.col("v").alias("comp"), F.col("comp").alias("above")).where("comp != above")
+        moved = new.select("comp").distinct().join(up, "comp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = new.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        new = cut(told.join(moved, ["comp", "salt"], "left").select("v", "old", F.coalesce("above", "comp").alias("comp")))
         labels = new.select("v", "comp")
         if new.where("old != comp").isEmpty():
             return labels
