@@ -134,12 +134,16 @@ def hybrid(chunks: DataFrame, query: Sequence[float], question: str, limit: int
     """The best chunks by fused rank, with all their columns."""
     fused = fuse(vector_ranks(chunks, query, pool), text_ranks(chunks, question, pool))
     best = fused.orderBy(F.col("score").desc(), "id").limit(clamp(limit, MOST_HYBRID))
-    return chunks.join(best, "id")
+    return chunks.join(F.broadcast(best), "id")  # at most MOST_HYBRID rows
 
 
-def resolve_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Children give way to their parents at the best child's score, which outranks the parent's own; other hits stay."""
+def resolve_parents(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
+    """Children give way to their parents at the best child's score, which outranks the parent's own; other hits stay.
+
+    ``few``: the hits come from a limit, so their parents may be broadcast and the chunks needn't be shuffled.
+    """
     above = hits.where(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.max("score").alias("score"))
+    above = F.broadcast(above) if few else above
     parents = chunks.where(F.col("chunk_type") == "parent").join(above.withColumnRenamed("parent_id", "id"), "id").withColumn("priority", F.lit(0))
     alone = hits.where(F.col("parent_id").isNull()).select(*chunks.columns, "score").withColumn("priority", F.lit(1))
     both = parents.select(*chunks.columns, "score", "priority").unionByName(alone)
@@ -149,7 +153,7 @@ def resolve_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL) -> DataFrame:
     """Hybrid search with parents resolved, best first."""
-    return resolve_parents(hybrid(chunks, query, question, limit, pool), chunks).orderBy(F.col("score").desc(), "id")
+    return resolve_parents(hybrid(chunks, query, question, limit, pool), chunks, few=True).orderBy(F.col("score").desc(), "id")
 
 
 def rerank(hits: DataFrame, question: str, top: int = RERANK_TOP, scorer: Callable[[str, pd.Series], pd.Series] | None = None) -> DataFrame:

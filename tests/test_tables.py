@@ -173,6 +173,8 @@ def test_query_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-def test_pruning_reaches_the_scan(spark, sf):
-    plan = catalog.QUERIES["vector_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+def test_plans(spark, sf):
+    plan = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan("vector_topk") and "text" not in plan("vector_topk").split("ReadSchema")[-1]
+    # the chunks are scanned and met by broadcast rows; nothing but ranks is sorted
+    assert plan("hybrid_search").count("BroadcastHashJoin") >= 2 and "CartesianProduct" not in plan("hybrid_search")
