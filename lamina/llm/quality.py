@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.toxicity import fit_logistic, hash_of, held_out
+from lamina.llm.toxicity import fit_logistic, hash_of, held_out, labelled_sample
 
 #: Character classes by UTF-8 byte; letters outside ASCII count as lower case.
 CLASS_NAMES = ("lower", "upper", "digit", "space", "newline", "sentence", "pipe", "shout", "symbol", "quote", "other")
@@ -139,27 +139,35 @@ def co_train(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool_c: np.ndarray, po
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", train_rows: int = 4000, pool_rows: int = 4000, train_chars: int = 24_000_000, rounds: int = 4) -> Model:
     """Trains in one task on two bounded samples; only the small model comes to the driver."""
-    known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("k"), "k", "y").limit(train_rows)
-    # hash-ordered rows of the documents as pool; they carry no labels whether labels exist or not
-    pool = docs.select(F.col(key).alias("k")).orderBy(F.xxhash64("k", F.lit(7)), "k").limit(pool_rows).select("k", F.lit(-1).alias("y"))
-    base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s"))
-    rows = base.join(F.broadcast(known.unionByName(pool)), "k").select("t", "l", "s", "y").repartition(1)
+    columns = {"t": F.coalesce(F.col(text).cast("string"), F.lit("")), "l": F.col(lang).cast("string"), "s": F.col(source).cast("string")}
+    known = labelled_sample(docs, labels, label, key, train_rows, **columns)
+    # the pool: about twice as many keys as are kept, by a hash of the key, whether they are labelled or not; labels aren't looked at
+    share = min(1.0, 2.0 * pool_rows / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    pool = some.groupBy(F.col(key)).agg(F.min(F.struct(*[c.alias(n) for n, c in columns.items()])).alias("row")).select("row.*", F.lit(-1).alias("y"))
+    rows = known.unionByName(pool).repartition(1)
 
     def run(batches):
-        kept: dict[bool, list] = {True: [], False: []}
+        seen: dict[bool, list] = {True: [], False: []}
         chars = {True: 0, False: 0}
         for b in batches:
             for t, a, s, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                k = y >= 0
-                if len(kept[k]) < (train_rows if k else pool_rows) and chars[k] + len(t) <= train_chars:
+                k, t = y >= 0, t or ""
+                if chars[k] + len(t) <= 4 * train_chars:
                     chars[k] += len(t)
-                    kept[k].append((hash_of(t), content_view(t), metadata_view(t, a, s), y))
-        lab, free = sorted(kept[True], key=lambda r: (r[0], r[3])), sorted(kept[False], key=lambda r: r[0])
+                    seen[k].append((hash_of(t), y, t, a, s))
+        kept: dict[bool, list] = {True: [], False: []}
+        for k, most in ((True, train_rows), (False, pool_rows)):
+            size = 0
+            for _, y, t, a, s in sorted(seen[k], key=lambda r: (r[0], r[1], r[3] or "", r[4] or ""))[:most]:
+                size += len(t)
+                if size <= train_chars:
+                    kept[k].append((content_view(t), metadata_view(t, a, s), y))
+        lab, free = kept[True], kept[False]
         model = Model()
         if lab and free:
-            cols = [np.array([r[i] for r in part]) for part in (lab, free) for i in (1, 2)]
-            model = co_train(cols[0], cols[1], np.array([r[3] for r in lab], float), cols[2], cols[3], rounds)
+            cols = [np.array([r[i] for r in part]) for part in (lab, free) for i in (0, 1)]
+            model = co_train(cols[0], cols[1], np.array([r[2] for r in lab], float), cols[2], cols[3], rounds)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(model))])], names=["model"])
 
     found = rows.mapInArrow(run, "model string").collect()

@@ -217,11 +217,15 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int) -> DataFrame:
-    """Text and label of at most ``rows`` labelled rows that aren't held out, in hash order of the key."""
-    known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    known = known.orderBy(F.xxhash64("k"), "k", "y").limit(rows)
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(known), "k")
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, rows: int, **columns: Column) -> DataFrame:
+    """(the columns, y) of at most ``rows`` labelled keys that aren't held out, in hash order of the key.
+
+    Of a key's texts the smallest stands for it, and of its labels the largest, so a key with very many rows adds one.
+    """
+    known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known.orderBy(F.xxhash64("k"), "k").limit(rows)
+    found = docs.select(F.col(key).alias("k"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row")).join(F.broadcast(known), "k")
+    return found.groupBy("k", "y").agg(F.min("row").alias("row")).select("row.*", "y")
 
 
 def bounded(table: pa.Table, rows: int, chars: int) -> tuple[list[str], list[int]]:
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         texts, ys = bounded(pa.Table.from_batches(kept), train_rows, train_chars) if kept else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array([train(texts, ys).json()])], names=["model"])
 
-    sample = labelled_sample(docs, labels, label, key, text, train_rows).select("t", "y").repartition(1)
+    sample = labelled_sample(docs, labels, label, key, train_rows, t=F.coalesce(F.col(text).cast("string"), F.lit(""))).repartition(1)
     found = sample.mapInArrow(run, "model string").collect()
     return Model(**json.loads(found[0].model)) if found else seed_model()
 

@@ -539,3 +539,12 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_samples_take_one_row_of_a_hot_key(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", "s") for i in range(500)] + [(k, f"t {k}", "en", "s") for k in range(2, 40)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 20 + [(k, k % 2, k % 2) for k in range(2, 40)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", "doc_id", 1000, t=F.col("text")).collect()
+    assert len(got) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 40)) and sum(r.t.startswith("text") for r in got) == (zlib.crc32(b"1") % 5 != 0)
+    assert len(toxicity.labelled_sample(docs, labels, "toxic", "doc_id", 7, t=F.col("text")).collect()) <= 7
+    quality.fit(docs, labels)
