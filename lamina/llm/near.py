@@ -107,6 +107,11 @@ def node(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
+def named(key: str) -> Column:
+    """A key as a string that is never null, to join by."""
+    return F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null")).alias("name")
+
+
 def sketched(docs: DataFrame, key: str, text: str, words: int, forest: Forest) -> DataFrame:
     """(k, node, prefixes) of every row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -220,7 +225,7 @@ def classes(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     total = members.count()
     # one text of each member: its first key's row; further rows of that key and text are equal, and fall out when verified
     texts = docs.select(F.col(key).alias("k"), node(text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    told = texts.join(members.withColumnRenamed("k", "first"), "node").where(F.col("k").eqNullSafe(F.col("first"))).select("node", "comp", "size", "n", "t")
+    told = texts.select("node", named("k"), "t").join(members.select("node", named("k"), "comp", "size", "n"), ["node", "name"])
     small = told.where(F.col("size") <= block).select("node", "comp", "n", "t", F.lit(0).alias("side"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 400))).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
     parts = F.ceil(F.col("size") / block).cast("int")
     large = told.where(F.col("size") > block).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -249,6 +254,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, forest: Forest | None = None, block: int = 256) -> DataFrame:
     """``docs``, all columns, with one row of each class: that of its smallest key."""
     _, full = classes(docs, key, text, words, threshold, forest or Forest(threshold=threshold), block)
-    heads = full.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("__node"), F.col("class_key").alias("__head"))
-    kept = docs.withColumn("__node", node(text)).join(heads, "__node").where(F.col(key).eqNullSafe(F.col("__head")))
-    return kept.dropDuplicates(["__node"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    heads = full.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("__node"), named("class_key").alias("__name"))
+    # joined by text and key, so that very many equal texts don't meet in one task
+    kept = docs.withColumns({"__node": node(text), "__name": named(key)}).join(heads, ["__node", "__name"])
+    return kept.dropDuplicates(["__node", "__name"]).select(*[F.col(f"`{c}`") for c in docs.columns])
