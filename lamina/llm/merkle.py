@@ -7,7 +7,8 @@ damaged records. Trees are built from the manifest (hashes and lengths), so page
 and never shuffled.
 
 An archive holds the records of ``per_archive`` consecutive page ids; where repeated ids make it larger than
-four times that, it is split at random into parts. Everything is DataFrame code.
+four times that, it is split into parts by the rows' places, so replicas of such an archive have to come in
+one order. Stored archives are read back by ``read_archives``; all else is DataFrame code.
 
 Defined cases: null url and html count as empty, null ids as -1; repeated rows are records of their own, ordered by
 hash; a record present in one replica only is missing or extra; a record that only moved is shifted; empty
@@ -16,9 +17,16 @@ tables give no rows and no roots; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.I)
+RECORD_ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+)>", re.I)
+
 
 def record(key: str, url: str, body: str) -> Column:
     """One WARC/1.1 response record."""
@@ -31,20 +39,60 @@ def record(key: str, url: str, body: str) -> Column:
     return F.concat(head, text, F.lit("\r\n\r\n"))
 
 
-def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
-    """(key, archive, part, seq, offset, length, sha256) of each record."""
-    rec = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k"), record(key, url, body).alias("r"))
-    rows = rec.select("k", F.expr(f"(k - pmod(k, {per_archive})) div {per_archive}").alias("archive"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
+def placed(rows: DataFrame, per_archive: int) -> DataFrame:
+    """``rows`` (k, length, sha256, ...) with archive, part, seq and offset."""
+    rows = rows.withColumn("archive", F.expr(f"(k - pmod(k, {per_archive})) div {per_archive}"))
     most = 4 * per_archive
     large = rows.groupBy("archive").agg(F.count("*").alias("n")).where(F.col("n") > most)
     rows = rows.withColumn("salt", F.monotonically_increasing_id()).join(large, "archive", "left")
     rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("salt"), F.ceil(F.col("n") / most)), F.lit(0)).cast("int"))
     w = Window.partitionBy("archive", "part").orderBy("k", "sha256", "length")
     before = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("seq", F.row_number().over(w).cast("long") - 1).withColumn("offset", F.coalesce(before, F.lit(0)))
+    return rows.withColumn("seq", F.row_number().over(w).cast("long") - 1).withColumn("offset", F.coalesce(before, F.lit(0))).drop("n", "salt")
+
+
+def hashed(pages: DataFrame, key: str, url: str, body: str) -> DataFrame:
+    rec = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k"), record(key, url, body).alias("r"))
+    return rec.select("k", "r", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
+
+
+def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
+    """(key, archive, part, seq, offset, length, sha256) of each record."""
+    rows = placed(hashed(pages, key, url, body).drop("r"), per_archive)
     return rows.select(F.col("k").alias(key), "archive", "part", "seq", "offset", "length", "sha256")
 
 
+def archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
+    """(archive, part, bytes): each archive's records one after another, ready to be written as files."""
+    rows = placed(hashed(pages, key, url, body), per_archive)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r"))), lambda x: x.r), "")
+    return rows.groupBy("archive", "part").agg(joined.cast("binary").alias("bytes"))
+
+
+def read_archives(blobs: DataFrame, key: str = "page_id") -> DataFrame:
+    """The manifest of stored archives (archive, part, bytes), record by record; bytes that start no record end an archive's scan with a record of their own."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for archive, part, blob in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                at = seq = 0
+                while at < len(blob):
+                    name, end = -1, len(blob)
+                    head = blob.find(b"\r\n\r\n", at)
+                    length = LENGTH.search(blob, at, head) if head >= 0 and blob.startswith(b"WARC/", at) else None
+                    if length:
+                        end = min(end, head + 4 + int(length[1]) + 4)
+                        name = int(found[1]) if (found := RECORD_ID.search(blob, at, head)) else -1
+                    rows.append((name, archive, part, seq, at, end - at, hashlib.sha256(blob[at:end]).hexdigest()))
+                    at, seq = end, seq + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    names = [key, "archive", "part", "seq", "offset", "length", "sha256"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return blobs.select("archive", "part", "bytes").mapInArrow(run, f"{key} long, archive long, part int, seq long, offset long, length long, sha256 string")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """(archive, part, at, hash): level 0."""
     return records.select("archive", "part", F.col("seq").alias("at"), F.sha2(F.concat_ws(":", "offset", "length", "sha256"), 256).alias("hash"))

@@ -226,7 +226,7 @@ def classes(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     # one text of each member: its first key's row; further rows of that key and text are equal, and fall out when verified
     texts = docs.select(F.col(key).alias("k"), node(text).alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     told = texts.select("node", named("k"), "t").join(members.select("node", named("k"), "comp", "size", "n"), ["node", "name"])
-    small = told.where(F.col("size") <= block).select("node", "comp", "n", "t", F.lit(0).alias("side"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 400))).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    small = told.where(F.col("size") <= block).select("node", "comp", "n", "t", F.lit(0).alias("side"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // 100))).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))
     parts = F.ceil(F.col("size") / block).cast("int")
     large = told.where(F.col("size") > block).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a block meets itself and every other block once

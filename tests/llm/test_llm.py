@@ -465,6 +465,18 @@ def test_merkle_finds_each_kind_of_damage(spark):
     assert merkle.report(a, changed).where("state = 'ok'").count() == 299
 
 
+def test_archives_read_back(spark):
+    wide = pages(spark, lambda i, h: h + "\r\n\r\né", rows=range(150))
+    a, blobs = merkle.manifest(wide, per_archive=64), merkle.archives(wide, per_archive=64)
+    assert merkle.audit(a, merkle.read_archives(blobs)).count() == 0
+    # one byte of one archive flipped at rest
+    at = a.where("page_id = 70").first()
+    broken = blobs.withColumn("bytes", F.when(F.col("archive") == 1, F.expr(f"concat(substring(bytes, 1, {at.offset + at.length - 6}), X'00', substring(bytes, {at.offset + at.length - 4}))")).otherwise(F.col("bytes")))
+    assert [(r.state, r.archive, r.seq) for r in merkle.audit(a, merkle.read_archives(broken)).collect()] == [("corrupt", 1, at.seq)]
+    torn = blobs.withColumn("bytes", F.when(F.col("archive") == 1, F.expr("substring(bytes, 1, 100)")).otherwise(F.col("bytes")))
+    assert {r.archive for r in merkle.audit(a, merkle.read_archives(torn)).collect()} == {1}
+
+
 def test_merkle_roots_follow_the_bytes(spark):
     rows = [r for r in merkle.manifest(pages(spark), per_archive=64).collect()]
     assert all(r.sha256 == hashlib.sha256((f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/{r.page_id}\r\nWARC-Record-ID: <urn:page:{r.page_id}>\r\nContent-Type: text/html\r\nContent-Length: {len(f'<p>{r.page_id}</p>' * (r.page_id % 5))}\r\n\r\n" + f"<p>{r.page_id}</p>" * (r.page_id % 5) + "\r\n\r\n").encode()).hexdigest() for r in rows if r.page_id >= 0)
