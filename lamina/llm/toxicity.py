@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.bpe import portions
 from lamina.llm.fst import Transducer
 from lamina.llm.near import drawn, shingles
 
@@ -190,15 +191,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 def without_copies(texts: list[str], toxic: list[int], keys: int = 3) -> tuple[list[str], list[int]]:
     """One of each group of near copies, so that a group counts as one document: later texts that share a minimum of shingle hashes go."""
-    flat, n = shingles(texts, 5)
-    starts = (np.cumsum(n) - n)[n > 0]
-    mins = [np.minimum.reduceat(flat * t, starts).tolist() if len(starts) else [] for t in drawn(keys, 9) | np.uint64(1)]
-    seen, keep, rows = set(), [], zip(*mins, strict=True)
-    for i, k in enumerate(n.tolist()):
-        mine = {(j, v) for j, v in enumerate(next(rows))} if k else {("", texts[i])}
-        if not mine & seen:
-            keep.append(i)
-        seen |= mine
+    turns = drawn(keys, 9) | np.uint64(1)
+    seen: set = set()
+    keep: list[int] = []
+    for lo, hi in portions(texts, 1_000_000):  # so that few words are held at once
+        flat, n = shingles(texts[lo:hi], 5)
+        starts = (np.cumsum(n) - n)[n > 0]
+        mins = zip(*[np.minimum.reduceat(flat * t, starts).tolist() if len(starts) else [] for t in turns], strict=True)
+        for i, k in enumerate(n.tolist(), lo):
+            mine = set(enumerate(next(mins))) if k else {("", texts[i])}
+            if not mine & seen:
+                keep.append(i)
+            seen |= mine
     return [texts[i] for i in keep], [toxic[i] for i in keep]
 
 
@@ -257,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             if b.num_rows and (size <= 4 * train_chars or not kept):
                 kept.append(b)
         texts, ys = bounded(pa.Table.from_batches(kept), train_rows, train_chars) if kept else ([], [])
+        kept.clear()
         yield pa.RecordBatch.from_arrays([pa.array([train(texts, ys).json()])], names=["model"])
 
     sample = labelled_sample(docs, labels, label, key, train_rows, t=F.coalesce(F.col(text).cast("string"), F.lit(""))).repartition(1)
