@@ -1,5 +1,6 @@
 """Whole results, on small tables made for what the given ones don't hold."""
 
+from lamina.functions import rules
 from lamina.plans import catalog
 
 
@@ -14,3 +15,17 @@ def test_report_has_every_copy(spark, tmp_path):
     sf = stored(spark, tmp_path, documents=(rows, "doc_id long, text string"))
     got = {r.doc_id: (r.state, r.n_chunks) for r in catalog.QUERIES["ingest_report"](spark, sf).collect()}
     assert got == {1: ("COMPLETED", 1), 2: ("COMPLETED", 1), 7: ("SKIPPED", 0), 8: ("SKIPPED", 0), 9: ("COMPLETED", 2)}
+
+
+def test_ghosts_are_those_that_the_rule_drops(spark, tmp_path):
+    line, halves = "The insured person pays the premium", ["The insured person pays", "the premium"]
+    texts = [f"{line}\nother words\n{line}\n{line}", "\n".join([line, *halves, "and more"]), f"{line}\nshort", f"# {line}\n{line} of the year", f"{line}\x0b{line} every month", line, ""]
+    sf = stored(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.n_ghosts for r in catalog.QUERIES["paragraph_dedup_counts"](spark, sf).collect()}
+    want = []
+    for t in texts:
+        notes = rules.Notes()
+        rules.drop_ghosts(t, notes)
+        want.append(notes.counts["ghost_lines"])
+    # repeats but for the first; a line over two neighbours, and the half that the line holds
+    assert [got[i] for i in range(len(texts))] == want == [2, 2, 0, 0, 1, 0, 0]
