@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.columns import bind, lines, ratio, strip
@@ -76,6 +76,15 @@ def overlap_f1(text: Column, reference: Column) -> Column:
     return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
 
 
+def dense(rows: DataFrame, by: str, step: int = 1000) -> DataFrame:
+    """``rows`` with ``number``, from 0 in the order of a whole-number column: ranks within spans of its values after what the spans before hold, so that only spans meet in one task."""
+    spans = rows.withColumn("_span", F.floor(F.col(by) / step))
+    n = spans.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = n.select(F.col("_span").alias("_at"), (F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    ranked = spans.withColumn("_rank", F.row_number().over(Window.partitionBy("_span").orderBy(by, *[c for c in rows.columns if c != by])))
+    return ranked.join(before, F.col("_span").eqNullSafe(F.col("_at"))).withColumn("number", F.col("_before") + F.col("_rank") - 1).drop("_span", "_at", "_before", "_rank")
+
+
 #: Checks and the least score with which each passes (a tie passes, but for column mixing).
 PASSES = {"content_not_empty": 1.0, "heading_structure": 0.2, "no_column_mixing": 0.7, "table_integrity": 1.0, "no_duplicate_content": 0.9, "content_density": 0.2}
 

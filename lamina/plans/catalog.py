@@ -457,9 +457,12 @@ def fid_density(spark, sf):
 n AS (SELECT doc_id, len(list_intersect(a, b)) / len(a) AS p, len(list_intersect(a, b)) / len(b) AS r FROM w)
 SELECT doc_id, CASE WHEN p + r = 0 THEN 0.0 ELSE round(2 * p * r / (p + r), 6) END AS score FROM n""")
 def fid_reference_f1(spark, sf):
-    ref = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference"))
-    d = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40).join(ref, "item_id")
-    return d.select("doc_id", F.round(checks.overlap_f1(F.col("text"), F.col("reference")), 6).alias("score"))
+    """Each document against one item, dealt over the whole of ``benchmark``; without one the score is null."""
+    ref = checks.dense(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference")), "item_id").select(F.col("number").alias("item"), "reference")
+    n = ref.agg(F.count("*").alias("n_items"))
+    d = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(n), F.lit(True))
+    d = d.withColumn("item", F.expr("try_mod(doc_id, n_items)")).withColumn("item", F.when(F.col("item") < 0, F.col("item") + F.col("n_items")).otherwise(F.col("item"))).join(ref, "item", "left")
+    return d.select("doc_id", F.when(F.col("reference").isNotNull(), F.round(checks.overlap_f1(F.col("text"), F.col("reference")), 6)).alias("score"))
 
 
 @query()

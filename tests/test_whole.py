@@ -29,3 +29,16 @@ def test_ghosts_are_those_that_the_rule_drops(spark, tmp_path):
         want.append(notes.counts["ghost_lines"])
     # repeats but for the first; a line over two neighbours, and the half that the line holds
     assert [got[i] for i in range(len(texts))] == want == [2, 2, 0, 0, 1, 0, 0]
+
+
+def test_references_come_from_the_whole_benchmark(spark, tmp_path):
+    items = [(k * 7, f"w{k}") for k in range(60)]
+    docs = [(k, f"w{k % 60 if k >= 0 else 60 + k}") for k in range(-1, 130)]
+    sf = stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
+    got = {r.doc_id: r.score for r in catalog.QUERIES["fid_reference_f1"](spark, sf).collect()}
+    assert got == {k: 1.0 for k, _ in docs}
+
+
+def test_no_document_is_lost_without_references(spark, tmp_path):
+    sf = stored(spark, tmp_path, documents=([(1, "a"), (2, "b")], "doc_id long, text string"), benchmark=([], "item_id long, text string"))
+    assert sorted((r.doc_id, r.score) for r in catalog.QUERIES["fid_reference_f1"](spark, sf).collect()) == [(1, None), (2, None)]
