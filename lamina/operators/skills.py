@@ -7,6 +7,7 @@ from dataclasses import fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.columns import strip
 from lamina.functions.rules import CompanyRules
 
 #: Codes and names of the companies that documents can belong to.
@@ -67,12 +68,21 @@ def merge_tables(general: DataFrame, own: DataFrame, lists: tuple[str, ...] = ("
     return both.select("sigla", "estado", *[F.array_distinct(F.concat(f"g_{c}", c)).alias(c) for c in lists], dates.alias("normalize_dates"))
 
 
-def key_counts(docs: DataFrame, text: str = "text", most: int = 30) -> DataFrame:
-    """(key, n): words or phrases before a colon at the start of a line, most frequent first."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?m)^\s*\**([\p{L}][\p{L} ]{2,40}?)\**\s*:"), F.lit(1))
-    return docs.select(F.explode(found).alias("k")).select(F.lower(F.trim("k")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "key").limit(most)
+#: Fixed value: what may be a key, up to 51 characters before a colon at the start of a line.
+KEY = r"(?mU)^\s*\**([\p{L}][\w\s.()/]{2,50}?)\**\s*:"
+
+
+def key_counts(docs: DataFrame, text: str = "text", most: int | None = 30) -> DataFrame:
+    """(key, n): words or phrases before a colon at the start of a line, most frequent first; all of them if ``most`` is None."""
+    found = F.regexp_extract_all(F.col(text), F.lit(KEY), F.lit(1))
+    n = docs.select(F.explode(found).alias("k")).select(F.lower(strip(F.col("k"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return n if most is None else top_keys(n, most)
+
+
+def top_keys(counts: DataFrame, most: int = 30) -> DataFrame:
+    return counts.orderBy(F.col("n").desc(), "key").limit(most)
 
 
 def key_gaps(counts: DataFrame, known: DataFrame) -> DataFrame:
-    """Keys that no rule covers."""
+    """Keys that no rule covers. Of counts that were cut before, it only finds those among the most frequent."""
     return counts.join(known.select(F.lower("key").alias("key")), "key", "left_anti")

@@ -371,7 +371,7 @@ def _keyed(spark, sf) -> DataFrame:
 
 @query("SELECT key, n FROM (" + SQL["kv_key_frequency"] + ") WHERE key NOT IN ('ramo')")
 def kv_key_gaps(spark, sf):
-    return skills.key_gaps(skills.key_counts(_keyed(spark, sf)), spark.createDataFrame([("Ramo",)], "key string"))
+    return skills.top_keys(skills.key_gaps(skills.key_counts(_keyed(spark, sf), most=None), spark.createDataFrame([("Ramo",)], "key string")))
 
 
 @query(r"""SELECT doc_id, 'ABC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS policy_code, CAST(2 AS BIGINT) AS n FROM documents""")

@@ -1,6 +1,7 @@
 """Whole results, on small tables made for what the given ones don't hold."""
 
 from lamina.functions import rules
+from lamina.operators import skills
 from lamina.plans import catalog
 
 
@@ -42,3 +43,20 @@ def test_references_come_from_the_whole_benchmark(spark, tmp_path):
 def test_no_document_is_lost_without_references(spark, tmp_path):
     sf = stored(spark, tmp_path, documents=([(1, "a"), (2, "b")], "doc_id long, text string"), benchmark=([], "item_id long, text string"))
     assert sorted((r.doc_id, r.score) for r in catalog.QUERIES["fid_reference_f1"](spark, sf).collect()) == [(1, None), (2, None)]
+
+
+def test_gaps_are_cut_after_the_covered_keys(spark, tmp_path):
+    covered = "Ramo: x\n" * 3
+    keys = [f"Clave {chr(97 + k)}{chr(97 + k)}" for k in range(26)] + [f"Otra {chr(97 + k)}{chr(97 + k)}" for k in range(14)]
+    text = covered + "".join(f"{k}: 1\n" for k in keys)
+    sf = stored(spark, tmp_path, documents=([(1, text)], "doc_id long, text string"))
+    got = [r.key for r in catalog.QUERIES["kv_key_gaps"](spark, sf).collect()]
+    # Producto comes from the query's own lead; Ramo takes none of the 30 places
+    assert sorted(got) == sorted([*sorted(k.lower() for k in keys), "producto"][:30])
+
+
+def test_keys_with_marks_and_digits(spark):
+    long = "Suma asegurada (limite por evento y anualidad) 2024"
+    df = spark.createDataFrame([(f"Nro. de Poliza: 7\nPrima (USD): 5\n**Plan/2 A**: x\n{long}: 1\n",)], "text string")
+    got = {r.key: r.n for r in skills.key_counts(df).collect()}
+    assert len(long) == 51 and got == {k: 1 for k in ("nro. de poliza", "prima (usd)", "plan/2 a", long.lower())}
