@@ -377,7 +377,7 @@ def kv_key_gaps(spark, sf):
 @query(r"""SELECT doc_id, 'ABC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS policy_code, CAST(2 AS BIGINT) AS n FROM documents""")
 def policy_code_mode(spark, sf):
     code = F.lpad(F.col("doc_id").cast("string"), 6, "0")
-    return chunking.policy_codes(table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ABC - "), code, F.lit(" ZZ-9999 ABC-"), code, F.lit(" x")).alias("text")))
+    return chunking.policy_codes(table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ABC - "), code, F.lit(" ZZ-9999 ABC-"), code, F.lit(" x\n"), F.coalesce("text", F.lit(""))).alias("text")))
 
 
 def _chunks(spark, sf):
@@ -438,7 +438,7 @@ def fid_column_mixing(spark, sf):
 def fid_table_integrity(spark, sf):
     good, bad = "| a | b |\n|---|---|\n| 1 | 2 |\n\n", "| a | b |\n|---|---|\n| 1 |\n\n"
     t = F.when(F.col("doc_id") % 2 == 0, F.lit(good + "x\n")).otherwise(F.lit(good + bad))
-    return table(spark, sf, "documents").select("doc_id", checks.table_integrity(t).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", checks.table_integrity(F.concat(t, F.coalesce("text", F.lit("")))).alias("score"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) > 10) AS l FROM documents), n AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(l) AS x FROM l) GROUP BY 1, 2),

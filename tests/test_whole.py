@@ -60,3 +60,10 @@ def test_keys_with_marks_and_digits(spark):
     df = spark.createDataFrame([(f"Nro. de Poliza: 7\nPrima (USD): 5\n**Plan/2 A**: x\n{long}: 1\n",)], "text string")
     got = {r.key: r.n for r in skills.key_counts(df).collect()}
     assert len(long) == 51 and got == {k: 1 for k in ("nro. de poliza", "prima (usd)", "plan/2 a", long.lower())}
+
+
+def test_planted_queries_read_the_texts(spark, tmp_path):
+    sf = stored(spark, tmp_path, documents=([(2, "QRS-4444\n" * 3), (4, "| a | b |\n|---|---|\n| 1 |\n"), (5, "prose")], "doc_id long, text string"))
+    codes = {r.doc_id: (r.policy_code, r.n) for r in catalog.QUERIES["policy_code_mode"](spark, sf).collect()}
+    assert codes == {2: ("QRS-4444", 3), 4: ("ABC-000004", 2), 5: ("ABC-000005", 2)}
+    assert {r.doc_id: r.score for r in catalog.QUERIES["fid_table_integrity"](spark, sf).collect()} == {2: 1.0, 4: 0.5, 5: 0.5}
