@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import encoder, portions
+from lamina.llm.memory import tidy
 
 #: Name and type of everything that ``encode`` can return.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -49,4 +50,4 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([out["key"], *[out[o] for o in outputs]], names=["key", *outputs])
 
     schema = f"key {kind}, " + ", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("key", key)

@@ -56,6 +56,11 @@ def reference(name):
 def test_ids_equal_the_library(documents, name):
     texts = TEXTS + [r.text for r in documents.limit(120).collect()]
     want = [x.ids for x in reference(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    rng = random.Random(4)
+    signs = ["ab", "A", ".", ",", ", ", ". ", ",\n", ".\n", "'s ", " ", "\n", "\t", "é", "Σ", "1", "\x00", "\x02", "!", '"', "\u0301", "\r\n"]
+    odd_ones = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(1500)]
+    want += [x.ids for x in reference(name).encode_batch(odd_ones, add_special_tokens=False)]
+    texts += odd_ones
     for limit in (1_500_000, 500):  # also with a cache that starts anew all the time
         enc = bpe.Encoder(P.path(name), limit)
         got = [r for a, b in bpe.portions(texts, 3000) for r in enc.encode_batch(texts[a:b])]
@@ -135,6 +140,25 @@ def test_pack_query(odd, empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_whole_table(spark, sf, documents):
+    """Every id of every document in exactly one piece, each piece's checksum that of the library's ids, and twice the same sequences."""
+    got = entries.op9_packing(spark, sf).toPandas()
+    again = entries.op9_packing(spark, sf).toPandas()
+    order = ["sequence_id", "offset"]
+    assert got.sort_values(order).to_numpy().tolist() == again.sort_values(order).to_numpy().tolist()
+    lib = reference("word_bpe_49k.json")
+    for r in documents.collect():
+        ids = np.array([*lib.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = got[got.doc_id == r.doc_id].sort_values("start")
+        assert mine.doc_tokens.tolist() == [len(ids)] * len(mine)
+        assert mine.start.tolist() == np.r_[0, np.cumsum(mine.length)[:-1]].tolist() and mine.length.sum() == len(ids)
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length, strict=True)] == mine.ids_crc32.tolist()
+    total = got.groupby("sequence_id").length.sum()
+    assert all(n <= 4096 for n in total)
+    padding = sum(4096 - n for n in total if n & (n - 1))
+    assert padding <= 0.01 * total.sum()
+
+
 # -- toxicity and quality ----------------------------------------------------------------------------------
 
 
