@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from itertools import islice
 from operator import eq
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.toxicity import fit_logistic, hash_of, held_out, labelled_sample
+from lamina.llm.memory import give_back, tidy
+from lamina.llm.toxicity import fit_logistic, hash_of, held_out, in_order, labelled_sample
 
 #: Character classes by UTF-8 byte; letters outside ASCII count as lower case.
 CLASS_NAMES = ("lower", "upper", "digit", "space", "newline", "sentence", "pipe", "shout", "symbol", "quote", "other")
@@ -141,36 +143,32 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trains in one task on two bounded samples; only the small model comes to the driver."""
     columns = {"t": F.coalesce(F.col(text).cast("string"), F.lit("")), "l": F.col(lang).cast("string"), "s": F.col(source).cast("string")}
     known = labelled_sample(docs, labels, label, key, train_rows, **columns)
-    # the pool: about twice as many keys as are kept, by a hash of the key, whether they are labelled or not; labels aren't looked at
+    # the pool: about twice as many keys as are kept, first by a hash of the key, labelled ones left out; labels aren't looked at
+    taken = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k")).distinct()
     share = min(1.0, 2.0 * pool_rows / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    pool = some.groupBy(F.col(key)).agg(F.min(F.struct(*[c.alias(n) for n, c in columns.items()])).alias("row")).select("row.*", F.lit(-1).alias("y"))
-    rows = known.unionByName(pool).repartition(1)
+    some = docs.select(F.col(key).alias("k"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row"), F.xxhash64(F.col(key), F.lit(7)).alias("h"))
+    some = some.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).join(taken, "k", "left_anti")
+    pool = some.groupBy("k", "h").agg(F.min("row").alias("row")).select("row.*", F.lit(-1).alias("y"), "h").orderBy("h", "t", "l", "s").limit(pool_rows)
+    rows = in_order(known.unionByName(pool)).select("t", "l", "s", "y")
 
     def run(batches):
-        seen: dict[bool, list] = {True: [], False: []}
-        chars = {True: 0, False: 0}
+        kept: dict[bool, list] = {True: [], False: []}
+        size = {True: 0, False: 0}
         for b in batches:
             for t, a, s, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                k, t = y >= 0, t or ""
-                if chars[k] + len(t) <= 4 * train_chars:
-                    chars[k] += len(t)
-                    seen[k].append((hash_of(t), y, t, a, s))
-        kept: dict[bool, list] = {True: [], False: []}
-        for k, most in ((True, train_rows), (False, pool_rows)):
-            size = 0
-            for _, y, t, a, s in sorted(seen[k], key=lambda r: (r[0], r[1], r[3] or "", r[4] or ""))[:most]:
-                size += len(t)
-                if size <= train_chars:
+                k = y >= 0
+                if size[k] + len(t) <= train_chars:
+                    size[k] += len(t)
                     kept[k].append((content_view(t), metadata_view(t, a, s), y))
         lab, free = kept[True], kept[False]
         model = Model()
-        if lab and free:
-            cols = [np.array([r[i] for r in part]) for part in (lab, free) for i in (0, 1)]
+        if lab:
+            empty = content_view(""), metadata_view("", None, None)
+            cols = [np.array([r[i] for r in part]) if part else np.zeros((0, len(empty[i]))) for part in (lab, free) for i in (0, 1)]
             model = co_train(cols[0], cols[1], np.array([r[2] for r in lab], float), cols[2], cols[3], rounds)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(model))])], names=["model"])
 
-    found = rows.mapInArrow(run, "model string").collect()
+    found = rows.mapInArrow(tidy(run), "model string").collect()
     return Model(**json.loads(found[0].model)) if found else Model()
 
 
@@ -186,18 +184,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["key", "score"])
 
     cols = [F.col(key).alias("key"), *[F.col(c).cast("string").alias(a) for c, a in ((text, "t"), (lang, "l"), (source, "s"))]]
-    scored = docs.select(*cols).mapInArrow(run, f"key {kind}, score double")
+    scored = docs.select(*cols).mapInArrow(tidy(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), F.coalesce(held_out("key"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", source: str = "source", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    at = [docs.columns.index(c) for c in (text, lang, source)]
+    """The rows of ``docs``, all columns, whose score reaches the threshold. Only what is read goes to Python, only the score comes back."""
 
-    def run(batches):
-        for b in batches:
-            for start in range(0, b.num_rows, 512):
-                part = b.slice(start, 512)
-                yield part.filter(pa.array(model.scores(*[part.column(i).to_pylist() for i in at]) >= threshold, pa.bool_()))
+    def scores(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in columns:
+            parts = [model.scores(*[c.slice(at, 512).to_pylist() for c in batch]) for at in range(0, len(batch[0]), 512)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(scores, "double")(*[F.col(c).cast("string") for c in (text, lang, source)]) >= threshold)

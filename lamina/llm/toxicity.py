@@ -1,12 +1,14 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes: insult (I), threat (H), target (T), negation (N), reported speech (R), other (O).
-Three transducers are composed into one: *negation* turns insults and threats within three words
+Lexicons are transducers over letters, chained by composition: *insult* (weighted, learned), *threat*, and the words that
+name a target, negate, or report speech. Together they turn a word into one of the classes I, H, T, N, R, or O. Over the
+classes of a clause runs the composition of three more: *negation* turns insults and threats within three words
 after N into i and h, *reported speech* turns them into q for the rest of the clause after R, *target*
-weights an insult or threat more where the clause has named a target. Only clauses that hold an insult
-or threat are run; the insult's own weight is multiplied by what the grammar says of its place.
+weights an insult or threat more where the clause names a target; it is run over the clause from either end.
+Only clauses that hold an insult or threat are run (a pattern of the two lexicons finds them); a word's own weight is
+multiplied by what the grammar says of its place.
 
-The insult lexicon is a prefix trie learned from labelled rows: word beginnings (or whole words) whose
+The insult lexicon is learned from labelled rows: word beginnings (or whole words) whose
 share among the words of toxic documents is well above that among clean ones, in at least
 ``least_docs`` toxic documents and by a likelihood ratio over documents with one, two or three of them, so that inflected forms that never occurred in training match.
 Document scores are logistic in the clauses' totals and density, fitted on the same rows.
@@ -25,6 +27,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -33,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import portions
-from lamina.llm.fst import Transducer
+from lamina.llm.fst import Transducer, lexicon
+from lamina.llm.memory import give_back, tidy
 from lamina.llm.near import drawn, shingles
 
 CLASSES = "IHTNRO"
@@ -48,14 +52,17 @@ CLAUSE = re.compile("[" + re.escape(CLAUSE_ENDS) + "]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
+def target() -> Transducer:
+    """Its weight is what is added to the factor of a match once a target has been named."""
+    return Transducer(({"T": ("T", 1, 0.0), "*": ("*", 0, 0.0)}, {"*": ("*", 1, 0.0), "I": ("I", 1, 0.25), "H": ("H", 1, 0.75)}))
+
+
 def grammar() -> Transducer:
     """Negation, then reported speech, then target; the outputs name how a match counts."""
     hit = {"I": "i", "H": "h"}
     negation = Transducer(tuple({"N": ("N", 3, 0.0), "*": ("*", max(0, k - 1), 0.0)} | ({a: (b, k - 1, 0.0) for a, b in hit.items()} if k else {}) for k in range(4)))
     reported = Transducer(({"R": ("R", 1, 0.0), "*": ("*", 0, 0.0)}, {"*": ("*", 1, 0.0)} | {a: ("q", 1, 0.0) for a in "IH"}))
-    # weight: what is added to the factor of a match once the clause has a target
-    target = Transducer(({"T": ("T", 1, 0.0), "*": ("*", 0, 0.0)}, {"*": ("*", 1, 0.0), "I": ("I", 1, 0.25), "H": ("H", 1, 0.75)}))
-    return negation.compose(reported, CLASSES).compose(target, CLASSES)
+    return negation.compose(reported, CLASSES).compose(target(), CLASSES)
 
 
 #: What a match of each kind counts for before the target's weight.
@@ -79,25 +86,35 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.fst = model, grammar()
-        starts = sorted({*model.insults, *(t + "$" for t in THREATS)}, key=lambda p: (-len(p), p))
+        self.model, self.fst, self.target = model, grammar(), target()
+        threats = {t + "$": 1.0 for t in THREATS}
+        starts = sorted({*model.insults, *threats}, key=lambda p: (-len(p), p))
         self.trigger = re.compile(r"(?<![^\W\d_])(?:" + "|".join(re.escape(p[:-1]) + r"(?![^\W\d_])" if p.endswith("$") else re.escape(p) for p in starts) + ")")
-        self.words = {w: c for c, ws in zip("HTNR", (THREATS, TARGETS, NEGATIONS, REPORTS), strict=True) for w in ws}
-
-    def insult(self, word: str) -> float:
-        if (w := self.model.insults.get(word + "$")) is not None:
-            return w
-        return max((self.model.insults.get(word[:k], 0.0) for k in range(2, min(len(word), 8) + 1)), default=0.0)
+        self.lexicons: Transducer = lexicon(model.insults, "I").chained(lexicon(threats, "H"))
+        for symbol, words in zip("TNR", (TARGETS, NEGATIONS, REPORTS), strict=True):
+            self.lexicons = self.lexicons.chained(lexicon({w + "$": 0.0 for w in words}, symbol))
+        self.known: dict[str, tuple[str, float]] = {}
+
+    def word(self, word: str) -> tuple[str, float]:
+        """Class and weight."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            steps = self.lexicons.run(word + "$")
+            symbol = steps[-1][0]
+            found = self.known[word] = ("O" if symbol == "$" else symbol, sum(w for _, w in steps))
+        return found
 
     def clause(self, text: str) -> dict[str, float]:
         """Totals by kind of match."""
-        words = WORD.findall(text)
-        weights = [self.insult(w) for w in words]
-        steps = self.fst.run("I" if w else self.words.get(x, "O") for x, w in zip(words, weights, strict=True))
+        words = [self.word(w) for w in WORD.findall(text)]
+        symbols = [c for c, _ in words]
+        behind = self.target.run(reversed(symbols))[::-1]
         total: dict[str, float] = {}
-        for (kind, extra), w in zip(steps, weights, strict=True):
+        for (_, w), (kind, before), (_, after) in zip(words, self.fst.run(symbols), behind, strict=True):
             if kind in FACTOR:
-                total[kind] = total.get(kind, 0.0) + (w or 1.0) * (FACTOR[kind] + extra)
+                total[kind] = total.get(kind, 0.0) + w * (FACTOR[kind] + (max(before, after) if kind in "IH" else 0.0))
         return total
 
     def features(self, text: str | None) -> list[float]:
@@ -222,26 +239,28 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, rows: int, **columns: Column) -> DataFrame:
-    """(the columns, y) of at most ``rows`` labelled keys that aren't held out, in hash order of the key.
+    """(the columns, y, h) of at most ``rows`` labelled keys that aren't held out, first in the order of h, a hash of the key.
 
     Of a key's texts the smallest stands for it, and of its labels the largest, so a key with very many rows adds one.
     """
     known = labels.where(~held_out(key) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    known = known.orderBy(F.xxhash64("k"), "k").limit(rows)
+    known = known.select("k", "y", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(rows)
     found = docs.select(F.col(key).alias("k"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row")).join(F.broadcast(known), "k")
-    return found.groupBy("k", "y").agg(F.min("row").alias("row")).select("row.*", "y")
+    return found.groupBy("k", "y", "h").agg(F.min("row").alias("row")).select("row.*", "y", "h")
 
 
-def bounded(table: pa.Table, rows: int, chars: int) -> tuple[list[str], list[int]]:
-    """Rows in a fixed order, as many as both bounds allow."""
-    texts, ys, size = [], [], 0
-    for t, y in sorted(zip(table.column("t").to_pylist(), table.column("y").to_pylist(), strict=True), key=lambda x: (hash_of(x[0]), x[1])):
-        size += len(t)
-        if len(texts) == rows or size > chars:
-            break
-        texts.append(t)
-        ys.append(y)
-    return texts, ys
+def in_order(rows: DataFrame) -> DataFrame:
+    """All rows in one task, sorted: a sample that is cut there is the same however the rows were dealt out."""
+    return rows.repartition(1).sortWithinPartitions("h", *[c for c in rows.columns if c != "h"])
+
+
+def fitting(rows, chars: int):
+    """Of (text, ...) in order those that fit into ``chars`` characters together."""
+    size = 0
+    for r in rows:
+        if size + len(r[0]) <= chars:
+            size += len(r[0])
+            yield r
 
 
 def hash_of(text: str) -> int:
@@ -254,18 +273,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Trains in one task on the bounded sample; only the small model comes to the driver."""
 
     def run(batches):
-        kept, size = [], 0
-        for b in batches:
-            b = b.slice(0, max(0, train_rows - sum(k.num_rows for k in kept)))
-            size += b.nbytes
-            if b.num_rows and (size <= 4 * train_chars or not kept):
-                kept.append(b)
-        texts, ys = bounded(pa.Table.from_batches(kept), train_rows, train_chars) if kept else ([], [])
-        kept.clear()
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        texts, ys = [], []
+        for t, y in fitting(rows, train_chars):
+            texts.append(t)
+            ys.append(y)
         yield pa.RecordBatch.from_arrays([pa.array([train(texts, ys).json()])], names=["model"])
 
-    sample = labelled_sample(docs, labels, label, key, train_rows, t=F.coalesce(F.col(text).cast("string"), F.lit(""))).repartition(1)
-    found = sample.mapInArrow(run, "model string").collect()
+    sample = in_order(labelled_sample(docs, labels, label, key, train_rows, t=F.coalesce(F.col(text).cast("string"), F.lit("")))).select("t", "y")
+    found = sample.mapInArrow(tidy(run), "model string").collect()
     return Model(**json.loads(found[0].model)) if found else seed_model()
 
 
@@ -278,18 +294,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["key", "score"])
 
-    scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, score double")
+    scored = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), F.coalesce(held_out("key"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under the threshold."""
+    """The rows of ``docs``, all columns, whose score is under the threshold. Only the text goes to Python, only the score comes back."""
 
-    def run(batches):
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = model.compiled()
-        at = names.index(text)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+        for t in texts:
+            yield pa.array([scorer.score(x) for x in t.to_pylist()], pa.float64())
+        give_back()
 
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(scores, "double")(F.col(text).cast("string")) < threshold)
