@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import additive, balltree, bpe, entries, licenses, merkle, near, packing, quality, secrets, tokens, toxicity
-from lamina.llm.fst import Transducer
+from lamina.llm.fst import Transducer, lexicon
 from lamina.llm.links import components
 
 TEXTS = ["", None, "a", "Hello  world\n\n x", "  lead", "trail \n", "ΑΣ İstanbul ǅ ﬁ éẛ̣ x\x1cy", "日本語 テキスト　x", "don't we'LL I'M 1234 ½ ²", "\x00 a\x00b\n\nc", "aaaaaaa aaaa aa bbbbbb" * 3, "a\r\nb\tc", "🙂🙂 ë́", "a <|endoftext|>b  <|endoftext|>\n c", "<|startoftext|> Hello <|ENDOFTEXT|>", "word " * 3000, "x" * 5000, "the idiot said\nmoron", "the idiot said\nmoron"]
@@ -181,6 +181,61 @@ def test_grammar():
     assert s.features("not here. idiot there") == s.features("here not. idiot there")
 
 
+def test_grammar_against_plain_rules():
+    """Every sequence of classes by an interpreter that looks at each match's surroundings."""
+    s = toxicity.Scorer(toxicity.seed_model())
+    words = {"I": ("idiot", 2.0), "H": ("kill", 1.0), "T": ("you", 0), "N": ("not", 0), "R": ("said", 0), "O": ("tree", 0)}
+    rng = random.Random(8)
+    for _ in range(500):
+        classes = rng.choices("IHTNRO", k=rng.randint(1, 9))
+        want = {}
+        for i, c in enumerate(classes):
+            if c in "IH":
+                kind = c.lower() if "N" in classes[max(0, i - 3) : i] else "q" if "R" in classes[:i] else c
+                extra = {"I": 0.25, "H": 0.75}.get(kind, 0) if "T" in classes else 0
+                want[kind] = want.get(kind, 0) + words[c][1] * (toxicity.FACTOR[kind] + extra)
+        assert s.clause(" ".join(words[c][0] for c in classes)) == pytest.approx(want)
+
+
+def test_lexicons_are_chained():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abc", k=rng.randint(1, 5)))
+    first, second = ({word() + rng.choice(("", "$")): rng.random() for _ in range(12)} for _ in "ab")
+    chain = lexicon(first, "I").chained(lexicon(second, "H"))
+    for w in (word() for _ in range(500)):
+        hit = [[v for e, v in x.items() if (w == e[:-1] if e.endswith("$") else w.startswith(e))] for x in (first, second)]
+        want = ("I", max(hit[0])) if hit[0] else ("H", max(hit[1])) if hit[1] else ("$", 0.0)
+        steps = chain.run(w + "$")
+        assert (steps[-1][0], pytest.approx(sum(x for _, x in steps))) == want
+
+
+def test_samples_do_not_hang_on_the_partitioning(documents, labels):
+    """The models are the same however the rows lie, also where the characters' bound cuts the sample."""
+    for module, chars in ((toxicity, 60_000), (quality, 60_000)):
+        models = [module.fit(documents.repartition(n), labels, train_chars=chars) for n in (1, 5)]
+        assert models[0] == models[1]
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op7_quality"])
+def test_scores_against_plain_python(spark, sf, documents, labels, name):
+    """The whole table scored row by row without Spark."""
+    module = toxicity if name.startswith("op1") else quality
+    model = module.fit(documents, labels)
+    got = {r.doc_id: r for r in entries.queries()[name](spark, sf).collect()}
+    rows = documents.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = model.compiled().score(r.text) if module is toxicity else model.scores([r.text], [r.lang], [r.source])[0]
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == int(want >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_classifiers_on_very_long_texts(spark):
+    rows = [(1, "the idiot said. " * 200_000, "en", "s"), (2, "x" * 3_000_000, None, None), (3, "calm words " * 5, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert toxicity.score(df, toxicity.seed_model()).count() == quality.score(df, quality.Model()).count() == 3
+    assert {r.doc_id for r in toxicity.keep_clean(df, toxicity.seed_model()).collect()} == {2, 3}
+
+
 def test_toxicity_on_held_out_labels(documents, labels):
     model = toxicity.fit(documents, labels)
     got = toxicity.score(documents, model).join(labels, "doc_id").collect()
@@ -363,10 +418,64 @@ def test_near_copies_against_brute_force(spark, block):
     assert kept.columns == df.columns and kept.count() == classes
 
 
-def test_forest_shortens_prefixes_to_the_recall():
+def test_forest_knows_the_depth_for_a_similarity():
     f = near.Forest(24, 8, 0.8, 0.999)
-    assert f.depth < 8 and f.expected >= 0.999 and 1 - (1 - 0.8 ** (f.depth + 1)) ** 24 < 0.999
-    assert near.Forest(200, 8).depth == 8
+    assert f.shortest == 6 and f.found(0.8, 6) >= 0.999 > f.found(0.8, 7) and f.needed(0.95) == 8
+    assert near.Forest(200, 8).shortest == 8
+
+
+@pytest.mark.parametrize("changes, depth", [((1, 2), 8), ((3, 4), 6)])
+def test_prefixes_are_shortened_as_the_data_ask(spark, changes, depth):
+    """Copies that are all very close are found at the full depth; those near the threshold need shorter prefixes."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(40):
+        w = [word() for _ in range(200)]
+        rows.append((2 * i, " ".join(w)))
+        for k in range(rng.choice(changes)):
+            w[20 + 40 * k] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    docs, forest = spark.createDataFrame(rows, "doc_id long, text string"), near.Forest()
+    sketch = near.sketched(docs, "doc_id", "text", 5, forest)
+    nodes = sketch.groupBy("node").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("chars").alias("chars"), F.first("labels").alias("labels"))
+    found, at = near.links_found(docs, nodes, "doc_id", "text", 5, 0.8, forest, 1024, 2_000_000)
+    assert at == depth and found.where("links = 1").count() == 80
+
+
+def test_walk_ties_what_shares_a_prefix(spark):
+    """Over any number of partitions the edges connect the same texts, by depth, as all pairs do."""
+    rng, forest = random.Random(5), near.Forest(trees=3)
+    labels = {f"{i:03}".encode(): [int.from_bytes(bytes(rng.choice((0, 255)) if d > 2 else rng.choice((1, 200)) for d in range(8)), "big", signed=True) for _ in range(3)] for i in range(150)}
+    nodes = spark.createDataFrame([(bytearray(k), v) for k, v in labels.items()], "node binary, labels array<long>")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            edges = [(bytes(r.a), bytes(r.b), r.level) for r in near.tries(nodes, forest).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        names = sorted(labels)
+        for depth in (6, 7, 8):
+            prefix = {n: [(v >> (64 - 8 * depth)) for v in labels[n]] for n in names}
+            want = near.roots(len(names), np.array([(i, j) for i in range(150) for j in range(i) if any(a == b for a, b in zip(prefix[names[i]], prefix[names[j]], strict=True))]))
+            assert near.roots(len(names), np.array([(names.index(a), names.index(b)) for a, b, level in edges if level >= depth])) == want
+
+
+def test_copies_with_odd_columns(spark):
+    rows = [(1, "a b c d e f", "x", "y"), (2, "a b c d e f", "x", "y"), (3, "other words here", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __node string, __NAME string")
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == [rows[0], rows[2]]
+
+
+def test_very_long_copies(spark):
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(5000)}" for _ in range(400_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(["new", *w])), (3, " ".join(w[::-1])), (4, "short")]
+    got = near.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
 
 
 def test_overlaps_in_slices():
