@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -335,6 +336,39 @@ def test_redact(odd, empty):
     assert secrets.scan(empty).count() == 0 and secrets.scan(odd).count() == odd.count()
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "token=abcdef1", "own", "a", "b"), (2, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, __ALL string, __a string")
+    assert sorted(map(tuple, secrets.redact(df).collect())) == [(1, "[SECRET]", "own", "a", "b"), rows[1]]
+
+
+def test_redact_against_plain_python(spark):
+    rng = random.Random(6)
+    bits = ["token=abcdef1", "x", " ", "é🙂", "0123456789abcdef01234567", "\n", "word " * 300, "'", "AKIA" + "A" * 16, "y" * 1024]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(150)]
+
+    def plain(t):
+        out, at = [], 0
+        for a, _, b in all_spans(t, 400):
+            if a >= at:
+                out += [t[at:a], "[SECRET]"]
+            at = max(at, b)
+        return "".join(out) + t[at:]
+
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A hundred thousand findings in one text of megabytes; the time grows little faster than the text."""
+    df = spark.createDataFrame([(1, "token=abcdef1 user=bob77 and some more of the text " * 100_000)], "doc_id long, text string")
+    began = time.time()
+    r = secrets.scan(df).first()
+    assert r.n_assign == 100_000 and len(r.findings) == 200_000
+    assert secrets.redact(df).first().text == "[SECRET] [SECRET] and some more of the text " * 100_000
+    assert time.time() - began < 60
+
+
 # -- licences ----------------------------------------------------------------------------------------------
 
 
