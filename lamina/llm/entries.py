@@ -45,15 +45,15 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages' archives against a replica in which one page in 97 has a changed byte and one in 1009 lost one."""
+    """The pages' manifest against a replica that is written as archives and read back, with one page in 97 changed by a byte and one in 1009 by the loss of one."""
     from pyspark.sql import functions as F
 
     from lamina.llm.links import cut
-    from lamina.llm.merkle import manifest, report
+    from lamina.llm.merkle import archives, manifest, read_archives, report
 
     pages = _table(spark, sf_dir, "pages")
     html = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).when(F.col("page_id") % 1009 == 7, F.expr("substring(html, 2)")).otherwise(F.col("html"))
-    return report(cut(manifest(pages)), cut(manifest(pages.withColumn("html", html))))
+    return report(manifest(pages), read_archives(cut(archives(pages.withColumn("html", html)))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

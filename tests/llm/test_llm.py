@@ -632,6 +632,30 @@ def test_merkle_finds_each_kind_of_damage(spark):
     assert merkle.report(a, changed).where("state = 'ok'").count() == 299
 
 
+def test_records_missing_or_extra_in_the_middle(spark):
+    """What follows has moved; nothing else seems damaged."""
+    a = merkle.manifest(pages(spark, rows=range(200)), per_archive=64)
+    gap = merkle.manifest(pages(spark, rows=[i for i in range(200) if i not in (70, 100)]), per_archive=64)
+    for x, y, lone in ((a, gap, "missing"), (gap, a, "extra")):
+        got = collections.Counter((r.state, r.archive) for r in merkle.audit(x, y).collect())
+        assert got == {(lone, 1): 2, ("shifted", 1): 127 - 70 - 1}
+    both = merkle.manifest(pages(spark, lambda i, h: "Y" + h[1:] if i == 90 else h, rows=[i for i in range(200) if i != 70]), per_archive=64)
+    assert {(r.state, r.page_id) for r in merkle.audit(a, both).collect() if r.state != "shifted"} == {("missing", 70), ("corrupt", 90)}
+
+
+def test_null_ids_in_any_partitioning(spark):
+    """Very many rows without an id, some of them equal: the same archive however they are dealt out, and a count of copies off by one is one record."""
+    rows = [(None, "u", f"<p>{i % 1500}</p>") for i in range(3000)] + [(None, "u", "same")] * 2000
+    make = lambda rows, n: spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+    a, b = (merkle.manifest(make(rows, n), per_archive=64) for n in (3, 5))
+    assert a.select("part").distinct().count() > 8 and merkle.audit(a, b).count() == 0
+    assert merkle.audit(a, merkle.read_archives(merkle.archives(make(rows, 4), per_archive=64))).count() == 0
+    fewer = merkle.manifest(make(rows[:-1], 2), per_archive=64)
+    got = collections.Counter(r.state for r in merkle.audit(a, fewer).collect())
+    assert got["missing"] == 1 and got["corrupt"] == got["extra"] == 0
+    assert merkle.report(a, fewer).count() == 5000
+
+
 def test_archives_read_back(spark):
     wide = pages(spark, lambda i, h: h + "\r\n\r\né", rows=range(150))
     a, blobs = merkle.manifest(wide, per_archive=64), merkle.archives(wide, per_archive=64)
@@ -649,7 +673,7 @@ def test_merkle_roots_follow_the_bytes(spark):
     assert all(r.sha256 == hashlib.sha256((f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/{r.page_id}\r\nWARC-Record-ID: <urn:page:{r.page_id}>\r\nContent-Type: text/html\r\nContent-Length: {len(f'<p>{r.page_id}</p>' * (r.page_id % 5))}\r\n\r\n" + f"<p>{r.page_id}</p>" * (r.page_id % 5) + "\r\n\r\n").encode()).hexdigest() for r in rows if r.page_id >= 0)
     hot = pages(spark, rows=[3] * 900)
     parts = merkle.manifest(hot, per_archive=64)
-    assert parts.count() == 901 and parts.where("page_id = 3").select("part").distinct().count() > 1
+    assert merkle.records(parts).count() == 901 and parts.where("page_id = 3").select("part").distinct().count() > 1
     assert merkle.manifest(pages(spark).where("false")).count() == 0
 
 
