@@ -51,7 +51,10 @@ def hashed(pages: DataFrame, key: str, url: str, body: str, per_archive: int) ->
     parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most))).cast("int").alias("parts")
     large = pages.select(k.alias("k")).groupBy(archive.alias("archive")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("archive", parts)
     rec = pages.select(k.alias("k"), record(key, url, body).alias("r")).withColumn("archive", archive)
-    return rec.select("k", "archive", "r", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256")).join(large, "archive", "left")
+    rec = rec.select("k", "archive", "r", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
+    large = cut(large, 1)
+    # where no archive is split, which ids without repeats make sure of, no join moves the records
+    return rec.withColumn("parts", F.lit(None).cast("int")) if large.isEmpty() else rec.join(large, "archive", "left")
 
 
 def dealt(rows: DataFrame, *more: Column) -> DataFrame:
@@ -78,7 +81,7 @@ def archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
     rows = hashed(pages, key, url, body, per_archive)
     order = ["archive", "part", "k", "sha256", "length", "copies", "r"]
     usual = rows.where("parts IS NULL").select("archive", F.lit(0).alias("part"), "k", "sha256", "length", F.lit(1).cast("long").alias("copies"), "r")
-    rows = usual.unionByName(dealt(rows.where("parts IS NOT NULL"), F.first("r").alias("r")).select(*order))
+    rows = usual.unionByName(dealt(rows.where("parts IS NOT NULL"), F.first("r").alias("r")).select(*order))  # empty where no archive is split
     inside = F.array_sort(F.collect_list(F.struct(*order[2:])))
     return rows.groupBy("archive", "part").agg(F.array_join(F.transform(inside, lambda x: F.repeat(x.r, x.copies.cast("int"))), "").cast("binary").alias("bytes"))
 
