@@ -44,11 +44,24 @@ def column_mixing(text: Column) -> Column:
 
 
 def table_integrity(text: Column) -> Column:
-    """Share of tables (rows, a delimiter row, more rows) whose rows all have as many bars; 1 without tables."""
-    found = F.regexp_extract_all(text, F.lit(r"((?:\|.+\|\n)+(?:\|[-:| ]+\|\n)(?:\|.+\|\n)*)"), F.lit(1))
-    sound = lambda t: F.size(F.array_distinct(F.transform(lines(t), lambda r: F.regexp_count(r, F.lit(r"\|"))))) == 1
-    share = bind(found, lambda ts: F.when(F.size(ts) == 0, 1.0).otherwise(ratio(F.size(F.filter(ts, sound)), F.size(ts))))
-    return F.when(text.contains("|\n|"), share).otherwise(1.0)
+    """Share of tables whose rows all have as many bars; 1 without tables.
+
+    A table is a run of lines that begin and end with a bar and hold something between, each ended by a line feed, with a delimiter row (bars,
+    dashes, colons, blanks) after its first row. The lines are scanned for runs.
+    """
+    row = lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 2)
+    # the last piece of a split has no line feed behind it, so it is in no table
+    cut = lambda t: bind(F.split(t, "\n", -1), lambda p: F.slice(p, 1, F.size(p) - 1))
+    marked = F.transform(cut(text), lambda x: F.struct(row(x).alias("row"), x.rlike(r"^\|[-:| ]+\|$").alias("mark"), F.regexp_count(x, F.lit(r"\|")).alias("bars")))
+
+    def share(rows: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows))), lambda i: (i <= F.size(rows)) & F.get(rows, i - 1).row & ~F.coalesce(F.get(rows, i - 2).row, F.lit(False)))
+        runs = F.transform(first, lambda i: bind(F.slice(rows, i, F.size(rows) - i + 1), lambda rest: F.slice(rest, 1, F.coalesce(F.nullif(F.array_position(F.transform(rest, lambda x: x.row), False), F.lit(0)) - 1, F.size(rest).cast("long")).cast("int"))))
+        tables = F.filter(runs, lambda r: F.exists(F.slice(r, 2, F.size(r)), lambda x: x.mark))
+        sound = F.filter(tables, lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x.bars))) == 1)
+        return bind(F.struct(F.size(tables).alias("n"), F.size(sound).alias("ok")), lambda x: F.when(x.n == 0, 1.0).otherwise(ratio(x.ok, x.n)))
+
+    return F.when(text.contains("|\n|"), bind(marked, share)).otherwise(1.0)
 
 
 def repeated_lines(text: Column, often: int = 5) -> Column:
@@ -68,12 +81,16 @@ def density(text: Column, pages: Column) -> Column:
     return F.when(pages > 0, F.least(F.lit(1.0), ratio(F.length(text), pages) / 500.0)).otherwise(F.when(F.length(text) > 200, 1.0).otherwise(0.3))
 
 
+#: Fixed value: the least overlap with a reference that passes.
+LEAST_OVERLAP = 0.7
+
+
 def overlap_f1(text: Column, reference: Column) -> Column:
-    """F1 of the two word sets."""
+    """F1 of the two word sets; 1 for a reference without words, which asks for nothing."""
     sets = [F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")) for c in (text, reference)]
     both = F.size(F.array_intersect(*sets))
     p, r = ratio(both, F.size(sets[0])), ratio(both, F.size(sets[1]))
-    return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    return F.when(F.size(sets[1]) == 0, 1.0).otherwise(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
 
 
 def dense(rows: DataFrame, by: str, step: int = 1000) -> DataFrame:
@@ -89,8 +106,8 @@ def dense(rows: DataFrame, by: str, step: int = 1000) -> DataFrame:
 PASSES = {"content_not_empty": 1.0, "heading_structure": 0.2, "no_column_mixing": 0.7, "table_integrity": 1.0, "no_duplicate_content": 0.9, "content_density": 0.2}
 
 
-def fidelity(docs: DataFrame, key: str = "doc_id", text: str = "text", pages: Column | None = None) -> DataFrame:
-    """(key, check, score, passed): one row for each document and check, in one scan."""
+def fidelity(docs: DataFrame, key: str = "doc_id", text: str = "text", pages: Column | None = None, reference: Column | None = None) -> DataFrame:
+    """(key, check, score, passed): one row for each document and check, in one scan; where there is a reference text, its overlap is one more check."""
     t, p = F.coalesce(F.col(text), F.lit("")), pages if pages is not None else F.lit(0)
     scores = (not_empty(t), headings(t), column_mixing(t), table_integrity(t), repeated_lines(t), density(t, p))
     rows = []
@@ -99,7 +116,10 @@ def fidelity(docs: DataFrame, key: str = "doc_id", text: str = "text", pages: Co
         if name == "content_density":
             passed = F.when(p > 0, s >= least).otherwise(s == 1.0)
         rows.append(F.struct(F.lit(name).alias("check"), F.round(s, 6).alias("score"), passed.alias("passed")))
-    return docs.select(F.col(key), F.inline(F.array(*rows)))
+    if reference is not None:
+        s = overlap_f1(t, reference)
+        rows.append(F.when(reference.isNotNull(), F.struct(F.lit("reference_overlap").alias("check"), F.round(s, 6).alias("score"), (s >= LEAST_OVERLAP).alias("passed"))))
+    return docs.select(F.col(key), F.inline(F.array_compact(F.array(*rows))))
 
 
 def fidelity_report(long: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,9 +136,12 @@ def sampled_pages(total: Column, most: int = 10) -> Column:
     return F.when(total <= most, short).otherwise(F.array_sort(F.array_distinct(some)))
 
 
-def document_types(pages: DataFrame, key: str = "doc_id", chars: str = "n_chars", least: int = 50, most_scanned: float = 0.5) -> DataFrame:
-    """digital, hybrid, scanned or unknown by the share of pages with too few characters; unreadable pages count as scanned."""
+def document_types(pages: DataFrame, key: str = "doc_id", chars: str = "n_chars", least: int = 50, most_scanned: float = 0.5, documents: DataFrame | None = None) -> DataFrame:
+    """digital, hybrid or scanned by the share of pages with too few characters; single unreadable pages count as scanned. A document of which no page can
+    be read is unknown, and so are those of ``documents`` (key) without any page."""
     poor = F.when(F.coalesce(F.col(chars), F.lit(0)) < least, 1.0).otherwise(0.0)
-    per = pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.avg(poor).alias("share"))
-    kind = F.when(F.col("share") == 0, "digital").when(F.col("share") >= most_scanned, "scanned").otherwise("hybrid")
+    per = pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.avg(poor).alias("share"), F.count(chars).alias("_read"))
+    if documents is not None:
+        per = documents.select(key).distinct().join(per, key, "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
+    kind = F.when(F.coalesce("_read", F.lit(0)) == 0, "unknown").when(F.col("share") == 0, "digital").when(F.col("share") >= most_scanned, "scanned").otherwise("hybrid")
     return per.select(key, "n_pages", F.round("share", 6).alias("scanned_share"), kind.alias("pdf_type"))

@@ -10,9 +10,13 @@ def file_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def new_documents(docs: DataFrame, stored: DataFrame, hash_col: str = "file_hash") -> DataFrame:
-    """Documents whose hash isn't stored yet, one of each hash."""
-    return docs.join(stored.select(hash_col), hash_col, "left_anti").dropDuplicates([hash_col])
+def new_documents(docs: DataFrame, stored: DataFrame, hash_col: str = "file_hash", key: str | None = "doc_id") -> DataFrame:
+    """Documents whose hash isn't stored yet, of each hash the one with the smallest key."""
+    fresh = docs.join(stored.select(hash_col), hash_col, "left_anti")
+    if key is None:
+        return fresh.dropDuplicates([hash_col])
+    first = fresh.groupBy(hash_col).agg(F.min(key).alias("_first"))
+    return fresh.join(first.withColumnRenamed(hash_col, "_hash"), (F.col(hash_col) == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_first"))).drop("_hash", "_first").dropDuplicates([hash_col])
 
 
 def skipped_documents(docs: DataFrame, stored: DataFrame, hash_col: str = "file_hash") -> DataFrame:
@@ -50,11 +54,17 @@ def tail(logs: DataFrame, level: str, n: int, column: str = "level", at: str = "
 
 
 def report(docs: DataFrame, stored: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, state, n_chunks) of an ingestion: processed, or skipped as known."""
+    """(key, state, n_chunks, error, warnings) of an ingestion: processed, skipped as known or as a copy of a document of the batch, or failed where ``docs`` has an error."""
     known = stored.select("file_hash").distinct().withColumn("known", F.lit(True))
     per = table.groupBy(key).agg(F.count("*").alias("n_chunks"))
-    out = docs.select(key, "file_hash").join(known, "file_hash", "left").join(per, key, "left")
-    return out.select(key, F.when(F.col("known"), "SKIPPED").otherwise("COMPLETED").alias("state"), F.when(F.col("known"), 0).otherwise(F.coalesce("n_chunks", F.lit(0))).alias("n_chunks"))
+    first = docs.groupBy("file_hash").agg(F.min(key).alias("_first"))
+    out = docs.join(known, "file_hash", "left").join(per, key, "left").join(first, "file_hash", "left")
+    error = F.col("error").cast("string") if "error" in docs.columns else F.lit(None).cast("string")
+    warnings = F.col("warnings").cast("array<string>") if "warnings" in docs.columns else F.array().cast("array<string>")
+    copy = F.col("n_chunks").isNull() & (F.col(key) != F.col("_first"))
+    state = F.when(error.isNotNull(), "FAILED").when(F.col("known") | F.coalesce(copy, F.lit(False)), "SKIPPED").otherwise("COMPLETED")
+    n = F.when(F.col("known") | error.isNotNull(), 0).otherwise(F.coalesce("n_chunks", F.lit(0)))
+    return out.select(key, state.alias("state"), n.alias("n_chunks"), error.alias("error"), F.coalesce(warnings, F.array().cast("array<string>")).alias("warnings"))
 
 
 def ranked_last(events: DataFrame, by: str, n: int, at: str = "ts", order: str = "event_id") -> DataFrame:

@@ -5,8 +5,10 @@ Each function adds to one lazy plan. Global ranks are taken after a limit, so no
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,16 +57,20 @@ def vector_ranks(chunks: DataFrame, query: Sequence[float], pool: int = POOL) ->
     return ranked(chunks.where(F.col("embedding").isNotNull()), cosine(F.col("embedding"), literal(query)), pool, "vector_rank")
 
 
+def terms(question: str) -> list[str]:
+    """The question's words, cut as :func:`lamina.functions.columns.words` cuts the contents, each once."""
+    return sorted(set(re.findall(r"[^\W]+", question.lower())))
+
+
 def term_counts(chunks: DataFrame, question: str, id_col: str = "id", content: str = "content") -> DataFrame:
     """(id, term, tf) for the question's terms: a postings scan without a stored index."""
-    terms = sorted({w for w in question.lower().split() if w})
-    w = F.filter(words(F.col(content)), lambda t: t.isin(terms))
+    w = F.filter(words(F.col(content)), lambda t: t.isin(terms(question)))
     return chunks.select(F.col(id_col).alias("id"), F.explode(w).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def match_all(chunks: DataFrame, question: str) -> DataFrame:
     """(id, tf) of the chunks that hold every term; tf: occurrences of all terms."""
-    n = len({w for w in question.lower().split() if w})
+    n = len(terms(question))
     return term_counts(chunks, question).groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf")).where(F.col("n_terms") == n).select("id", "tf")
 
 
@@ -76,9 +82,19 @@ def postings(chunks: DataFrame, id_col: str = "id", content: str = "content") ->
 
 def match_postings(index: DataFrame, question: str) -> DataFrame:
     """Like :func:`match_all`, over a stored index; the filter on term prunes what is read."""
-    terms = sorted({w for w in question.lower().split() if w})
-    hit = index.where(F.col("term").isin(terms)).groupBy("id")
-    return hit.agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"), F.collect_list("positions").alias("places")).where(F.col("n_terms") == len(terms))
+    asked = terms(question)
+    hit = index.where(F.col("term").isin(asked)).groupBy("id")
+    return hit.agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"), F.collect_list("positions").alias("places")).where(F.col("n_terms") == len(asked))
+
+
+def match_places(chunks: DataFrame, question: str) -> DataFrame:
+    """(id, places) of the chunks that hold every term, without a stored index: each term's positions, all from one pass over the content and without a shuffle."""
+    asked = terms(question)
+    w = F.transform(words(F.col("content")), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    hits = chunks.select("id", F.filter(w, lambda x: x.t.isin(asked)).alias("_w"))
+    of = lambda term: F.transform(F.filter("_w", lambda x: x.t == F.lit(term)), lambda x: x.i)
+    places = F.array(*map(of, asked))
+    return hits.select("id", places.cast("array<array<int>>").alias("places")).where((F.size("places") > 0) & F.forall("places", lambda x: F.size(x) > 0))
 
 
 def _cover_density(places: list) -> float:
@@ -114,8 +130,13 @@ def cover_density(places: str) -> Column:
     return run(F.col(places))
 
 
-def text_ranks(chunks: DataFrame, question: str, pool: int = POOL) -> DataFrame:
-    return ranked(match_all(chunks, question), F.col("tf"), pool, "text_rank")
+def text_ranks(chunks: DataFrame, question: str, pool: int = POOL, by: str = "cover", index: DataFrame | None = None) -> DataFrame:
+    """(id, text_rank) of the chunks that hold every term, by cover density or by ``tf``; from a stored index of :func:`postings` if there is one."""
+    if by == "tf":
+        return ranked(match_all(chunks, question) if index is None else match_postings(index, question), F.col("tf"), pool, "text_rank")
+    hits = match_places(chunks, question) if index is None else match_postings(index, question)
+    # rounded, so that rounding in sums doesn't order chunks that are equal
+    return ranked(hits, F.round(cover_density("places"), 9), pool, "text_rank")
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -130,9 +151,9 @@ def fuse_outer(vector: DataFrame, text: DataFrame, k: int = RRF_K) -> DataFrame:
     return vector.join(text, "id", "full_outer").select("id", "vector_rank", "text_rank", (one("vector_rank") + one("text_rank")).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL) -> DataFrame:
-    """The best chunks by fused rank, with all their columns."""
-    fused = fuse(vector_ranks(chunks, query, pool), text_ranks(chunks, question, pool))
+def hybrid(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None) -> DataFrame:
+    """The best chunks by fused rank, with all their columns. Both rankings carry ids alone; ``index`` spares reading the contents."""
+    fused = fuse(vector_ranks(chunks, query, pool), text_ranks(chunks, question, pool, index=index), k)
     best = fused.orderBy(F.col("score").desc(), "id").limit(clamp(limit, MOST_HYBRID))
     return chunks.join(F.broadcast(best), "id")  # at most MOST_HYBRID rows
 
@@ -151,21 +172,63 @@ def resolve_parents(hits: DataFrame, chunks: DataFrame, few: bool = False) -> Da
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "priority")
 
 
-def search(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL) -> DataFrame:
+def search(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None) -> DataFrame:
     """Hybrid search with parents resolved, best first."""
-    return resolve_parents(hybrid(chunks, query, question, limit, pool), chunks, few=True).orderBy(F.col("score").desc(), "id")
+    return resolve_parents(hybrid(chunks, query, question, limit, pool, k, index), chunks, few=True).orderBy(F.col("score").desc(), "id")
 
 
 def rerank(hits: DataFrame, question: str, top: int = RERANK_TOP, scorer: Callable[[str, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """The first ``top`` hits, or the best by ``scorer``; score_kind says which score is shown."""
+    """The first ``top`` hits, or the best by ``scorer``; score_kind says which score is shown. If the scorer fails on any of the (few) hits, the ranks stay as they are."""
     if scorer is None:
         return hits.orderBy(F.col("score").desc(), "id").limit(top).withColumn("score_kind", F.lit("rrf"))
 
     @F.pandas_udf("double")
     def model(content: pd.Series) -> pd.Series:
-        return scorer(question, content)
+        try:
+            return pd.Series(scorer(question, content), dtype=float)
+        except Exception:  # noqa: BLE001  a failing model must not end the search
+            return pd.Series([None] * len(content), dtype=float)
+
+    scored = hits.withColumn("_model", model("content"))
+    failed = F.max(F.col("_model").isNull() | F.isnan("_model")).over(Window.partitionBy(F.lit(1)))  # hits come from a limit
+    scored = scored.withColumn("_failed", failed).withColumn("score", F.when(F.col("_failed"), F.col("score")).otherwise(F.col("_model")))
+    kind = F.when(F.col("_failed"), "rrf").otherwise("model")
+    return scored.orderBy(F.col("score").desc(), "id").limit(top).withColumn("score_kind", kind).drop("_model", "_failed")
 
-    return hits.withColumn("score", model("content")).orderBy(F.col("score").desc(), "id").limit(top).withColumn("score_kind", F.lit("model"))
+
+def vector_topk_batch(chunks: DataFrame, questions: DataFrame, k: int = 5, threshold: float | None = None) -> DataFrame:
+    """(question_id, id, score) of the k most similar chunks of each of ``questions`` (question_id, embedding), which come in batches of at most 1,000.
+
+    Every chunk is read once; each task keeps the best k of a question before anything is shuffled.
+    """
+    asked = questions.limit(1001).select("question_id", F.col("embedding").cast("array<double>").alias("e")).collect()
+    if len(asked) > 1000:
+        raise ValueError("at most 1,000 questions at once")
+    k = clamp(k, MOST_VECTOR)
+    if not asked:
+        return chunks.select(F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
+    ids, q = [r.question_id for r in asked], np.array([r.e for r in asked], float)
+    q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, np.nan, n)
+    kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, score double"
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for f in frames:
+            if not len(f):
+                continue
+            v = np.array([np.asarray(x, float) for x in f["embedding"]]).reshape(len(f), -1)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            s = (v / np.where(length == 0, np.nan, length)) @ q.T
+            new = pd.DataFrame({"question": np.tile(np.arange(len(ids)), len(f)), "id": np.repeat(f["id"].to_numpy(), len(ids)), "score": s.ravel()}).dropna(subset=["score"])
+            kept = new if kept is None else pd.concat([kept, new])
+            kept = kept.sort_values(["question", "score", "id"], ascending=[True, False, True]).groupby("question").head(k)
+        if kept is not None and len(kept):
+            yield pd.DataFrame({"question_id": [ids[i] for i in kept["question"]], "id": kept["id"], "score": kept["score"]})
+
+    found = chunks.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInPandas(best, kinds)
+    first = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "id")
+    top = found.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    return top if threshold is None else top.where(F.col("score") >= threshold)
 
 
 def label(meta: Column, chunk_index: Column) -> Column:

@@ -13,7 +13,7 @@ from lamina.functions.rules import CompanyRules
 from lamina.operators import checks, embedding, jobs, retrieval
 from lamina.operators.chunking import chunks
 from lamina.operators.cleaning import post_process
-from lamina.sources.sinks import store_batch
+from lamina.sources.sinks import mark, stored
 
 
 @dataclass(frozen=True)
@@ -36,16 +36,28 @@ def job_events(docs: DataFrame, status: str, key: str = "doc_id", error: str | N
     return docs.select(F.sha2(F.col(key).cast("string"), 256).alias("job_id"), F.col(key).cast("string").alias("policy_id"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("ts"))
 
 
-def ingest(docs: DataFrame, stored: DataFrame, folder: str, batch: int, factory: Callable[[], embedding.Model], settings: Settings = Settings(), company: CompanyRules | None = None, extractor=None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """New documents cleaned, checked, chunked, embedded and stored under a batch number; returns the report."""
+def ingest(docs: DataFrame, known: DataFrame, folder: str, batch: int, factory: Callable[[], embedding.Model], settings: Settings = Settings(), company: CompanyRules | None = None, extractor=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """New documents cleaned, checked, chunked, embedded and stored under a batch number; returns the report.
+
+    Documents are written first, and chunks, policies, facts and jobs derive from what was written: cleaning and models run once, and
+    all tables name the same documents. Of copies within the batch the one with the smallest key is stored.
+    """
+    spark = docs.sparkSession
     hashed = docs.withColumn("file_hash", jobs.file_hash(F.col(text)))
-    fresh = jobs.new_documents(hashed, stored)
-    clean = embedding.facts(post_process(fresh, text, company, settings.most_blank_lines), extractor, text)
+    fresh = jobs.new_documents(hashed, known, key=key)
+    clean = embedding.facts(post_process(fresh, text, company, settings.most_blank_lines), extractor, text, most=settings.facts_chars)
     codes = checks.validation_codes(F.lit("success"), F.col(text), F.lit(0), F.lit(0), F.col("context.errors"))
-    table = embedding.embed(chunks(clean, key, text, size=settings.chunk_size, child_size=settings.child_size, child_overlap=settings.child_overlap), factory, settings.embedding_dim, settings.embedding_batch)
-    spark = docs.sparkSession
-    store_batch(spark, folder, batch, documents=clean.withColumn("codes", codes).drop("context"), chunks=table, jobs=job_events(fresh, "COMPLETED", key).unionByName(job_events(jobs.skipped_documents(hashed, stored), "SKIPPED", key)))
-    return jobs.report(hashed, stored.select("file_hash"), spark.read.parquet(f"{folder}/chunks/batch={batch}"), key)
+    clean = stored(spark, folder, batch, "documents", clean.withColumn("codes", codes).drop("context"))
+    policy = F.col(key).cast("string").alias("policy_id")
+    stored(spark, folder, batch, "policies", clean.select(policy, "file_hash", F.upper("company_sigla").alias("company_sigla"), F.octet_length(text).cast("long").alias("markdown_size_bytes"), F.current_timestamp().alias("created_at")))
+    stored(spark, folder, batch, "facts", clean.select(policy, "facts"))
+    table = stored(spark, folder, batch, "chunks", embedding.embed(chunks(clean, key, text, size=settings.chunk_size, child_size=settings.child_size, child_overlap=settings.child_overlap), factory, settings.embedding_dim, settings.embedding_batch))
+    report = jobs.report(hashed, known.select("file_hash"), table, key)
+    done = report.select(key, "state").join(clean.select(key).withColumn("_new", F.lit(True)), key, "left")
+    events = job_events(done.where("_new"), "COMPLETED", key).unionByName(job_events(done.where("_new IS NULL AND state = 'SKIPPED'"), "SKIPPED", key))
+    stored(spark, folder, batch, "jobs", events)
+    mark(spark, folder, batch)
+    return report
 
 
 def ask(chunk_table: DataFrame, question: Question, factory: Callable[[], embedding.Model], complete=None, scorer=None, settings: Settings = Settings(), hybrid: bool = True) -> DataFrame:
@@ -53,7 +65,7 @@ def ask(chunk_table: DataFrame, question: Question, factory: Callable[[], embedd
     table = retrieval.filtered(chunk_table, policy_id=question.policy_id, sigla=question.sigla)
     vector = embedding.embed_question(question.text, factory, settings.embedding_dim)
     if hybrid:
-        hits = retrieval.rerank(retrieval.search(table, vector, question.text, settings.children, settings.pool), question.text, settings.rerank_top, scorer)
+        hits = retrieval.rerank(retrieval.search(table, vector, question.text, settings.children, settings.pool, settings.rrf_k), question.text, settings.rerank_top, scorer)
     else:
         hits = retrieval.vector_topk(table, vector, question.top_k, question.threshold)
     index = F.col("chunk_index") if "chunk_index" in table.columns else F.col("id")

@@ -29,8 +29,31 @@ def report(text: Column, status: Column, pages: Column, tables: Column, seconds:
     )
 
 
+def document_set(docs: DataFrame, folder: str, name: str = "document_id", text: str = "markdown", mode: str = "append") -> None:
+    """The whole output of each document as files of rows: md (text lines), json (raw result), metadata and report (JSON), one folder each, partitioned by company; all four from one frame, so callers pass what is stored, not what is computed anew."""
+    rows = docs.withColumn("company_sigla", F.coalesce("company_sigla", F.lit("UNKNOWN")))
+    value = lambda c: F.coalesce(F.col(c), F.lit(None)) if c in docs.columns else F.lit(None)
+    scalar = [c for c, t in docs.dtypes if c not in (text, "raw", "company_sigla") and t not in ("variant", "binary")]
+    made = report(F.col(text), value("status").cast("string"), value("page_count").cast("int"), value("tables_detected").cast("int"), value("extraction_time_seconds").cast("double"), value("headers_removed").cast("int"), value("footers_removed").cast("int"))
+    parts = {"md": F.col(text).cast("string"), "json": F.to_json(F.struct(F.col(name), *([F.col("raw")] if "raw" in docs.columns else []), F.col(text))), "metadata": F.to_json(F.struct(*scalar)), "report": made}
+    for kind, content in parts.items():
+        rows.select(F.col(name), content.alias("content"), "company_sigla").write.mode(mode).partitionBy("company_sigla").parquet(f"{folder}/{kind}")
+
+
+def stored(spark: SparkSession, folder: str, batch: int, name: str, df: DataFrame) -> DataFrame:
+    """A table of one batch, written under batch=<n> (a repeated batch replaces itself) and read from there, so that nothing is computed twice."""
+    path = f"{folder}/{name}/batch={batch}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession, folder: str, batch: int) -> None:
+    """The batch's marker, to be written last."""
+    spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("stored_at")).write.mode("overwrite").parquet(f"{folder}/_batches/batch={batch}")
+
+
 def store_batch(spark: SparkSession, folder: str, batch: int, **tables: DataFrame) -> None:
-    """All tables of one ingestion batch, each under batch=<n>; a repeated batch replaces itself, and the marker is written last."""
+    """All tables of one ingestion batch, then its marker."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-    spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("stored_at")).write.mode("overwrite").parquet(f"{folder}/_batches/batch={batch}")
+        stored(spark, folder, batch, name, df)
+    mark(spark, folder, batch)

@@ -8,25 +8,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lamina.operators.chunking import chunks
 from lamina.operators.cleaning import post_process
-from lamina.operators.jobs import file_hash
-from lamina.sources.sinks import store_batch
-
-
-def once(docs: DataFrame, text: str = "text", at: str | None = None, late: str = "1 day") -> DataFrame:
-    """Drops documents whose hash has come before; with a time column the memory is bounded by the watermark."""
-    hashed = docs.withColumn("file_hash", file_hash(F.col(text)))
-    if at is None:
-        return hashed.dropDuplicates(["file_hash"])
-    return hashed.withWatermark(at, late).dropDuplicatesWithinWatermark(["file_hash"])
+from lamina.operators.jobs import file_hash, new_documents
+from lamina.sources.sinks import mark, stored
 
 
 def ingest(spark: SparkSession, source: str, schema: str, folder: str, state: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Reads Parquet files as they come; each batch's documents and chunks are written under its number, so a repeated batch replaces itself."""
-    stream = once(spark.readStream.schema(schema).parquet(source), text)
+    """Reads Parquet files as they come; each batch's documents and chunks are written under its number, so a repeated batch replaces itself.
+
+    What the store holds already is left out by a join against its hashes, those of other batches only, so the stream keeps no state of its own that
+    would grow with the documents.
+    """
+    stream = spark.readStream.schema(schema).parquet(source).withColumn("file_hash", file_hash(F.col(text)))
 
     def store(batch: DataFrame, number: int) -> None:
-        clean = post_process(batch.persist(), text)
-        store_batch(batch.sparkSession, folder, number, documents=clean.drop("context"), chunks=chunks(clean, key, text))
-        batch.unpersist()
+        session = batch.sparkSession
+        known = stored_hashes(session, folder, number)
+        fresh = new_documents(batch, known, key=key)
+        clean = stored(session, folder, number, "documents", post_process(fresh, text).drop("context"))
+        stored(session, folder, number, "chunks", chunks(clean, key, text))
+        mark(session, folder, number)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def stored_hashes(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Hashes of all batches but this one, which may be here from a run that was broken off."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "file_hash string")
+    return spark.read.parquet(f"{folder}/documents").where(F.col("batch") != number).select("file_hash")

@@ -27,9 +27,12 @@ def chunk_rows(spark):
 def test_fusion_by_hand(spark):
     c = chunk_rows(spark)
     fused = {r.id: r.score for r in retrieval.fuse(retrieval.vector_ranks(c, [1.0, 0.0]), retrieval.text_ranks(c, "alpha beta")).collect()}
-    # vector: 1, 2, 5, 3; text by occurrences: 4 (4), 2 (3), 1 (2)
-    want = {1: 1 / 61 + 1 / 63, 2: 1 / 62 + 1 / 62, 5: 1 / 63, 3: 1 / 64, 4: 1 / 61}
+    # vector: 1, 2, 5, 3; text by covers: 4 (three), then 1 and 2 (one each)
+    want = {1: 1 / 61 + 1 / 62, 2: 1 / 62 + 1 / 63, 5: 1 / 63, 3: 1 / 64, 4: 1 / 61}
     assert fused == pytest.approx(want)
+    # by occurrences: 4 (4), 2 (3), 1 (2)
+    by_tf = {r.id: r.text_rank for r in retrieval.text_ranks(c, "alpha beta", by="tf").collect()}
+    assert by_tf == {4: 1, 2: 2, 1: 3}
     outer = {r.id: r.score for r in retrieval.fuse_outer(retrieval.vector_ranks(c, [1.0, 0.0]), retrieval.text_ranks(c, "alpha beta")).collect()}
     assert outer == pytest.approx(want)
 
@@ -37,7 +40,7 @@ def test_fusion_by_hand(spark):
 def test_parent_gets_the_childs_score(spark):
     c = chunk_rows(spark)
     found = {r.id: r.score for r in retrieval.search(c, [1.0, 0.0], "alpha beta").collect()}
-    assert set(found) == {1, 4, 5} and found[1] == pytest.approx(2 / 62)
+    assert set(found) == {1, 4, 5} and found[1] == pytest.approx(1 / 62 + 1 / 63)
 
 
 def test_threshold_after_limit_and_null_vectors(spark):
