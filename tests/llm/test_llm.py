@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import time
@@ -388,16 +389,67 @@ def test_licence_scores_equal_numpy(spark):
     model = licenses.train()
     texts = ["Released under the MIT License.", "All rights reserved. Apache License"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in licenses.paragraphs(df, model).collect():
+    frame, at = licenses.paragraphs(df, model)
+    for r in frame.collect():
         z = np.array(model.bias)
         for g in licenses.grams(licenses.tokens(texts[r.doc_id])):
             z = z + np.array(model.weights.get(g, [0.0] * len(z)))
         p = np.exp((z - z.max()) / model.temperature)
         p = p / p.sum()
-        for found in r["__found"]:
+        for found in r[at]:
             assert found.chance == pytest.approx(p.max(), abs=1e-5) and found.family == licenses.FAMILIES[int(p.argmax())]
 
 
+def plain_licences(text, model, overlap=0.6):
+    """(paragraph, family, confirmed) of one text."""
+    out = []
+    if not re.search(licenses.CUE, text or ""):
+        return out
+    for i, line in enumerate(re.sub(licenses.WRAP, " ", text).split("\n")):
+        if not re.search(licenses.CUE, line):
+            continue
+        w = licenses.tokens(line)
+        z = np.array(model.bias)
+        for g in licenses.grams(w):
+            z = z + np.array(model.weights.get(g, [0.0] * len(z)))
+        p = np.exp((z - z.max()) / model.temperature)
+        p = p / p.sum()
+        k = int(z.argmax())
+        if k < len(licenses.FAMILIES) and p[k] >= model.least:
+            f = licenses.FAMILIES[k]
+            mine = set(w)
+            sure = any(len(mine & set(licenses.tokens(t))) >= overlap * min(len(mine), len(set(licenses.tokens(t)))) and (not own or mine & set(own)) for t, own in zip(licenses.TEMPLATES[f], licenses.own_words()[k], strict=True))
+            out.append((i, f, sure))
+    return out
+
+
+def test_licences_of_whole_table_against_plain_python(spark, sf, documents):
+    model = licenses.train()
+    got = {r.doc_id: r for r in entries.op4_licenses(spark, sf).collect()}
+    rows = documents.collect()
+    assert len(got) == len(rows) and any(r.families for r in got.values())
+    for r in rows:
+        want = plain_licences(r.text, model)
+        assert [(x["paragraph"], x["family"], x["confirmed"]) for x in json.loads(got[r.doc_id].findings)] == want
+        assert got[r.doc_id].n_findings == len(want) and got[r.doc_id].families == ",".join(sorted({f for _, f, sure in want if sure}))
+
+
+def test_licences_outside_the_list_are_unknown(spark):
+    texts = [*licenses.LEFT_OUT, "Licensed under the CeCILL License, version 2.1.", "EUPL v1.2 applies.", "Eclipse Public License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.families for r in licenses.scan(df).collect()} == {""}
+
+
+def test_wrapped_and_very_long_licences(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\ndocumentation files"
+    long = "plain words here. " * 200_000 + "\nReleased under the MIT License.\n" + "x" * 1_000_000
+    df = spark.createDataFrame([(1, grant, "a", "b"), (2, long, None, None)], "doc_id long, text string, __found string, __WORDS string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got[1].families == got[2].families == "mit" and got[1].n_findings == 1
+    frame, at = licenses.paragraphs(df, licenses.train())
+    assert frame.columns == [*df.columns, at] and {(r["__found"], r["__WORDS"]) for r in frame.collect()} == {("a", "b"), (None, None)}
+
+
 # -- near copies -------------------------------------------------------------------------------------------
 
 
