@@ -2,20 +2,21 @@
 
 A vector is coded as a sum of ``books`` full-dimensional codewords. Codebooks are fitted one after
 another to the residuals of a bounded sample (k-means, ``sample_rows`` rows), then all together by least
-squares; codes come from beam search. The index holds every row: its codes, the norm of its
-reconstruction and the norm of what the reconstruction leaves out. A query makes one table of inner products
-with all codewords; a row's approximate score is the sum of its codes' entries. The spread of the error
-follows from the stored residual norm, |q| |r| / sqrt(d): rows whose score plus ``width`` spreads reaches
-the ``top``-th best score less as much are scored exactly on the original vectors. That set
+squares; codes come from beam search. The index holds every row: its codes, the norm of its reconstruction, the row's extent along
+it, and the norm of what stands across it. A query makes one table of inner products
+with all codewords; the sum of a row's entries is the query's inner product with the reconstruction, and by the stored norm the query's part
+along it, whose share of the score is exact. What is unknown is the product of what is left of both, whose spread is
+|q'| |r| / sqrt(d - 1). Rows whose score plus ``width`` spreads reaches the threshold are scored exactly on the original vectors. The
+threshold is the ``top``-th best exact score so far: of the sample (shared by all shards), or of the shard's most promising rows. Copies of a query leave out the
+same as the query does; where the most promising rows show that, their error takes the place of the spread. The set to rerank
 has no cap, so groups of near copies are ranked exactly too.
 
-Work is a stated query set against all rows, in blocks: shards of ``shard_rows`` rows and groups of
-``query_rows`` queries, each pair one bounded task; each returns ``top`` rows a query.
+Work is a stated query set against all rows: each shard of ``shard_rows`` rows is one block, and the queries stream past it.
+A length of vectors that isn't the sample's most frequent one is searched exactly, among its like.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part; ties go to the smaller key; repeated candidate rows are all reported, of a query's rows the smallest vector
-asks, once, and never meets rows of its own key; vectors whose length isn't the sample's most frequent
-one are left out; an empty table gives no rows.
+asks, once, and never meets rows of its own key; vectors of different lengths have no inner product; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.blocks import best, dealt, n_blocks, paired, usable
+from lamina.llm.blocks import best, dealt, n_blocks, packed, streamed, usable
+from lamina.llm.links import cut
+from lamina.llm.memory import tidy
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> np.ndarray:
@@ -106,80 +109,122 @@ class AdditiveQuantiser:
         return np.einsum("mkd,qd->mkq", self.books, q, optimize=True)
 
 
-def fit(rows: DataFrame, sample_rows: int = 8192, books: int = 16, words: int = 64) -> AdditiveQuantiser | None:
-    """Trains in one task on the first ``sample_rows`` usable rows in hash order."""
-    sample = rows.orderBy(F.xxhash64("k", "v"), "k").limit(sample_rows).repartition(1)
+def fit(rows: DataFrame, sample_rows: int = 8192, books: int = 24, words: int = 64) -> tuple[AdditiveQuantiser, np.ndarray, np.ndarray] | None:
+    """Trains in one task on the first ``sample_rows`` usable rows in hash order; the model, and the sample's keys and vectors."""
+    sample = rows.orderBy(F.xxhash64("k", "v"), "k").limit(sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("k", "v"), "k")
 
     def run(batches):
-        v = [np.asarray(x, float) for b in batches for x in b.column(1).to_pylist()]
-        if v:
-            n = np.bincount([len(x) for x in v])
-            model = AdditiveQuantiser.fit(np.array([x for x in v if len(x) == n.argmax()]), books, words)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.books)], pa.binary())], names=["model"])
+        found = [(k, np.asarray(x, float)) for b in batches for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        if found:
+            d = np.bincount([len(x) for _, x in found]).argmax()
+            keys, x = np.array([k for k, v in found if len(v) == d]), np.array([v for _, v in found if len(v) == d])
+            model = AdditiveQuantiser.fit(x, books, words)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.books, keys, x))], pa.binary())], names=["model"])
 
-    found = sample.mapInArrow(run, "model binary").collect()
-    return AdditiveQuantiser(pickle.loads(bytes(found[0].model))) if found else None
+    found = sample.mapInArrow(tidy(run), "model binary").collect()
+    if not found:
+        return None
+    made, keys, x = pickle.loads(bytes(found[0].model))
+    return AdditiveQuantiser(made), keys, x
 
 
-def index(rows: DataFrame, model: AdditiveQuantiser) -> DataFrame:
-    """(k, v, codes, norm, left) of every row of the model's dimension."""
-    d = model.books.shape[2]
+def scored(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products row by row, so that equal vectors get equal scores wherever they stand."""
+    return np.einsum("ij,j->i", x, q)
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096).filter(pa.array([len(x) == d for x in b.column(1).slice(at, 4096).to_pylist()], pa.bool_()))
-                if part.num_rows:
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                    codes = model.encode(x)
-                    back = model.decode(codes)
-                    cols = [part.column(0), part.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(np.linalg.norm(back, axis=1)), pa.array(np.linalg.norm(x - back, axis=1))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["k", "v", "codes", "norm", "left"])
-
-    return rows.mapInArrow(run, "k long, v array<double>, codes binary, norm double, left double")
-
-
-def scan(model: AdditiveQuantiser, keys: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, ids: np.ndarray, q: np.ndarray, top: int, width: float) -> list[tuple[int, int, float]]:
-    """(query, key, exact score) of the best rows of one shard for one block of queries."""
-    tables, norm = model.tables(q), np.linalg.norm(q, axis=1)
-    rough = np.zeros((len(codes), len(q)), np.float32)
-    for b in range(codes.shape[1]):
-        rough += tables[b].astype(np.float32)[codes[:, b]]
-    spread, out = (left / np.sqrt(x.shape[1])).astype(np.float32), []
-    for j in range(len(q)):
-        s, e = rough[:, j], width * norm[j] * spread
-        sure = np.where(keys != ids[j], s - e, -np.inf)
-        bar = np.partition(sure, len(sure) - top)[len(sure) - top] if len(sure) > top else -np.inf
-        cand = np.flatnonzero((s + e >= bar) & (keys != ids[j]))
-        # row by row, so that equal vectors get equal scores wherever they stand
-        exact = np.einsum("ij,j->i", x[cand], q[j])
-        order = np.lexsort((keys[cand], -exact))[:top]
-        out += zip([int(ids[j])] * len(order), keys[cand[order]].tolist(), exact[order].tolist(), strict=True)
-    return out
-
-
-def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20, width: float = 2.0, shard_rows: int = 16384, query_rows: int = 8192, sample_rows: int = 8192, books: int = 16, words: int = 64) -> DataFrame:
+
+def kth(scores: np.ndarray, top: int) -> float:
+    return float(np.partition(scores, len(scores) - top)[len(scores) - top]) if len(scores) >= top else -np.inf
+
+
+@dataclass
+class Shard:
+    """One block of the index: rows of the model's length, and those of any other."""
+
+    keys: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    norm: np.ndarray
+    along: np.ndarray
+    left: np.ndarray
+    others: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def build(pdf: pd.DataFrame, model: AdditiveQuantiser) -> Shard:
+        d, n, keys = model.books.shape[2], pdf["v"].map(len).to_numpy(), pdf["k"].to_numpy()
+        of = lambda w: (keys[n == w], np.array([np.asarray(v, float) for v in pdf["v"].to_numpy()[n == w]]).reshape(-1, w))
+        own, x = of(d)
+        codes = model.encode(x)
+        back = model.decode(codes)
+        norm = np.linalg.norm(back, axis=1)
+        along = np.einsum("ij,ij->i", x, back) / np.where(norm > 0, norm, 1)  # the row's extent along its reconstruction
+        left = np.sqrt(np.maximum(0, (x**2).sum(1) - along**2))
+        return Shard(own, x, codes.astype(np.uint8), norm, along, left, {int(w): of(w) for w in np.unique(n) if w != d})
+
+    def search(self, model: AdditiveQuantiser, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int, width: float) -> tuple[list[tuple[int, int, float]], int]:
+        """(query, key, exact score) of the best rows, and how many rows were scored exactly."""
+        tables, out, reranked = model.tables(q), [], 0
+        inner = np.zeros((len(self.codes), len(q)), np.float32)
+        for b in range(self.codes.shape[1]):
+            inner += tables[b].astype(np.float32)[self.codes[:, b]]
+        part = inner / np.where(self.norm > 0, self.norm, 1).astype(np.float32)[:, None]  # the query's part along each reconstruction
+        for j in range(len(q)):
+            p, other = part[:, j], self.keys != ids[j]
+            rough = p * self.along
+            unknown = self.left * np.sqrt(np.maximum(0, q[j] @ q[j] - p.astype(float) ** 2))
+            # the most promising rows' exact scores bound the k-th best from below
+            first = np.flatnonzero(other)
+            if len(first) > 2 * top:
+                first = first[np.argpartition(-rough[first], 2 * top)[: 2 * top]]
+            exact = scored(self.x[first], q[j])
+            bar = max(floors[j], kth(exact, top))
+            # copies of the query leave out what the query leaves out: then the error is no chance, and as large as with these rows
+            aligned = np.quantile((exact - rough[first]) / (unknown[first] + 1e-12), 0.75) if len(first) else 0.0
+            e = max(width / np.sqrt(max(1, q.shape[1] - 1)), min(1.0, 1.05 * aligned)) * unknown + 1e-6 * (1 + np.abs(rough))
+            near = (rough + e >= bar) & other
+            near[first] = True
+            found = np.flatnonzero(near)
+            exact = scored(self.x[found], q[j])
+            reranked += len(found)
+            order = np.lexsort((self.keys[found], -exact))[:top]
+            out += zip([int(ids[j])] * len(order), self.keys[found[order]].tolist(), exact[order].tolist(), strict=True)
+        return out, reranked
+
+
+def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20, width: float = 2.5, shard_rows: int = 16384, sample_rows: int = 8192, books: int = 24, words: int = 64) -> DataFrame:
     """(query_id, rank, ``key``, score) of every row of which ``is_query`` (over column ``k``) holds."""
     rows = usable(vectors, key, vector).where(F.exists("v", lambda x: x != 0))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    model = fit(rows, sample_rows, books, words)
-    if model is None:
+    fitted = fit(rows, sample_rows, books, words)
+    if fitted is None:
         return rows.select(F.col("k").alias("query_id"), F.lit(1).alias("rank"), F.col("k").alias(key), F.lit(0.0).alias("score")).where(F.lit(False))
+    model, keys, sample = fitted
     d = model.books.shape[2]
-    shards, groups = n_blocks(counts.n, shard_rows), n_blocks(counts.q, query_rows)
-    asked = rows.where(is_query & (F.size("v") == d)).groupBy("k").agg(F.min("v").alias("v"))
-    left, right = paired(index(rows, model).withColumn("s", dealt(shards)), asked.withColumn("g", dealt(groups, "q")), shards, groups)
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            x = np.array([np.asarray(v, float) for v in a["v"]])
-            codes = np.frombuffer(b"".join(a["codes"]), np.uint8).reshape(len(a), -1)
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                q = np.array([np.asarray(v, float) for v in part["v"]])
-                out += scan(model, a["k"].to_numpy(), x, codes, a["left"].to_numpy(), part["k"].to_numpy(), q, top, width)
-        return pd.DataFrame(out, columns=["q", "k", "score"]).astype({"q": "int64", "k": "int64", "score": "float64"})
-
-    found = left.groupBy("s", "g").cogroup(right.groupBy("s", "g")).applyInPandas(run, "q long, k long, score double")
-    return best(found, top).select(F.col("q").alias("query_id"), "rank", F.col("k").alias(key), "score")
+    shards = n_blocks(rows.count(), shard_rows)
+    asked = rows.where(is_query).groupBy("k").agg(F.min("v").alias("v"))
+
+    def floors(batches):
+        # the k-th best exact score among the sample, less what rounding can do
+        for b in batches:
+            v = [np.asarray(x, float) for x in b.column(1).to_pylist()]
+            bars = []
+            for k, q in zip(b.column(0).to_pylist(), v, strict=True):
+                bar = kth(sample[keys != k] @ q, top) if len(q) == d else -np.inf
+                bars.append(bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else -np.inf)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bars, pa.float64())], names=["k", "v", "floor"])
+
+    told = cut(asked.mapInArrow(tidy(floors), "k long, v array<double>, floor double"))
+    blocks = packed(rows.withColumn("s", dealt(shards)), lambda pdf: Shard.build(pdf, model))
+
+    def search(block: Shard, ids: np.ndarray, v: list[np.ndarray], bars: np.ndarray):
+        own = np.array([i for i, x in enumerate(v) if len(x) == d], int)
+        if len(own) and len(block.keys):
+            yield from block.search(model, ids[own], np.array([v[i] for i in own]), bars[own], top, width)[0]
+        for i, x in enumerate(v):
+            if len(x) != d and len(x) in block.others:
+                there, rows_of = block.others[len(x)]
+                other = np.flatnonzero(there != ids[i])
+                exact = scored(rows_of[other], x)
+                order = np.lexsort((there[other], -exact))[:top]
+                yield from zip([int(ids[i])] * len(order), there[other[order]].tolist(), exact[order].tolist(), strict=True)
+
+    return best(streamed(blocks, told, shards, search, "double"), top).select(F.col("q").alias("query_id"), "rank", F.col("k").alias(key), "score")

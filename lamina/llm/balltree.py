@@ -1,19 +1,19 @@
 """Operator 8: exact top-k by integer inner product, ball-tree branch and bound per shard.
 
 Vectors become integers floor(scale * x). Rows are dealt into shards of about ``shard_rows``; each
-shard builds a ball tree. Search has two passes over the same trees. The first visits, for each query,
+shard's ball tree is built once and stored. Queries stream past the trees in two passes. The first visits, for each query,
 only the leaf with the highest upper bound in every shard; the k-th best score over all shards is
 then the query's shared threshold. The second pass visits nodes in order of their upper bound
 ``q.c + |q| r`` and drops a node once its bound is under the larger of the shared threshold and the
 shard's own k-th score, so every row that could be among the best is scored exactly.
 
 Inner products are computed in float64 where they stay under 2**53, and so are exact; else as 64-bit
-integers; beyond those the job fails with OverflowError. The bound is widened by a relative 1e-9, so rounding never drops a row.
+integers; where they may not fit into those, as Python's, and scores beyond a long count as the nearest long. Components beyond a long count likewise. The bound is widened by a relative 1e-9, so rounding never drops a row.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; ties
 go to the smaller key; repeated rows with one key are candidates of their own and are all reported; of
 a query's rows the smallest vector asks, once, and never meets rows of its own key; fewer candidates than ``top`` are all returned; an empty table
-gives no rows. Vectors of another length than the query's have no inner product with it and are left out.
+gives no rows; other columns are ignored. Vectors of another length than the query's have no inner product with it and are left out.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.blocks import best, dealt, n_blocks, paired, usable
+from lamina.llm.blocks import best, dealt, n_blocks, packed, streamed, usable
 
 EXACT = float(2**53)
 
@@ -81,7 +81,9 @@ def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     if most < EXACT:
         return q @ rows.T
     if most >= 2.0**63:
-        raise OverflowError("inner products don't fit into a long")
+        whole = np.vectorize(int, otypes=[object])
+        exact = whole(q) @ whole(rows).T
+        return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
     return q.astype(np.int64) @ rows.astype(np.int64).T
 
 
@@ -90,7 +92,7 @@ class Best:
 
     def __init__(self, n: int, top: int, floor: np.ndarray):
         self.top, self.floor = top, floor
-        self.score: list[np.ndarray] = [np.zeros(0)] * n
+        self.score: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         self.key: list[np.ndarray] = [np.zeros(0, np.int64)] * n
 
     def bar(self, i: int) -> float:
@@ -99,7 +101,7 @@ class Best:
 
     def add(self, i: int, scores: np.ndarray, keys: np.ndarray) -> None:
         s, k = np.concatenate([self.score[i], scores]), np.concatenate([self.key[i], keys])
-        order = np.lexsort((k, -s))[: self.top]
+        order = np.lexsort((k, ~s if s.dtype == np.int64 else -s))[: self.top]
         self.score[i], self.key[i] = s[order], k[order]
 
 
@@ -150,49 +152,40 @@ def search(tree: BallTree, q: np.ndarray, ids: np.ndarray, top: int, floor: np.n
     return found
 
 
-def by_width(pdf: pd.DataFrame):
-    """Row positions of each vector length."""
-    n = pdf["v"].map(len).to_numpy()
-    return {int(w): np.flatnonzero(n == w) for w in np.unique(n)}
+def trees(pdf: pd.DataFrame, leaf: int) -> dict[int, BallTree]:
+    """A tree for each vector length."""
+    n, keys = pdf["v"].map(len).to_numpy(), pdf["k"].to_numpy()
+    return {int(w): BallTree.build(np.array([np.asarray(x, float) for x in pdf["v"].to_numpy()[n == w]]), keys[n == w], leaf) for w in np.unique(n)}
 
 
-def matrix(pdf: pd.DataFrame, at: np.ndarray) -> np.ndarray:
-    return np.array([np.asarray(x, float) for x in pdf["v"].to_numpy()[at]])
+def by_width(v: list[np.ndarray]):
+    """(length, positions) of the queries."""
+    n = np.array([len(x) for x in v])
+    return [(int(w), np.flatnonzero(n == w)) for w in np.unique(n)]
 
 
-def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 10, scale: int = 1024, shard_rows: int = 16384, query_rows: int = 4096, leaf: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 10, scale: int = 1024, shard_rows: int = 16384, leaf: int = 256) -> DataFrame:
     """(query_id, rank, ``key``, score) of every row of which ``is_query`` (over column ``k``) holds."""
     rows = usable(vectors, key, vector).select("k", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, groups = n_blocks(counts.n, shard_rows), n_blocks(counts.q, query_rows)
+    shards = n_blocks(rows.count(), shard_rows)
     asked = rows.where(is_query).groupBy("k").agg(F.min("v").alias("v"))
-    left, right = paired(rows.withColumn("s", dealt(shards)), asked.withColumn("g", dealt(groups, "q")), shards, groups)
-
-    def first_pass(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [(int(b["k"].iloc[i]), s) for w, (ra, rb) in common(a, b) for i, s in zip(rb, seed(BallTree.build(matrix(a, ra), a["k"].to_numpy()[ra], leaf), matrix(b, rb), b["k"].to_numpy()[rb], top), strict=True)]
-        return pd.DataFrame([(k, float(x)) for k, s in out for x in s], columns=["q", "score"])
-
-    def common(a: pd.DataFrame, b: pd.DataFrame):
-        wa, wb = by_width(a), by_width(b)
-        return [(w, (wa[w], wb[w])) for w in wa if w in wb]
-
-    from pyspark.sql import Window
-
-    seeded = left.groupBy("s", "g").cogroup(right.groupBy("s", "g")).applyInPandas(first_pass, "q long, score double")
+    blocks = packed(rows.withColumn("s", dealt(shards)), lambda pdf: trees(pdf, leaf))
+
+    def first_pass(block: dict, ids: np.ndarray, v: list[np.ndarray], floors: np.ndarray):
+        for w, at in by_width(v):
+            if w in block:
+                for i, scores in zip(at, seed(block[w], np.array([v[j] for j in at]), ids[at], top), strict=True):
+                    yield from ((int(ids[i]), None, int(x)) for x in scores)
+
+    def second_pass(block: dict, ids: np.ndarray, v: list[np.ndarray], floors: np.ndarray):
+        for w, at in by_width(v):
+            if w in block:
+                found = search(block[w], np.array([v[j] for j in at]), ids[at], top, floors[at].astype(float))
+                for n, i in enumerate(at):
+                    yield from ((int(ids[i]), int(k), int(s)) for k, s in zip(found.key[n], found.score[n], strict=True))
+
+    seeded = streamed(blocks, asked.withColumn("floor", F.lit(float("-inf"))), shards, first_pass, "long")
     w = Window.partitionBy("q").orderBy(F.col("score").desc())
-    floors = seeded.withColumn("r", F.row_number().over(w)).where(F.col("r") == top).select(F.col("q").alias("k"), F.col("score").alias("floor"))
-
-    def second_pass(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, (ra, rb) in common(a, b):
-            tree = BallTree.build(matrix(a, ra), a["k"].to_numpy()[ra], leaf)
-            for c in range(0, len(rb), 512):
-                at = rb[c : c + 512]
-                ids = b["k"].to_numpy()[at]
-                found = search(tree, matrix(b, at), ids, top, b["floor"].to_numpy(float)[at])
-                parts += [(int(ids[i]), int(k), int(s)) for i in range(len(at)) for k, s in zip(found.key[i], found.score[i], strict=True)]
-        return pd.DataFrame(parts, columns=["q", "k", "score"]).astype({"q": "int64", "k": "int64", "score": "int64"})
-
-    told = right.join(floors.withColumnRenamed("k", "asked"), F.col("k") == F.col("asked"), "left").select("k", "v", "s", "g", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).toDF("k", "v", "s", "g", "floor")
-    found = left.groupBy("s", "g").cogroup(told.groupBy("s", "g")).applyInPandas(second_pass, "q long, k long, score long")
-    return best(found, top).select(F.col("q").alias("query_id"), "rank", F.col("k").alias(key), "score")
+    floors = seeded.withColumn("r", F.row_number().over(w)).where(F.col("r") == top).select(F.col("q").alias("asked"), (F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-15).alias("floor"))  # a long may round up
+    told = asked.join(floors, F.col("k") == F.col("asked"), "left").select("k", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    return best(streamed(blocks, told, shards, second_pass, "long"), top).select(F.col("q").alias("query_id"), "rank", F.col("k").alias(key), "score")

@@ -1,12 +1,20 @@
-"""Blocks of vectors against blocks of queries, with bounded groups on both sides."""
+"""Blocks of vectors and queries that stream past them."""
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.links import cut
+from lamina.llm.memory import tidy
+
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(k long, v array<double>) of the rows whose vector is there and holds finite numbers only."""
@@ -24,11 +32,43 @@ def dealt(n: int, *salt: object) -> Column:
     return F.pmod(F.xxhash64("k", "v", F.monotonically_increasing_id(), *[F.lit(s) for s in salt]), F.lit(n)).cast("int")
 
 
-def paired(rows: DataFrame, queries: DataFrame, shards: int, groups: int) -> tuple[DataFrame, DataFrame]:
-    """Each shard of rows once for every group of queries, each group of queries once for every shard."""
-    left = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return left, right
+def packed(rows: DataFrame, make: Callable[[pd.DataFrame], object]) -> DataFrame:
+    """(s, block): what ``make`` builds of each shard (column s), once, kept in the shared folder."""
+    return cut(rows.groupBy("s").applyInPandas(lambda pdf: pd.DataFrame({"s": pdf["s"].iloc[:1], "block": [pickle.dumps(make(pdf), protocol=5)]}), "s int, block binary"))
+
+
+def streamed(blocks: DataFrame, queries: DataFrame, shards: int, search: Callable[[object, np.ndarray, list[np.ndarray], np.ndarray], Iterator[tuple]], score: str, at_once: int = 256) -> DataFrame:
+    """(q, k, score) of ``search``(block, keys, vectors, floors) of all ``queries`` (k, v, floor) against each block.
+
+    A shard's block goes to its task once, and the queries stream past it, so memory holds a block and a few queries, and what is
+    shuffled is the blocks once and the queries once for each shard.
+    """
+    none = {"block": "binary", "k": "long", "v": "array<double>", "floor": "double"}
+    asked = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("s", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("block"), "k", "v", "floor")
+    both = blocks.select("s", F.lit(0).alias("kind"), "block", *[F.lit(None).cast(none[c]).alias(c) for c in ("k", "v", "floor")]).unionByName(asked)
+    kind = pa.int64() if score == "long" else pa.float64()
+
+    def run(batches):
+        block, at = None, None
+        for b in batches:
+            shard, kinds = b.column(0).to_pylist(), b.column(1).to_pylist()
+            i = 0
+            while i < b.num_rows:
+                if kinds[i] == 0:
+                    block, at = pickle.loads(b.column(2)[i].as_py()), shard[i]
+                    i += 1
+                    continue
+                end = i
+                while end < b.num_rows and kinds[end] and shard[end] == shard[i] and end - i < at_once:
+                    end += 1
+                if shard[i] == at:  # a shard may have no rows
+                    part = b.slice(i, end - i)
+                    v = [np.asarray(x, float) for x in part.column(4).to_pylist()]
+                    found = list(search(block, part.column(3).to_numpy(), v, part.column(5).to_numpy(zero_copy_only=False)))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], kind)], names=["q", "k", "score"])
+                i = end
+
+    return both.repartition("s").sortWithinPartitions("s", "kind").mapInArrow(tidy(run), f"q long, k long, score {score}")
 
 
 def best(found: DataFrame, top: int) -> DataFrame:

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -618,7 +619,7 @@ def test_ball_tree_against_brute_force(spark):
     for i in {int(q): j for j, q in enumerate(k) if q % 20 == 0}.values():
         want |= {(int(k[i]), r + 1, a, int(s)) for r, (a, s) in enumerate(ranked_by(x, k, i, 10, lambda x, q: x @ q))}
     for shard, leaf in ((16384, 256), (64, 4)):
-        got = balltree.top_k(df, F.col("k") % 20 == 0, shard_rows=shard, query_rows=5, leaf=leaf).collect()
+        got = balltree.top_k(df, F.col("k") % 20 == 0, shard_rows=shard, leaf=leaf).collect()
         assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
@@ -630,8 +631,39 @@ def test_ball_tree_prunes_and_fits_64_bits():
     found = balltree.search(tree, x[:3], np.arange(3), 5, np.full(3, -np.inf))
     assert [found.key[i].tolist() for i in range(3)] == [[j for j in np.lexsort((np.arange(1000), -(x @ x[i]))) if j != i][:5] for i in range(3)]
     assert balltree.products(np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0]])).tolist() == [[2**60 + 1]]
-    with pytest.raises(OverflowError):
-        balltree.products(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    assert balltree.products(np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 0.0], [-(2.0**40), 0.0], [0.0, 5.0]])).tolist() == [[2**63 - 1, -(2**63), 5]]
+    large = balltree.BallTree.build(np.array([[2.0**30, k] for k in range(20)]), np.arange(20), 4)
+    found = balltree.search(large, np.array([[2.0**30, 1.0]]), np.array([-1]), 3, np.array([-np.inf]))
+    assert [int(x) for x in found.score[0]] == [2**60 + 19, 2**60 + 18, 2**60 + 17]
+
+
+def test_very_large_components(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = {(r["rank"], r.vec_id, r.score) for r in balltree.top_k(df, F.col("k") == 0).collect()}
+    assert got == {(1, 1, 2**63 - 1), (2, 3, 1024 * 2048), (3, 2, -(2**63))}
+
+
+def test_vectors_of_other_lengths_are_found_too(spark):
+    _, rows = vector_rows(300, 8)
+    odd = [(2000 + i, [float(i), 1.0, -float(i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    got = additive.nearest(df, F.col("k") % 20 == 0, shard_rows=100).toPandas()
+    x, k = np.array([v for _, v in odd]), np.array([i for i, _ in odd])
+    for i in range(0, 60, 20):
+        mine = got[got.query_id == 2000 + i].sort_values("rank")
+        assert list(zip(mine.vec_id, mine.score, strict=True)) == ranked_by(x, k, i, 20, lambda x, q: np.einsum("ij,j->i", x, q))
+
+
+def test_few_rows_are_scored_exactly():
+    """Also without any structure in 64 dimensions, the hardest case, few rows are reranked."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = additive.AdditiveQuantiser.fit(x[:2000], 24, 64)
+    shard = additive.Shard.build(pd.DataFrame({"k": np.arange(4000), "v": list(x)}), model)
+    found, n = shard.search(model, np.arange(0, 4000, 200), x[::200], np.full(20, -np.inf), 20, 2.5)
+    best = {(i, int(j)) for i in range(0, 4000, 200) for j in np.argsort(-np.where(np.arange(4000) == i, -9, x @ x[i]))[:20]}
+    assert len({(q, k) for q, k, _ in found} & best) >= 0.97 * len(best) and n <= 0.12 * 20 * 4000
 
 
 def test_additive_quantiser_recall(spark):
@@ -639,7 +671,7 @@ def test_additive_quantiser_recall(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("k", F.lit(1))
     good = [(k, v) for k, v in rows if k is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v) and len(v) == 16]
     x, k = np.array([v for _, v in good]), np.array([i for i, _ in good])
-    got = additive.nearest(df, F.col("k") % 20 == 0, shard_rows=500, query_rows=40).toPandas()
+    got = additive.nearest(df, F.col("k") % 20 == 0, shard_rows=500).toPandas()
     hit = n = 0
     for i in {int(q): j for j, q in enumerate(k) if q % 20 == 0}.values():
         want = ranked_by(x, k, i, 20, lambda x, q: np.einsum("ij,j->i", x, q))
