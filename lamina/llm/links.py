@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -43,6 +44,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then Spark deletes the shuffle files of rounds that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(columns: Iterable[str], *names: str) -> list[str]:
     """Names for working columns that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []
@@ -94,4 +101,5 @@ def components(edges: DataFrame, smallest: bool = True, rounds: int = 80) -> Dat
         out = cut(labels.join(least, "comp").select("v", F.col("least").alias("comp")), 2)
         discard(labels, least)
     discard(left, *mergers)
+    swept(edges.sparkSession)
     return out

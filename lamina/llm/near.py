@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import portions
-from lamina.llm.links import components, cut, discard, fresh
+from lamina.llm.links import components, cut, discard, fresh, swept
 from lamina.llm.memory import give_back, tidy
 
 WORD = re.compile(r"\w+")
@@ -355,6 +355,7 @@ def links_found(docs: DataFrame, nodes: DataFrame, key: str, text: str, words: i
         return groups.groupBy("comp").agg(F.count("*").alias("size"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("sum"))
 
     edges = tries(nodes, forest)
+    swept(docs.sparkSession)
     depth, found, old = forest.depth, None, None
     while True:
         groups = candidates(edges, depth)
