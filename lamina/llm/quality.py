@@ -4,12 +4,14 @@
 distinct lines, of distinct words and of words like the one before: what the words look like. *Page metadata*: what a crawler
 knows of the page without reading its words: length, number and length of lines, language and source
 tags. Each view has a logistic classifier. Over ``rounds`` rounds each labels the unlabelled
-rows that it is most sure of, as many of each class as the labels' shares ask for, and hands them to
-the other view's training set. Each view's logit is then calibrated on labelled rows (Platt), and a
+rows that it is most sure of, a share of each class as the labels' shares ask for, and hands those that
+the other view doesn't put into the other class to the other's training set. Each view's logit is then calibrated on labelled rows (Platt), and a
 last logistic model over both calibrated logits gives the score of every document.
 
-At most ``train_rows`` labelled and ``pool_rows`` unlabelled rows, and ``train_chars`` characters of each, are
-used for fitting; every document is scored by its whole text.
+In each round every unlabelled document is scored by both views and counted, so what a view is sure of is a
+share of all of them at every size. Only what a classifier is fitted on is a sample: at most ``train_rows`` labelled
+rows of ``train_chars`` characters together, and of the documents that a view hands over in one round at most ``give_rows``
+different ones, divided between the classes by the labels' shares, first by a hash. Every document is scored by its whole text.
 
 Defined cases: null text counts as empty and null tags as unknown; an empty text has a score like any other;
 rows are scored one by one, so repeated rows agree and ties keep their rows; empty tables give no rows; with no
@@ -19,18 +21,18 @@ passed on unchanged.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.llm.links import cut, discard
 from lamina.llm.memory import give_back, tidy
 from lamina.llm.toxicity import fit_logistic, hash_of, held_out, in_order, labelled_sample
 
@@ -38,6 +40,8 @@ from lamina.llm.toxicity import fit_logistic, hash_of, held_out, in_order, label
 CLASS_NAMES = ("lower", "upper", "digit", "space", "newline", "sentence", "pipe", "shout", "symbol", "quote", "other")
 KINDS = len(CLASS_NAMES)
 LANGS = ("en", "de", "fr", "es")
+#: How many numbers a text has in each view.
+CONTENT, METADATA = KINDS + KINDS * KINDS + 5, 5 + len(LANGS) + 16
 
 
 def byte_classes() -> np.ndarray:
@@ -63,7 +67,7 @@ def content_view(text: str) -> np.ndarray:
 
 def metadata_view(text: str, lang: str | None, source: str | None) -> np.ndarray:
     lines = text.count("\n") + 1
-    out = np.zeros(5 + len(LANGS) + 16)
+    out = np.zeros(METADATA)
     out[:5] = math.log1p(len(text)), math.log1p(lines), math.log1p(len(text) / lines), lang is None, source is None
     if lang in LANGS:
         out[5 + LANGS.index(lang)] = 1
@@ -103,30 +107,142 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def co_train(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, rounds: int = 4, give: float = 0.05, ridge: float = 3.0) -> Model:
-    """Labelled views and labels, and the unlabelled pool's views."""
+#: Bins of a logit's distribution: so many to 1, from -REACH to REACH.
+BINS, REACH = 64, 35
+
+
+def bins(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(z * BINS) + REACH * BINS, 0, 2 * REACH * BINS - 1).astype(np.int64)
+
+
+@dataclass
+class Step:
+    """One round: both views' classifiers, and for each view the bins up to which and from which it is sure."""
+
+    weights: tuple[np.ndarray, np.ndarray]
+    bias: tuple[float, float]
+    low: list[int] = field(default_factory=lambda: [-1, -1])
+    high: list[int] = field(default_factory=lambda: [2 * REACH * BINS, 2 * REACH * BINS])
+
+    def bins(self, views: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        # summed row by row, so that a row's logit doesn't hang on the rows around it
+        return [bins((x * w).sum(1) + b) for x, w, b in zip(views, self.weights, self.bias, strict=True)]
+
+    def limit(self, counts: np.ndarray, share: float, good: float) -> None:
+        """The ends of both views' distributions that hold ``share`` of all rows, divided between the classes, of logits beyond 2 only."""
+        for k in (0, 1):
+            n = share * counts[k].sum()
+            up, down = counts[k].cumsum(), counts[k][::-1].cumsum()
+            self.low[k] = min(int(np.searchsorted(up, n * (1 - good))), (REACH - 2) * BINS - 1)
+            self.high[k] = max(len(down) - 1 - int(np.searchsorted(down, n * good)), (REACH + 2) * BINS)
+
+
+def handed(steps: list[Step], views: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the step that hands it over (-1: none), the view that was sure of it, and the label. The earliest step counts, and in it the content view first. Rows that the other view puts into the other class stay."""
+    n = len(views[0])
+    at, by, label = np.full(n, -1), np.zeros(n, int), np.zeros(n, int)
+    for i, step in enumerate(steps):
+        both = step.bins(views)
+        for k, z in enumerate(both):
+            yes = both[1 - k] >= REACH * BINS
+            for value, sure in ((0, (z <= step.low[k]) & ~yes), (1, (z >= step.high[k]) & yes)):
+                new = sure & (at < 0)
+                at[new], by[new], label[new] = i, k, value
+    return at, by, label
+
+
+def free_counts(steps: list[Step], now: Step, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each view the distribution of the logits of rows that no step has handed over."""
+    left = handed(steps, views)[0] < 0
+    return np.array([np.bincount(z[left], minlength=2 * REACH * BINS) for z in now.bins(views)])
+
+
+class Held:
+    """An unlabelled pool in memory."""
+
+    def __init__(self, c: np.ndarray, m: np.ndarray):
+        self.views = (c, m)
+
+    def counts(self, steps: list[Step], now: Step) -> np.ndarray:
+        return free_counts(steps, now, self.views)
+
+    def picks(self, steps: list[Step], good: float) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+        at, by, label = handed(steps, self.views)
+        new = at == len(steps) - 1
+        return list(zip(self.views[0][new], self.views[1][new], by[new].tolist(), label[new].tolist(), strict=True))
+
+
+class Spread:
+    """An unlabelled pool as a table (v: both views' numbers, h: a hash of them) of any size: all its rows are scored and counted in each round.
+
+    Of the rows that a view hands over, at most ``give_rows`` different ones come back, divided between the labels by their shares, the first by hash.
+    """
+
+    def __init__(self, table: DataFrame, give_rows: int):
+        self.table, self.give_rows = table, give_rows
+
+    def counts(self, steps: list[Step], now: Step) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((2, 2 * REACH * BINS), np.int64)
+            for b in batches:
+                total += free_counts(steps, now, unpacked(b.column(0)))
+            view, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array(at, pa.int32()), pa.array(total[view, at], pa.int64())], names=["view", "bin", "n"])
+
+        out = np.zeros((2, 2 * REACH * BINS), np.int64)
+        for r in self.table.select("v").mapInArrow(run, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+            out[r.view, r.bin] = r.n
+        return out
+
+    def picks(self, steps: list[Step], good: float) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
+        def run(batches):
+            for b in batches:
+                at, by, label = handed(steps, unpacked(b.column(0)))
+                new = np.flatnonzero(at == len(steps) - 1)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), b.column(1).take(pa.array(new)), pa.array(by[new], pa.int32()), pa.array(label[new], pa.int32())], names=["v", "h", "by", "label"])
+
+        found = self.table.select("v", "h").mapInArrow(run, "v binary, h long, by int, label int").groupBy("by", "label", "h").agg(F.min("v").alias("v"))
+        first = found.withColumn("r", F.row_number().over(Window.partitionBy("by", "label").orderBy("h"))).where(F.col("r") <= F.when(F.col("label") == 1, math.ceil(self.give_rows * good)).otherwise(math.ceil(self.give_rows * (1 - good))))
+        rows = sorted(first.select("by", "label", "r", "v").collect())
+        c, m = unpacked([r.v for r in rows])
+        return [(x, y, r.by, r.label) for x, y, r in zip(c, m, rows, strict=True)]
+
+
+def packed(views: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+    return [np.concatenate(v).astype(np.float32).tobytes() for v in views]
+
+
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """Content and metadata numbers of rows made by ``packed``."""
+    raw = column.to_pylist() if isinstance(column, pa.Array) else column
+    flat = np.frombuffer(b"".join(bytes(x) for x in raw), np.float32).reshape(len(raw), CONTENT + METADATA).astype(float)
+    return flat[:, :CONTENT], flat[:, CONTENT:]
+
+
+def trained(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool: Held | Spread, rounds: int = 4, give: float = 0.05, ridge: float = 3.0) -> Model:
+    """Labelled views and labels, and the unlabelled pool, of which each view hands over the share ``give`` in each round."""
     if not len(y) or y.min() == y.max():
         return Model()
     good = y.mean()
     own = np.arange(len(y)) % 4 != 0  # the rest calibrates
-    free = np.ones(len(pool_c), bool)
-    extra: dict[str, list[tuple[int, int]]] = {"c": [], "m": []}
+    extra: list[list[tuple[np.ndarray, int]]] = [[], []]
+    steps: list[Step] = []
 
-    def fit(view: np.ndarray, pool: np.ndarray, given: list[tuple[int, int]]):
-        idx = np.array([i for i, _ in given], int)
-        return fit_logistic(np.r_[view[own], pool[idx]], np.r_[y[own], np.array([v for _, v in given], float)], ridge)
+    def both() -> list[tuple[list[float], float]]:
+        out = []
+        for view, more in zip((c, m), extra, strict=True):
+            x = np.r_[view[own], np.array([v for v, _ in more])] if more else view[own]
+            out.append(fit_logistic(x, np.r_[y[own], np.array([k for _, k in more], float)], ridge))
+        return out
 
     for _ in range(rounds):
-        (wc, bc), (wm, bm) = fit(c, pool_c, extra["c"]), fit(m, pool_m, extra["m"])
-        for z, to in ((logit_of(pool_c, wc, bc), "m"), (logit_of(pool_m, wm, bm), "c")):
-            n = max(1, round(give * len(pool_c)))
-            order = [i for i in np.argsort(z, kind="stable") if free[i]]
-            for picks, label, sure in ((order[: round(n * (1 - good))], 0, -2.0), (order[::-1][: round(n * good)], 1, 2.0)):
-                for i in picks:
-                    if free[i] and (z[i] <= sure if label == 0 else z[i] >= sure):
-                        free[i] = False
-                        extra[to].append((int(i), label))
-    (wc, bc), (wm, bm) = fit(c, pool_c, extra["c"]), fit(m, pool_m, extra["m"])
+        (wc, bc), (wm, bm) = both()
+        now = Step((np.array(wc), np.array(wm)), (bc, bm))
+        now.limit(pool.counts(steps, now), give, good)
+        steps.append(now)
+        for content, metadata, by, label in pool.picks(steps, good):
+            extra[1 - by].append(((metadata, content)[by], label))  # to the other view
+    (wc, bc), (wm, bm) = both()
     model = Model(wc, bc, wm, bm)
     held = ~own
     if len(set(y[held])) == 2:
@@ -139,37 +255,46 @@ def co_train(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool_c: np.ndarray, po
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", train_rows: int = 4000, pool_rows: int = 4000, train_chars: int = 24_000_000, rounds: int = 4) -> Model:
-    """Trains in one task on two bounded samples; only the small model comes to the driver."""
+def co_train(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, **how) -> Model:
+    """``trained`` with a pool in memory."""
+    return trained(c, m, y, Held(pool_c, pool_m), **how)
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", train_rows: int = 4000, give_rows: int = 200, train_chars: int = 24_000_000, rounds: int = 4) -> Model:
+    """Fits on bounded samples of labelled and pseudo-labelled rows; all documents without a label take part in each round. Only their numbers are written, once, and
+    only counts and the samples' numbers come to the driver."""
     columns = {"t": F.coalesce(F.col(text).cast("string"), F.lit("")), "l": F.col(lang).cast("string"), "s": F.col(source).cast("string")}
-    known = labelled_sample(docs, labels, label, key, train_rows, **columns)
-    # the pool: about twice as many keys as are kept, first by a hash of the key, labelled ones left out; labels aren't looked at
-    taken = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k")).distinct()
-    share = min(1.0, 2.0 * pool_rows / max(1, docs.count()))
-    some = docs.select(F.col(key).alias("k"), F.struct(*[c.alias(n) for n, c in columns.items()]).alias("row"), F.xxhash64(F.col(key), F.lit(7)).alias("h"))
-    some = some.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).join(taken, "k", "left_anti")
-    pool = some.groupBy("k", "h").agg(F.min("row").alias("row")).select("row.*", F.lit(-1).alias("y"), "h").orderBy("h", "t", "l", "s").limit(pool_rows)
-    rows = in_order(known.unionByName(pool)).select("t", "l", "s", "y")
+    known = in_order(labelled_sample(docs, labels, label, key, train_rows, **columns)).select("t", "l", "s", "y")
 
-    def run(batches):
-        kept: dict[bool, list] = {True: [], False: []}
-        size = {True: 0, False: 0}
+    def learned(batches):
+        size = 0
         for b in batches:
+            kept = []
             for t, a, s, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                k = y >= 0
-                if size[k] + len(t) <= train_chars:
-                    size[k] += len(t)
-                    kept[k].append((content_view(t), metadata_view(t, a, s), y))
-        lab, free = kept[True], kept[False]
-        model = Model()
-        if lab:
-            empty = content_view(""), metadata_view("", None, None)
-            cols = [np.array([r[i] for r in part]) if part else np.zeros((0, len(empty[i]))) for part in (lab, free) for i in (0, 1)]
-            model = co_train(cols[0], cols[1], np.array([r[2] for r in lab], float), cols[2], cols[3], rounds)
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(asdict(model))])], names=["model"])
-
-    found = rows.mapInArrow(tidy(run), "model string").collect()
-    return Model(**json.loads(found[0].model)) if found else Model()
+                if size + len(t) <= train_chars:
+                    size += len(t)
+                    kept.append(((content_view(t), metadata_view(t, a, s)), y))
+            yield pa.RecordBatch.from_arrays([pa.array(packed([v for v, _ in kept]), pa.binary()), pa.array([y for _, y in kept], pa.int32())], names=["v", "y"])
+
+    rows = known.mapInArrow(tidy(learned), "v binary, y int").collect()
+    y = np.array([r.y for r in rows], float)
+    if not len(y) or y.min() == y.max():
+        return Model()
+    kind = docs.schema[key].dataType.simpleString()
+
+    def numbers(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                views = [(content_view(t), metadata_view(t, a, s)) for t, a, s in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(views), pa.binary())], names=["k", "v"])
+
+    taken = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k")).distinct()
+    free = docs.select(F.col(key).alias("k"), *[c.alias(n) for n, c in columns.items()]).mapInArrow(tidy(numbers), f"k {kind}, v binary").join(taken, "k", "left_anti")
+    pool = cut(free.select("v", F.xxhash64("v").alias("h")))
+    model = trained(*unpacked([r.v for r in rows]), y, Spread(pool, give_rows), rounds)
+    discard(pool)
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", threshold: float = 0.5) -> DataFrame:

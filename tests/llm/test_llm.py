@@ -290,6 +290,37 @@ def test_co_training_uses_the_pool():
     assert ((model.combine(c[60:], m[60:]) >= 0.5) == y[60:]).mean() > 0.9
 
 
+def test_pool_as_table_equals_pool_in_memory(spark):
+    """Each round counts all rows of the pool, and hands over the same ones however they lie."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(900) < 0.6).astype(float)
+    c, m = (np.concatenate([y[:, None] * 3 + rng.normal(size=(900, 2)), rng.normal(size=(900, n - 2))], 1).astype(np.float32).astype(float) for n in (quality.CONTENT, quality.METADATA))
+    rows = [(bytearray(v), i) for i, v in enumerate(quality.packed(list(zip(c[100:], m[100:], strict=True))))]
+    table = spark.createDataFrame(rows, "v binary, h long")
+    held = quality.Held(c[100:], m[100:])
+    (wc, bc), (wm, bm) = (quality.fit_logistic(v[:100], y[:100], 3.0) for v in (c, m))
+    step = quality.Step((np.array(wc), np.array(wm)), (bc, bm))
+    for n in (1, 7):
+        spread = quality.Spread(table.repartition(n), 1000)
+        assert (spread.counts([], step) == held.counts([], step)).all() and held.counts([], step).sum() == 1600
+    step.limit(held.counts([], step), 0.1, y.mean())
+    key = lambda p: (p[2], p[3], p[0].tolist())
+    want = sorted(map(key, held.picks([step], 0.5)))
+    assert sorted(map(key, spread.picks([step], 0.5))) == want and len(want) > 50
+    assert held.counts([step], step)[0].sum() == 800 - len(want)
+    few = quality.Spread(table, 10).picks([step], 0.5)
+    assert len(few) == sum(min(5, sum(w[:2] == g for w in want)) for g in {w[:2] for w in want})
+
+
+def test_copies_in_the_pool_are_handed_over_once(spark):
+    v = quality.packed([(np.full(quality.CONTENT, 9.0), np.full(quality.METADATA, 9.0))])[0]
+    table = spark.createDataFrame([(bytearray(v), 1)] * 50, "v binary, h long")
+    step = quality.Step((np.ones(quality.CONTENT), np.ones(quality.METADATA)), (0.0, 0.0))
+    pool = quality.Spread(table, 100)
+    step.limit(pool.counts([], step), 0.1, 0.5)
+    assert pool.counts([], step).sum() == 100 and len(pool.picks([step], 0.5)) == 1
+
+
 # -- secrets -----------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
