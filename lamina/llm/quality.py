@@ -184,30 +184,37 @@ class Spread:
     def counts(self, steps: list[Step], now: Step) -> np.ndarray:
         def run(batches):
             total = np.zeros((2, 2 * REACH * BINS), np.int64)
-            for b in batches:
+            for b in portions_of(batches):
                 total += free_counts(steps, now, unpacked(b.column(0)))
             view, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array(at, pa.int32()), pa.array(total[view, at], pa.int64())], names=["view", "bin", "n"])
 
         out = np.zeros((2, 2 * REACH * BINS), np.int64)
-        for r in self.table.select("v").mapInArrow(run, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        for r in self.table.select("v").mapInArrow(tidy(run), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
             out[r.view, r.bin] = r.n
         return out
 
     def picks(self, steps: list[Step], good: float) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
         def run(batches):
-            for b in batches:
+            for b in portions_of(batches):
                 at, by, label = handed(steps, unpacked(b.column(0)))
                 new = np.flatnonzero(at == len(steps) - 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), b.column(1).take(pa.array(new)), pa.array(by[new], pa.int32()), pa.array(label[new], pa.int32())], names=["v", "h", "by", "label"])
 
-        found = self.table.select("v", "h").mapInArrow(run, "v binary, h long, by int, label int").groupBy("by", "label", "h").agg(F.min("v").alias("v"))
+        found = self.table.select("v", "h").mapInArrow(tidy(run), "v binary, h long, by int, label int").groupBy("by", "label", "h").agg(F.min("v").alias("v"))
         first = found.withColumn("r", F.row_number().over(Window.partitionBy("by", "label").orderBy("h"))).where(F.col("r") <= F.when(F.col("label") == 1, math.ceil(self.give_rows * good)).otherwise(math.ceil(self.give_rows * (1 - good))))
         rows = sorted(first.select("by", "label", "r", "v").collect())
         c, m = unpacked([r.v for r in rows])
         return [(x, y, r.by, r.label) for x, y, r in zip(c, m, rows, strict=True)]
 
 
+def portions_of(batches, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that few numbers are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def packed(views: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
     return [np.concatenate(v).astype(np.float32).tobytes() for v in views]
 
@@ -283,11 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
 
     def numbers(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                views = [(content_view(t), metadata_view(t, a, s)) for t, a, s in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(views), pa.binary())], names=["k", "v"])
+        for part in portions_of(batches):
+            views = [(content_view(t), metadata_view(t, a, s)) for t, a, s in zip(*[part.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(views), pa.binary())], names=["k", "v"])
 
     taken = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("k")).distinct()
     free = docs.select(F.col(key).alias("k"), *[c.alias(n) for n, c in columns.items()]).mapInArrow(tidy(numbers), f"k {kind}, v binary").join(taken, "k", "left_anti")
