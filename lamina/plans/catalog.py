@@ -279,11 +279,15 @@ def company_registry(spark, sf):
     return skills.registry(spark).select("company_sigla", F.length("company_sigla").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CAST(ceil(length(text) / 3000.0) AS BIGINT) AS n_pages, substring(text, 3001, 40) AS second_start FROM documents WHERE length(text) > 0 AND text NOT LIKE '%' || chr(10) || '---' || chr(10) || '%'")
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '---' || chr(10) || text || '<!-- page break -->z' ELSE text END AS t FROM documents),
+p AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\n---\n|\n\*\*\*\n|<!-- page break -->') THEN regexp_split_to_array(t, '\n---\n|\n\*\*\*\n|<!-- page break -->')
+    ELSE list_transform(range(greatest(1, CAST(ceil(length(t) / 3000.0) AS BIGINT))), lambda i: substring(t, i * 3000 + 1, 3000)) END AS p FROM t)
+SELECT doc_id, len(p) AS n_pages, md5(array_to_string(p, '<|>')) AS digest FROM p""")
 def page_split_fixed(spark, sf):
-    p = C.pages(F.col("text"))
-    d = table(spark, sf, "documents").where((F.length("text") > 0) & ~F.col("text").contains("\n---\n"))
-    return d.select("doc_id", F.size(p).cast("long").alias("n_pages"), F.coalesce(F.substring(F.get(p, 1), 1, 40), F.lit("")).alias("second_start"))
+    """Pages of all texts, a third of them with breaks."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n---\n"), "text", F.lit("<!-- page break -->z"))).otherwise(F.col("text"))
+    p = C.pages(t)
+    return table(spark, sf, "documents").select("doc_id", F.size(p).cast("long").alias("n_pages"), F.md5(F.array_join(p, "<|>")).alias("digest"))
 
 
 PAGED = r"""p AS (SELECT doc_id, CAST(ceil(length(text) / 400.0) AS BIGINT) AS total, unnest(range(CAST(ceil(length(text) / 400.0) AS BIGINT))) AS page, text FROM documents),
@@ -414,11 +418,12 @@ def table_chunks(spark, sf):
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '001' ELSE concat_ws(',',
     CASE WHEN length(trim(regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', ''))) = 0 THEN '010' WHEN length(regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '')) < 50 THEN '011' END,
-    CASE WHEN length(t) / (1 + doc_id % 20) < 100 THEN '020' END, CASE WHEN length(t) > 1000 AND NOT contains(t, chr(10) || '#') THEN '030' END, CASE WHEN doc_id % 13 = 0 THEN '050' END) END AS codes
-    FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS t FROM documents)""")
+    CASE WHEN length(t) / (1 + doc_id % 20) < 100 THEN '020' END, CASE WHEN length(t) > 1000 AND NOT contains(t, chr(10) || '#') THEN '030' END, CASE WHEN doc_id % 4 > 0 AND len(list_filter(r, lambda x: regexp_matches(x, '^[\s|:-]+$'))) > 0.5 * len(r) THEN '040' END, CASE WHEN doc_id % 13 = 0 THEN '050' END) END AS codes
+    FROM (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '|')) AS r FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 6 < 2 THEN text || repeat(chr(10) || '|---|', 1 + doc_id % 6) || chr(10) || '| a |' ELSE text END AS t FROM documents))""")
 def val_codes(spark, sf):
     k = F.col("doc_id")
-    codes = checks.validation_codes(F.when(k % 11 == 0, "failed").otherwise("success"), F.when(k % 17 == 0, F.lit(" ")).otherwise(F.col("text")), 1 + k % 20, F.lit(0), F.when(k % 13 == 0, F.array(F.lit("e"))))
+    text = F.when(k % 17 == 0, F.lit(" ")).when(k % 6 < 2, F.concat("text", F.repeat(F.lit("\n|---|"), (1 + k % 6).cast("int")), F.lit("\n| a |"))).otherwise(F.col("text"))
+    codes = checks.validation_codes(F.when(k % 11 == 0, "failed").otherwise("success"), text, 1 + k % 20, k % 4, F.when(k % 13 == 0, F.array(F.lit("e"))))
     return table(spark, sf, "documents").select("doc_id", F.array_join(codes, ",").alias("codes"))
 
 
