@@ -87,6 +87,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.phrases import mine
+
+    return mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm.annulus import clusters
+
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lamina.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -167,5 +186,46 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 """
 
 
+#: All contiguous phrases counted, every cut of a candidate scored in 128 bits.
+OP11_SQL = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, d, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p, generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS i FROM texts),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, unnest(w) AS phrase, 1 AS k FROM words
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM words WHERE len(w) > 1
+    UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM words WHERE len(w) > 2),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+cuts AS (SELECT lang, phrase, k, n AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS head, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1 AND n >= 10)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.k, a, h.n AS l, t.n AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(h.n AS HUGEINT) * t.n) AS BIGINT) AS score, c
+    FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+    QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, c) = 1),
+kept AS (SELECT * FROM scored s WHERE k = 3 OR NOT EXISTS (SELECT 1 FROM (SELECT lang, array_to_string(string_split(phrase, ' ')[1:2], ' ') AS x, n FROM f WHERE k = 3 AND n >= 10
+    UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[2:3], ' '), n FROM f WHERE k = 3 AND n >= 10) y WHERE y.lang = s.lang AND y.x = s.phrase AND 100 * y.n >= 50 * s.a))
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, totals.n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    squared = "list_sum(list_transform(range(1, 65), lambda d: (x.v[d] - c.v[d]) * (x.v[d] - c.v[d]))) AS distance"
+    nearest = "QUALIFY row_number() OVER (PARTITION BY x.r ORDER BY distance, c.cluster) = 1"
+    steps = "".join(f"""
+a{i} AS MATERIALIZED (SELECT x.v, c.cluster, {squared} FROM x, c{i} c {nearest}),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT cluster, list(mean ORDER BY d) AS v FROM (
+    SELECT cluster, d, CAST(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS BIGINT) AS mean FROM (
+        SELECT cluster, d, sum(v[d]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(d) GROUP BY 1, 2)) GROUP BY 1) m USING (cluster)),""" for i in range(rounds))
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda y: CAST(floor(64 * y) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),{steps}
+last AS MATERIALIZED (SELECT x.vec_id, c.cluster, c.v AS own, {squared} FROM x, c{rounds} c {nearest})
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(own, ',')) AS centroid_sha256 FROM last
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": _secrets_sql(), "op5_jaccard_join": OP5_SQL, "op6_merkle_audit": OP6_SQL, "op8_ball_tree": OP8_SQL}
+    return {"op11_phrases": OP11_SQL, "op12_annulus": _clusters_sql(), "op3_secrets": _secrets_sql(), "op5_jaccard_join": OP5_SQL, "op6_merkle_audit": OP6_SQL, "op8_ball_tree": OP8_SQL}
