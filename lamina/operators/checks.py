@@ -47,21 +47,24 @@ def table_integrity(text: Column) -> Column:
     """Share of tables whose rows all have as many bars; 1 without tables.
 
     A table is a run of lines that begin and end with a bar and hold something between, each ended by a line feed, with a delimiter row (bars,
-    dashes, colons, blanks) after its first row. The lines are scanned for runs.
+    dashes, colons, blanks) after its first row. One fold over the lines carries the width of the run so far (0: in none, -1: uneven), whether a
+    delimiter row came, and the tables that are over.
     """
-    row = lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 2)
     # the last piece of a split has no line feed behind it, so it is in no table
-    cut = lambda t: bind(F.split(t, "\n", -1), lambda p: F.slice(p, 1, F.size(p) - 1))
-    marked = F.transform(cut(text), lambda x: F.struct(row(x).alias("row"), x.rlike(r"^\|[-:| ]+\|$").alias("mark"), F.regexp_count(x, F.lit(r"\|")).alias("bars")))
+    cut = bind(F.split(text, "\n", -1), lambda p: F.slice(p, 1, F.size(p) - 1))
+    told = F.transform(cut, lambda x: F.struct(F.when(x.startswith("|") & x.endswith("|") & (F.length(x) > 2), F.regexp_count(x, F.lit(r"\|"))).otherwise(0).alias("bars"), x.rlike(r"^\|[-:| ]+\|$").alias("mark")))
+    state = lambda width, mark, n, ok: F.struct(width.cast("int").alias("width"), mark.alias("mark"), n.cast("int").alias("n"), ok.cast("int").alias("ok"))
+    ended = lambda s: (s.n + s.mark.cast("int"), s.ok + (s.mark & (s.width > 0)).cast("int"))
 
-    def share(rows: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows))), lambda i: (i <= F.size(rows)) & F.get(rows, i - 1).row & ~F.coalesce(F.get(rows, i - 2).row, F.lit(False)))
-        runs = F.transform(first, lambda i: bind(F.slice(rows, i, F.size(rows) - i + 1), lambda rest: F.slice(rest, 1, F.coalesce(F.nullif(F.array_position(F.transform(rest, lambda x: x.row), False), F.lit(0)) - 1, F.size(rest).cast("long")).cast("int"))))
-        tables = F.filter(runs, lambda r: F.exists(F.slice(r, 2, F.size(r)), lambda x: x.mark))
-        sound = F.filter(tables, lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x.bars))) == 1)
-        return bind(F.struct(F.size(tables).alias("n"), F.size(sound).alias("ok")), lambda x: F.when(x.n == 0, 1.0).otherwise(ratio(x.ok, x.n)))
+    def step(s: Column, x: Column) -> Column:
+        width = F.when(s.width == 0, x.bars).when(s.width == x.bars, s.width).otherwise(-1)
+        return F.when(x.bars > 0, state(width, s.mark | ((s.width != 0) & x.mark), s.n, s.ok)).otherwise(state(F.lit(0), F.lit(False), *ended(s)))
 
-    return F.when(text.contains("|\n|"), bind(marked, share)).otherwise(1.0)
+    def share(s: Column) -> Column:
+        n, ok = ended(s)
+        return F.when(n == 0, 1.0).otherwise(ratio(ok, n))
+
+    return F.when(text.contains("|\n|"), F.aggregate(told, state(F.lit(0), F.lit(False), F.lit(0), F.lit(0)), step, share)).otherwise(1.0)
 
 
 def repeated_lines(text: Column, often: int = 5) -> Column:

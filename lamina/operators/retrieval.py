@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.columns import cosine, words
+from lamina.functions.columns import bind, cosine, words
 
 #: Fixed values of the fusion and of the limits on result sizes.
 RRF_K, POOL, CHILDREN, MOST_VECTOR, MOST_HYBRID, RERANK_TOP = 60, 60, 20, 20, 50, 3
@@ -87,14 +87,21 @@ def match_postings(index: DataFrame, question: str) -> DataFrame:
     return hit.agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"), F.collect_list("positions").alias("places")).where(F.col("n_terms") == len(asked))
 
 
+def places_of(content: Column, asked: Sequence[str]) -> Column:
+    """Positions of each term of ``asked``, null if one is missing; the content is cut once, the rest works on the few words that are terms."""
+    cut = F.filter(F.transform(words(content), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t.isin(list(asked)))
+    of = lambda hits, term: F.transform(F.filter(hits, lambda x: x.t == F.lit(term)), lambda x: x.i.cast("int"))
+    every = lambda places: F.when(F.forall(places, lambda p: F.size(p) > 0), places)
+    return bind(cut, lambda hits: bind(F.array(*[of(hits, t) for t in asked]), every))
+
+
 def match_places(chunks: DataFrame, question: str) -> DataFrame:
-    """(id, places) of the chunks that hold every term, without a stored index: each term's positions, all from one pass over the content and without a shuffle."""
+    """(id, places) of the chunks that hold every term, without a stored index: each term's positions, from one pass over the content and without a shuffle."""
     asked = terms(question)
-    w = F.transform(words(F.col("content")), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    hits = chunks.select("id", F.filter(w, lambda x: x.t.isin(asked)).alias("_w"))
-    of = lambda term: F.transform(F.filter("_w", lambda x: x.t == F.lit(term)), lambda x: x.i)
-    places = F.array(*map(of, asked))
-    return hits.select("id", places.cast("array<array<int>>").alias("places")).where((F.size("places") > 0) & F.forall("places", lambda x: F.size(x) > 0))
+    if not asked:
+        return chunks.select("id", F.lit(None).cast("array<array<int>>").alias("places")).where(F.lit(False))
+    # the filter stays above the generator, so the content isn't cut again for it
+    return chunks.select("id", F.explode(F.array(places_of(F.col("content"), asked))).alias("places")).where(F.col("places").isNotNull())
 
 
 def _cover_density(places: list) -> float:
