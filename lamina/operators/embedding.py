@@ -40,6 +40,28 @@ def embed(chunks: DataFrame, factory: Callable[[], Model], dim: int = 1024, batc
     return chunks.withColumn("embedding", run(F.col(content)))
 
 
+def embed_each(chunks: DataFrame, factory: Callable[[], Model], dim: int = 1024, batch: int = 32, content: str = "content") -> DataFrame:
+    """Like :func:`embed`, with ``embedding_error``: where the model fails on a batch its texts are tried one by one, and only those that fail have no vector."""
+
+    @F.pandas_udf("struct<embedding:array<float>,error:string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = factory()
+
+        def tried(texts: list[str]) -> list[tuple]:
+            try:
+                return [(v, None) for v in unit(model(texts), dim).astype(np.float32).tolist()]
+            except Exception as e:  # noqa: BLE001  one document must not end the ingestion of others
+                return [(None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [r for t in texts for r in tried([t])]
+
+        for part in parts:
+            texts = part.fillna("").tolist()
+            rows = [r for at in range(0, len(texts), batch) for r in tried(texts[at : at + batch])]
+            yield pd.DataFrame({"embedding": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+
+    made = chunks.withColumn("_made", run(F.col(content)))
+    return made.withColumn("embedding", F.col("_made.embedding")).withColumn("embedding_error", F.col("_made.error")).drop("_made")
+
+
 def embed_question(question: str, factory: Callable[[], Model], dim: int = 1024) -> list[float]:
     return unit(factory()([question]), dim)[0].tolist()
 

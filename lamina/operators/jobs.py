@@ -53,11 +53,33 @@ def tail(logs: DataFrame, level: str, n: int, column: str = "level", at: str = "
     return logs.where(F.contains(F.col(column), F.lit(level))).orderBy(F.col(at).desc(), F.col(order).desc()).limit(n)
 
 
+#: States of a job and those that end it.
+OPEN, ENDS = "PROCESSING", ("COMPLETED", "FAILED", "SKIPPED")
+
+
+def states(events: DataFrame, job: str = "job_id", at: str = "ts", order: str = "event_id", status: str = "status") -> DataFrame:
+    """(job, state, since, n_events, n_refused): what each job's events lead to, in the order of their times.
+
+    A job opens with its first PROCESSING and ends with the first end after it; whatever else comes (an end before the opening, a second
+    opening, a second end) is refused and counted. An event that is told again counts once. A job that never opens has a null state. Two aggregates, no
+    sort and no list of events, so a job with very many of them costs no more than its rows.
+    """
+    when = F.struct(F.col(at).alias("at"), F.col(order).alias("n"))
+    once = events.where(F.col(job).isNotNull()).select(F.col(job).alias("_job"), when.alias("_when"), F.col(status).alias("_status")).distinct()
+    opened = once.groupBy("_job").agg(F.min(F.when(F.col("_status") == OPEN, F.col("_when"))).alias("_open"))
+    after = once.join(opened, "_job").groupBy("_job", "_open").agg(F.min(F.when(F.col("_status").isin(*ENDS) & (F.col("_when") > F.col("_open")), F.struct("_when", "_status"))).alias("_end"), F.count("*").alias("n_events"))
+    moved = F.col("_open").isNotNull().cast("long") + F.col("_end").isNotNull().cast("long")
+    state = F.when(F.col("_end").isNotNull(), F.col("_end._status")).when(F.col("_open").isNotNull(), OPEN)
+    return after.select(F.col("_job").alias(job), state.alias("state"), F.coalesce(F.col("_end._when.at"), F.col("_open.at")).alias("since"), "n_events", (F.col("n_events") - moved).alias("n_refused"))
+
+
 def report(docs: DataFrame, stored: DataFrame, table: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, state, n_chunks, error, warnings) of an ingestion: processed, skipped as known or as a copy of a document of the batch, or failed where ``docs`` has an error."""
     known = stored.select("file_hash").distinct().withColumn("known", F.lit(True))
     per = table.groupBy(key).agg(F.count("*").alias("n_chunks"))
-    first = docs.groupBy("file_hash").agg(F.min(key).alias("_first"))
+    # a copy that failed stands for no other
+    sound = docs.where(F.col("error").isNull()) if "error" in docs.columns else docs
+    first = sound.groupBy("file_hash").agg(F.min(key).alias("_first"))
     out = docs.join(known, "file_hash", "left").join(per, key, "left").join(first, "file_hash", "left")
     error = F.col("error").cast("string") if "error" in docs.columns else F.lit(None).cast("string")
     warnings = F.col("warnings").cast("array<string>") if "warnings" in docs.columns else F.array().cast("array<string>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.config import Settings
@@ -13,7 +13,7 @@ from lamina.functions.rules import CompanyRules
 from lamina.operators import checks, embedding, jobs, retrieval
 from lamina.operators.chunking import chunks
 from lamina.operators.cleaning import post_process
-from lamina.sources.sinks import mark, stored
+from lamina.sources.store import Store
 
 
 @dataclass(frozen=True)
@@ -31,32 +31,58 @@ class Question:
             raise ValueError("top_k is 1 to 20, threshold 0 to 1")
 
 
-def job_events(docs: DataFrame, status: str, key: str = "doc_id", error: str | None = None) -> DataFrame:
-    """One event row per document, to be appended to the job log."""
-    return docs.select(F.sha2(F.col(key).cast("string"), 256).alias("job_id"), F.col(key).cast("string").alias("policy_id"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"), F.current_timestamp().alias("ts"))
+def job_events(docs: DataFrame, batch: int, status: Column, key: str = "doc_id", error: Column | None = None, order: int = 0) -> DataFrame:
+    """One event row per document, to be appended to the job log; a document has a job in each batch that names it."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    none = F.lit(None).cast("string")
+    return docs.select(F.sha2(F.concat(F.lit(f"{batch}:"), name), 256).alias("job_id"), F.col(key).cast("string").alias("policy_id"), status.alias("status"), (none if error is None else error).alias("error"), F.current_timestamp().alias("ts"), F.lit(order).alias("event_id"))
+
+
+#: Why a document without text can't be stored.
+NO_TEXT = "no text"
+
+
+def split_off(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with file_hash, and with the error of rows that failed before: those that say so, and those without text (empty texts are texts)."""
+    said = F.col("error").cast("string") if "error" in docs.columns else F.lit(None).cast("string")
+    failed = F.when(F.col("status") == "failed", F.lit("failed")) if "status" in docs.columns else F.lit(None).cast("string")
+    return docs.withColumn("file_hash", jobs.file_hash(F.col(text))).withColumn("error", F.coalesce(said, failed, F.when(F.col(text).isNull(), F.lit(NO_TEXT))))
 
 
 def ingest(docs: DataFrame, known: DataFrame, folder: str, batch: int, factory: Callable[[], embedding.Model], settings: Settings = Settings(), company: CompanyRules | None = None, extractor=None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """New documents cleaned, checked, chunked, embedded and stored under a batch number; returns the report.
 
     Documents are written first, and chunks, policies, facts and jobs derive from what was written: cleaning and models run once, and
-    all tables name the same documents. Of copies within the batch the one with the smallest key is stored.
+    all tables name the same documents. Of copies within the batch the one with the smallest key is stored. All tables become visible
+    together; a run that breaks off leaves nothing that a reader sees.
+
+    Failed documents (an error, the status ``failed``, no text, or a model that fails on one of their chunks) are in no table; they and their copies are
+    FAILED in the report and in the job log.
     """
     spark = docs.sparkSession
-    hashed = docs.withColumn("file_hash", jobs.file_hash(F.col(text)))
-    fresh = jobs.new_documents(hashed, known, key=key)
+    hashed = split_off(docs, text)
+    fresh = jobs.new_documents(hashed.where(F.col("error").isNull()), known, key=key)
     clean = embedding.facts(post_process(fresh, text, company, settings.most_blank_lines), extractor, text, most=settings.facts_chars)
-    codes = checks.validation_codes(F.lit("success"), F.col(text), F.lit(0), F.lit(0), F.col("context.errors"))
-    clean = stored(spark, folder, batch, "documents", clean.withColumn("codes", codes).drop("context"))
-    policy = F.col(key).cast("string").alias("policy_id")
-    stored(spark, folder, batch, "policies", clean.select(policy, "file_hash", F.upper("company_sigla").alias("company_sigla"), F.octet_length(text).cast("long").alias("markdown_size_bytes"), F.current_timestamp().alias("created_at")))
-    stored(spark, folder, batch, "facts", clean.select(policy, "facts"))
-    table = stored(spark, folder, batch, "chunks", embedding.embed(chunks(clean, key, text, size=settings.chunk_size, child_size=settings.child_size, child_overlap=settings.child_overlap), factory, settings.embedding_dim, settings.embedding_batch))
-    report = jobs.report(hashed, known.select("file_hash"), table, key)
-    done = report.select(key, "state").join(clean.select(key).withColumn("_new", F.lit(True)), key, "left")
-    events = job_events(done.where("_new"), "COMPLETED", key).unionByName(job_events(done.where("_new IS NULL AND state = 'SKIPPED'"), "SKIPPED", key))
-    stored(spark, folder, batch, "jobs", events)
-    mark(spark, folder, batch)
+    status = F.coalesce(F.col("status"), F.lit("success")) if "status" in docs.columns else F.lit("success")
+    codes = checks.validation_codes(status, F.col(text), F.lit(0), F.lit(0), F.col("context.errors"))
+    with Store(spark, folder).begin(batch) as tx:
+        clean = tx.write("documents", clean.withColumn("codes", codes).drop("context", "error"))
+        seen = Observation("chunks")
+        pieces = embedding.embed_each(chunks(clean, key, text, size=settings.chunk_size, child_size=settings.child_size, child_overlap=settings.child_overlap), factory, settings.embedding_dim, settings.embedding_batch)
+        table = tx.write("chunks", pieces.observe(seen, F.count("embedding_error").alias("failed")))
+        errors = spark.createDataFrame([], "file_hash string, model_error string")
+        if seen.get["failed"]:  # counted while they were written
+            bad = table.where(F.col("embedding_error").isNotNull()).groupBy(key).agg(F.min("embedding_error").alias("model_error"))
+            errors = clean.join(bad, key).select("file_hash", "model_error")
+            clean = tx.write("documents", clean.join(bad, key, "left_anti"))
+        table = tx.write("chunks", table.join(clean.select(key), key, "left_semi").drop("embedding_error")) if seen.get["failed"] else table
+        policy = F.col(key).cast("string").alias("policy_id")
+        tx.write("policies", clean.select(policy, "file_hash", F.upper("company_sigla").alias("company_sigla"), F.octet_length(text).cast("long").alias("markdown_size_bytes"), F.current_timestamp().alias("created_at")))
+        tx.write("facts", clean.select(policy, "facts"))
+        told = hashed.join(errors, "file_hash", "left").withColumn("error", F.coalesce("error", "model_error")).drop("model_error")
+        report = tx.write("reports", jobs.report(told, known.select("file_hash"), table, key))
+        opened = job_events(report, batch, F.lit(jobs.OPEN), key)
+        tx.write("jobs", opened.unionByName(job_events(report, batch, F.col("state"), key, F.col("error"), 1)))
     return report
 
 
@@ -83,5 +109,5 @@ def metrics(events: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """All batches' chunks as a search table."""
-    return spark.read.parquet(f"{folder}/chunks").withColumnRenamed("chunk_id", "id")
+    """All committed batches' chunks as a search table."""
+    return Store(spark, folder).read("chunks").withColumnRenamed("chunk_id", "id")

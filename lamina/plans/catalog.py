@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lamina.functions import columns as C
 from lamina.operators import checks, chunking, cleaning, jobs, retrieval, skills
 from lamina.sources.files import effective_formats, valid_upload
+from lamina.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -524,7 +525,7 @@ def stream_ingest(spark, sf):
 
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     ingest(spark, f"{sf}/documents.parque[t]", schema, folder, f"{folder}/_state").awaitTermination()
-    return spark.read.parquet(f"{folder}/documents").select("doc_id", "file_hash", "batch")
+    return Store(spark, folder).read("documents").select("doc_id", "file_hash", "batch")
 
 
 def _own_folder(spark: SparkSession) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.sources.store import Store
+
 
 def save_documents(docs: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet",), mode: str = "append") -> None:
     """One folder per format, partitioned by company."""
@@ -40,20 +42,9 @@ def document_set(docs: DataFrame, folder: str, name: str = "document_id", text:
         rows.select(F.col(name), content.alias("content"), "company_sigla").write.mode(mode).partitionBy("company_sigla").parquet(f"{folder}/{kind}")
 
 
-def stored(spark: SparkSession, folder: str, batch: int, name: str, df: DataFrame) -> DataFrame:
-    """A table of one batch, written under batch=<n> (a repeated batch replaces itself) and read from there, so that nothing is computed twice."""
-    path = f"{folder}/{name}/batch={batch}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def mark(spark: SparkSession, folder: str, batch: int) -> None:
-    """The batch's marker, to be written last."""
-    spark.range(1).select(F.lit(batch).alias("batch"), F.current_timestamp().alias("stored_at")).write.mode("overwrite").parquet(f"{folder}/_batches/batch={batch}")
-
-
-def store_batch(spark: SparkSession, folder: str, batch: int, **tables: DataFrame) -> None:
-    """All tables of one ingestion batch, then its marker."""
-    for name, df in tables.items():
-        stored(spark, folder, batch, name, df)
-    mark(spark, folder, batch)
+def store_batch(spark: SparkSession, folder: str, batch: int, **tables: DataFrame) -> int:
+    """All tables of one batch, visible together or not at all; returns the newest version."""
+    with Store(spark, folder).begin(batch) as tx:
+        for name, df in tables.items():
+            tx.write(name, df)
+    return Store(spark, folder).versions()[-1]

@@ -12,6 +12,7 @@ from lamina.functions.columns import words
 from lamina.operators import checks, jobs, retrieval, service
 from lamina.config import Settings
 from lamina.sources import sinks
+from lamina.sources.store import Store
 
 
 @pytest.fixture(scope="module")
@@ -74,10 +75,10 @@ def test_copies_in_a_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, "same text of a policy " * 9, "cri") for i in (5, 3, 9)] + [(7, "another text " * 9, None)], "doc_id int, text string, company_sigla string").repartition(4)
     report = service.ingest(docs, spark.createDataFrame([], "file_hash string"), str(tmp_path), 0, lambda: lambda texts: [[1.0, len(t)] for t in texts], Settings(embedding_dim=2), extractor=extractor)
     assert {r.doc_id: r.state for r in report.collect()} == {3: "COMPLETED", 5: "SKIPPED", 9: "SKIPPED", 7: "COMPLETED"}
-    keys = {name: {int(r[0]) for r in spark.read.parquet(f"{tmp_path}/{name}").select(c).collect()} for name, c in (("documents", "doc_id"), ("chunks", "doc_id"), ("policies", "policy_id"), ("facts", "policy_id"))}
-    keys["jobs"] = {int(r.policy_id) for r in spark.read.parquet(f"{tmp_path}/jobs").where("status = 'COMPLETED'").collect()}
+    keys = {name: {int(r[0]) for r in Store(spark, str(tmp_path)).read(name).select(c).collect()} for name, c in (("documents", "doc_id"), ("chunks", "doc_id"), ("policies", "policy_id"), ("facts", "policy_id"))}
+    keys["jobs"] = {int(r.policy_id) for r in Store(spark, str(tmp_path)).read("jobs").where("status = 'COMPLETED'").collect()}
     assert set(map(frozenset, keys.values())) == {frozenset({3, 7})} and calls.value == 2
-    assert spark.read.parquet(f"{tmp_path}/jobs").where("status = 'SKIPPED'").count() == 2
+    assert Store(spark, str(tmp_path)).read("jobs").where("status = 'SKIPPED'").count() == 2
 
 
 def test_report_names_errors(spark):

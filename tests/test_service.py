@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.config import Settings
-from lamina.operators import embedding, service
+from lamina.operators import embedding, jobs, service
+from lamina.sources.store import MERGED, Conflict, Store
 from lamina.streaming.ingest import ingest as stream_in
 
 
@@ -21,15 +22,15 @@ def test_ingest_twice_and_ask(spark, tmp_path, factory):
     first = {r.doc_id: r.state for r in service.ingest(docs, none, str(tmp_path), 0, factory, s).collect()}
     # the third document is a copy of the second
     assert first == {1: "COMPLETED", 2: "COMPLETED", 3: "SKIPPED"}
-    stored = spark.read.parquet(f"{tmp_path}/documents")
+    stored = Store(spark, str(tmp_path)).read("documents")
     assert stored.count() == 2
     again = service.ingest(docs, stored, str(tmp_path), 1, factory, s).collect()
-    assert {r.state for r in again} == {"SKIPPED"} and spark.read.parquet(f"{tmp_path}/documents").count() == 2
+    assert {r.state for r in again} == {"SKIPPED"} and Store(spark, str(tmp_path)).read("documents").count() == 2
     table = service.stored_chunks(spark, str(tmp_path))
     got = service.ask(table, service.Question("alpha beta"), factory, lambda q, c: c.split("\n")[0], settings=s).first()
     assert got.found and got.answer == "Uno"
     assert service.ask(table, service.Question("alpha beta", 2, 0.0), factory, settings=s, hybrid=False).first().found
-    events = spark.read.parquet(f"{tmp_path}/jobs")
+    events = Store(spark, str(tmp_path)).read("jobs")
     assert events.where("status = 'SKIPPED'").count() == 4
 
 
@@ -73,4 +74,86 @@ def test_stream_stores_each_text_once(spark, tmp_path):
     stream_in(spark, source, schema, out, state).awaitTermination()
     spark.createDataFrame([(4, "c"), (5, "d")], schema).write.mode("append").parquet(source)
     stream_in(spark, source, schema, out, state).awaitTermination()
-    assert sorted(r.text.strip() for r in spark.read.parquet(f"{out}/documents").collect()) == ["a b", "c", "d"]
+    assert sorted(r.text.strip() for r in Store(spark, out).read("documents").collect()) == ["a b", "c", "d"]
+
+
+def test_failed_documents_stay_out(spark, tmp_path):
+    """Report, tables and job log agree on what was said to have failed, has no text, or fails in the model; copies of such documents too."""
+    docs = spark.createDataFrame(
+        [(1, "# Uno\n" + "alpha beta. " * 30, None, "cri"), (2, "# Dos\ntext of two " * 9, "timeout", None), (3, None, None, None), (4, "poison " * 20, None, None), (5, "poison " * 20, None, None), (6, "# Uno\n" + "alpha beta. " * 30, "unreadable", None), (7, "", None, None)],
+        "doc_id int, text string, error string, company_sigla string")
+
+    def factory():
+        def model(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("bad text")
+            return [[1.0, len(t)] for t in texts]
+
+        return model
+
+    report = service.ingest(docs, spark.createDataFrame([], "file_hash string"), str(tmp_path), 0, factory, Settings(embedding_dim=2))
+    got = {r.doc_id: (r.state, r.error) for r in report.collect()}
+    bad = "RuntimeError: bad text"
+    assert got == {1: ("COMPLETED", None), 2: ("FAILED", "timeout"), 3: ("FAILED", "no text"), 4: ("FAILED", bad), 5: ("FAILED", bad), 6: ("FAILED", "unreadable"), 7: ("COMPLETED", None)}
+    store = Store(spark, str(tmp_path))
+    assert {r.doc_id for r in store.read("documents").collect()} == {1, 7} == {int(r.policy_id) for r in store.read("policies").collect()} == {int(r.policy_id) for r in store.read("facts").collect()}
+    assert {r.doc_id for r in service.stored_chunks(spark, str(tmp_path)).collect()} == {1}
+    log = jobs.states(store.read("jobs")).join(store.read("jobs").where("event_id = 1"), "job_id").collect()
+    assert {int(r.policy_id): (r.state, r.error) for r in log} == got and all(r.n_refused == 0 and r.n_events == 2 for r in log)
+    assert store.read("jobs").where("status = 'PROCESSING'").count() == 7
+
+
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.read("a", "id long").count() == 0 and store.versions() == []
+    with store.begin(1) as tx:
+        tx.write("a", spark.range(5))
+        tx.write("b", spark.range(2))
+    broken = store.begin(2)  # dies between two tables
+    broken.write("a", spark.range(100))
+    assert store.read("a").count() == 5
+    with pytest.raises(ValueError), store.begin(2) as tx:
+        tx.write("a", spark.range(50))
+        raise ValueError
+    with store.begin(2) as tx:
+        tx.write("a", spark.range(3))
+    assert store.read("a").count() == 8 and store.read("a", batches=[2]).count() == 3 and store.read("a", version=1).count() == 5
+    with store.begin(2) as tx:  # told again
+        tx.write("a", spark.range(4))
+    assert store.read("a").count() == 9
+    one, two = store.begin(3), store.begin(4)
+    one.write("a", spark.range(1))
+    two.write("a", spark.range(1))
+    two.commit()
+    one.commit()
+    assert store.read("a").count() == 11 and store.versions() == [1, 2, 3, 4, 5]
+    late = store.begin(MERGED)
+    late.write("a", spark.range(1))
+    late.replaced["a"] = {p["path"] for p in late.base["tables"]["a"]["parts"]}
+    store.merge("a")
+    with pytest.raises(Conflict):
+        late.commit()
+    with pytest.raises(Conflict), store.begin(2) as tx:
+        tx.write("a", spark.range(4))
+    assert store.read("a").count() == 11 and len(store.manifest()["tables"]["a"]["parts"]) == 1
+    store.rollback(2)
+    assert store.read("a").count() == 8
+    assert store.vacuum() > 0 and store.read("a").count() == 8 and store.read("b").count() == 2
+
+
+def test_job_states_are_an_ordered_fold(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"j{rng.randrange(40)}", rng.randrange(60), i, rng.choice(["PROCESSING", "COMPLETED", "FAILED", "SKIPPED", "OTHER"])) for i in range(400)]
+    rows += rows[:30] + [(None, 1, 1, "PROCESSING")]
+    events = spark.createDataFrame(rows, "job_id string, ts long, event_id long, status string").repartition(3)
+    want = {}
+    for job, at, _, status in sorted({r for r in rows if r[0]}, key=lambda r: r[1:3]):
+        state, since, n, refused = want.get(job, (None, None, 0, 0))
+        if state is None and status == "PROCESSING" or state == "PROCESSING" and status in ("COMPLETED", "FAILED", "SKIPPED"):
+            state, since = status, at
+        else:
+            refused += 1
+        want[job] = state, since, n + 1, refused
+    assert {r.job_id: (r.state, r.since, r.n_events, r.n_refused) for r in jobs.states(events).collect()} == want
