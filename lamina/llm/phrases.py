@@ -6,9 +6,10 @@ with the words' bitmaps of the same blocks extends it by a word, its popcount is
 the free positions, no phrase reaches over the end of a piece. Phrases are extended depth-first, and popcounts are summed over the
 shards.
 
-All shards count their pairs first, under 64-bit hashes: a pair whose hash has a sum under ``least`` is rare for certain, so only
-the others go back to the shards that hold them. Longer phrases are extended only by pairs that went back. What comes out is summed by
-the words themselves, so equal hashes of different pairs cost time and change nothing.
+All shards count their pairs first, under hashes: a pair whose hash has a sum under ``least`` is rare for certain, so only
+the others go back to the shards that hold them. Phrases are extended only by pairs that went back. What comes out is summed by
+the words themselves, so equal hashes of different pairs cost time and change nothing. Hashes and phrases are dealt by hash into as many buckets as there are
+shards, and travel in one row for each shard and bucket, so a bucket holds about as much as a shard at every size.
 
 Defined cases: null and empty texts have no words; a null language is ``und``; repeated rows count as often as they occur; empty
 tables give no rows; ties are ordered by the rules of :func:`ranked`; only the two named columns are read, so other columns and
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.links import cut, discard, swept
@@ -88,12 +90,13 @@ class Shard:
 
     def stored(self) -> bytes:
         counts = np.bincount(self.item, minlength=len(self.words)).astype(np.int32)
-        return pickle.dumps((b" ".join(self.words), self.langs, counts, self.block, self.bits), protocol=5)
+        steps = np.diff(self.block, prepend=np.int32(0))
+        return squeezed(pickle.dumps((b" ".join(self.words), self.langs, counts, steps, self.bits), protocol=5))
 
     @staticmethod
     def read(raw: bytes) -> Shard:
-        words, langs, counts, block, bits = pickle.loads(raw)
-        return Shard(words.split(b" "), langs, np.repeat(np.arange(len(counts), dtype=np.int32), counts), block, bits)
+        words, langs, counts, steps, bits = pickle.loads(zstandard.decompress(raw))
+        return Shard(words.split(b" "), langs, np.repeat(np.arange(len(counts), dtype=np.int32), counts), np.cumsum(steps, dtype=np.int32), bits)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.item, np.bitwise_count(self.bits), minlength=len(self.words)).astype(np.int64)
@@ -122,19 +125,20 @@ class Shard:
         which = which[hit]
         return name[which], self._item[at[hit]], block[which], both[hit]
 
-    def phrases(self, longest: int, allowed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(words, counts) of phrases of 2 to ``longest`` words, depth-first in portions; ``allowed``: sorted pairs (first word * 2^32 + second) that may occur in them.
+    def phrases(self, longest: int, allowed: np.ndarray | None = None, bits: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, hashes, counts) of phrases of 2 to ``longest`` words, depth-first in portions; ``allowed``: the sorted keys of pairs that may occur in them.
 
         A phrase may come in several portions, so its counts have to be summed.
         """
         self.by_block()
-        yield from self._below(np.arange(len(self.words), dtype=np.int32)[:, None], self.item, self.block, self.bits, longest, allowed)
+        self._hash, self._bits_kept = self.hashes(), bits
+        yield from self._below(np.arange(len(self.words), dtype=np.int32)[:, None], self._hash, self.item, self.block, self.bits, longest, allowed)
 
-    def _below(self, table: np.ndarray, name: np.ndarray, block: np.ndarray, bits: np.ndarray, longest: int, allowed: np.ndarray | None):
+    def _below(self, table: np.ndarray, hashes: np.ndarray, name: np.ndarray, block: np.ndarray, bits: np.ndarray, longest: int, allowed: np.ndarray | None):
         for lo in range(0, len(name), STEP):
             p, word, b, found = self.extended(name[lo : lo + STEP], block[lo : lo + STEP], bits[lo : lo + STEP])
             if allowed is not None:
-                pair = (table[p, -1].astype(np.int64) << 32) | word
+                pair = keys_of(mixed(self._hash[table[p, -1]], self._hash[word]), self._bits_kept)
                 at = np.minimum(np.searchsorted(allowed, pair), len(allowed) - 1)
                 kept = np.flatnonzero(allowed[at] == pair)
                 p, word, b, found = p[kept], word[kept], b[kept], found[kept]
@@ -144,17 +148,41 @@ class Shard:
             order = np.argsort(key)
             key = key[order]
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            longer = np.c_[table[key[new] >> 32], (key[new] & 0xFFFFFFFF).astype(np.int32)]
-            yield longer, np.add.reduceat(np.bitwise_count(found[order]).astype(np.int64), new)
+            before, last = key[new] >> 32, (key[new] & 0xFFFFFFFF).astype(np.int32)
+            longer, told = np.c_[table[before], last], mixed(hashes[before], self._hash[last])
+            yield longer, told, np.add.reduceat(np.bitwise_count(found[order]).astype(np.int64), new)
             if longer.shape[1] < longest:
                 which = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(key)]))
-                yield from self._below(longer, which, b[order], found[order], longest, allowed)
+                yield from self._below(longer, told, which, b[order], found[order], longest, allowed)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return zstandard.compress(raw, 1)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of ordered pairs from those of their words."""
+    """Hashes of what two hashes stand for, in this order."""
     h = a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(31)) | (b >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def keys_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """What of a hash is told: the ``bits`` of its bucket and 32 more."""
+    return h >> np.uint64(32 - bits)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their sums."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[new], np.add.reduceat(n[order], new) if len(new) else n[:0]
+
+
+def edges(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of ``2 ** bits`` buckets begins in sorted keys, and the end."""
+    return np.searchsorted(key, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", shard_words: int = 2_000_000) -> DataFrame:
@@ -201,42 +229,84 @@ def word_counts(stored: DataFrame) -> DataFrame:
     return stored.select("block").mapInArrow(tidy(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def likely_pairs(stored: DataFrame, least: int) -> DataFrame:
-    """(shard, pair): pairs of words of each shard whose hash is met ``least`` times or more in all shards together."""
+def likely_pairs(stored: DataFrame, least: int, bits: int) -> DataFrame:
+    """(shard, keys): of each shard the keys of pairs that are met ``least`` times or more in all shards together, in a row for each of ``2 ** bits`` buckets."""
 
-    def run(batches):
+    def counted(batches):
         for b in batches:
             for shard, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = Shard.read(raw.as_py())
-                h = s.hashes()
-                for two, n in s.phrases(2):
-                    pair = (two[:, 0].astype(np.int64) << 32) | two[:, 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(h[two[:, 0]], h[two[:, 1]])), pa.array(np.full(len(n), shard)), pa.array(pair), pa.array(n)], names=["h", "shard", "pair", "n"])
-
-    counted = stored.mapInArrow(tidy(run), "h long, shard long, pair long, n long")
-    return counted.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).where(F.col("all") >= least).select("shard", "pair")
-
-
-def phrase_counts(stored: DataFrame, likely: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, k, n): counts of phrases of k words in each shard, all of whose pairs are likely."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+                found = [(keys_of(h, bits), n) for _, h, n in Shard.read(raw.as_py()).phrases(2)]
+                key, n = summed(np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                at = edges(key, bits)
+                low, few = key.astype(np.uint32), np.minimum(n, least).astype(np.uint32 if least > 255 else np.uint8)
+                full = np.flatnonzero(np.diff(at))
+                cut_up = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), shard)), cut_up(low), cut_up(few)], names=["bucket", "shard", "low", "n"])
+
+    def frequent(rows: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("low")]
+        n = [np.frombuffer(x.as_py(), np.uint32 if least > 255 else np.uint8) for x in rows.column("n")]
+        key, total = summed(np.concatenate(low), np.concatenate(n).astype(np.int64))
+        key, first = key[total >= least], np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32)
+        kept = [x[np.isin(x, key, assume_unique=True)].astype(np.uint64) | first for x in low]
+        return pa.table([rows.column("shard"), pa.array([x.tobytes() for x in kept], pa.binary())], names=["shard", "keys"])
+
+    parts = stored.mapInArrow(tidy(counted), "bucket int, shard long, low binary, n binary")
+    return parts.groupBy("bucket").applyInArrow(frequent, "shard long, keys binary")
+
+
+def phrase_counts(stored: DataFrame, likely: DataFrame, longest: int, least: int, bits: int) -> DataFrame:
+    """(lang, phrase, k, n): phrases of 2 to ``longest`` words that are met ``least`` times or more, all of whose pairs are likely."""
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        if left.num_rows and right.num_rows:
+        allowed = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right.column("keys")])) if right.num_rows else np.zeros(0, np.uint64)
+        if left.num_rows and len(allowed):
             s = Shard.read(left.column("block")[0].as_py())
-            words, langs = pa.array(s.words, pa.binary()), pa.array(s.langs, pa.string())
-            for table, n in s.phrases(longest, np.unique(right.column("pair").to_numpy())):
-                parts = [words.take(pa.array(table[:, c])) for c in range(table.shape[1])]
-                joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
-                out.append(pa.table([langs.take(pa.array(table[:, 0])), joined.view(pa.string()), pa.array(np.full(len(n), table.shape[1], np.int32)), pa.array(n)], names=["lang", "phrase", "k", "n"]))
-        return pa.concat_tables(out) if out else pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]).empty_table()
-
-    return stored.groupBy("shard").cogroup(likely.groupBy("shard")).applyInArrow(run, "lang string, phrase string, k int, n long")
-
-
-def exact(c: str) -> Column:
-    """Counts under 10^15 as decimals, so that products of three of them and a million stay exact."""
-    return F.col(c).cast("decimal(15,0)")
+            names = sorted(set(s.langs))
+            lang = np.array([names.index(g) for g in s.langs])
+            words, last = pa.array(s.words, pa.binary()), pa.array([w + b"\n" for w in s.words], pa.binary())
+            for table, h, n in portions_of(s.phrases(longest, allowed, bits)):
+                k = table.shape[1]
+                group = (keys_of(h, bits) >> np.uint64(32)).astype(np.int64) * len(names) + lang[table[:, 0]]
+                order = np.argsort(group, kind="stable")
+                table, n, group = table[order], n[order], group[order]
+                joined = pc.binary_join_element_wise(*[words.take(pa.array(table[:, c])) for c in range(k - 1)], last.take(pa.array(table[:, -1])), pa.scalar(b" ", pa.binary()))
+                ends, text = np.frombuffer(joined.buffers()[1], np.int32)[: len(n) + 1], joined.buffers()[2]
+                new = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(n)]
+                for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                    out.append((int(group[a]) // len(names), names[group[a] % len(names)], k, squeezed(text[int(ends[a]) : int(ends[b])]), squeezed(n[a:b].tobytes())))
+        kinds = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("k", pa.int32()), ("phrases", pa.binary()), ("n", pa.binary())])
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    def total(rows: pa.Table) -> pa.Table:
+        texts, counts, langs, ks = [], [], [], []
+        for g, k, p, n in zip(*[rows.column(c).to_pylist() for c in ("lang", "k", "phrases", "n")], strict=True):
+            t = pc.split_pattern(pa.array([zstandard.decompress(p)[:-1]], pa.binary()).view(pa.string()), "\n").flatten()
+            texts.append(t)
+            counts.append(np.frombuffer(zstandard.decompress(n), np.int64))
+            langs.append(pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(t), np.int32)), pa.array([g])).cast(pa.string()))
+            ks.append(np.full(len(t), k, np.int32))
+        every = pa.table([pa.chunked_array(langs), pa.chunked_array(texts), pa.array(np.concatenate(ks)), pa.array(np.concatenate(counts))], names=["lang", "phrase", "k", "n"])
+        all_of = every.group_by(["lang", "phrase", "k"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "k", "n"])
+        return all_of.filter(pc.greater_equal(all_of.column("n"), least))
+
+    parts = stored.groupBy("shard").cogroup(likely.groupBy("shard")).applyInArrow(found, "bucket int, lang string, k int, phrases binary, n binary")
+    return parts.groupBy("bucket").applyInArrow(total, "lang string, phrase string, k int, n long")
+
+
+def portions_of(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same in fewer, larger portions, of one length of phrase each."""
+    held: dict[int, list] = {}
+    for part in found:
+        mine = held.setdefault(part[0].shape[1], [])
+        mine.append(part)
+        if sum(len(p[2]) for p in mine) >= rows:
+            yield tuple(map(np.concatenate, zip(*mine, strict=True)))
+            mine.clear()
+    for mine in held.values():
+        if mine:
+            yield tuple(map(np.concatenate, zip(*mine, strict=True)))
 
 
 def scored(known: DataFrame, least: int, longest: int) -> DataFrame:
@@ -273,9 +343,10 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 1
     spark = docs.sparkSession
     stored = shards(docs, text, lang, shard_words)
     words = cut(word_counts(stored))
-    likely = cut(likely_pairs(stored, least))
+    bits = min(24, max(4, (max(1, stored.count()) - 1).bit_length()))
+    likely = cut(likely_pairs(stored, least, bits))
     swept(spark)
-    longer = phrase_counts(stored, likely, longest).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    longer = phrase_counts(stored, likely, longest, least, bits)
     known = cut(words.where(F.col("n") >= least).select("lang", "phrase", F.lit(1).alias("k"), "n").unionByName(longer))
     discard(stored, likely)
     swept(spark)

@@ -89,7 +89,7 @@ def test_bitmaps_count_what_a_scan_counts():
     ids = rng.integers(0, 6, 4000).astype(np.int32)
     s = phrases.Shard.read(phrases.Shard.of([bytes([97 + i]) for i in range(6)], [""] * 6, ids).stored())
     got = collections.Counter()
-    for table, n in s.phrases(4):
+    for table, _, n in s.phrases(4):
         for row, c in zip(table.tolist(), n.tolist(), strict=True):
             got[tuple(row)] += c
     want = collections.Counter(tuple(ids[i : i + k].tolist()) for k in (2, 3, 4) for i in range(len(ids) - k + 1) if ids[i : i + k].all())
