@@ -26,11 +26,12 @@ class Settings:
     children: int = 20
     rerank_top: int = 3
     facts_chars: int = 12000
+    text_config: str = "spanish"
 
     @staticmethod
     def from_env() -> Settings:
         named = {f.name: os.environ.get(f"LAMINA_{f.name.upper()}") for f in fields(Settings)}
         out = Settings(**{k: type(getattr(Settings, k))(v) for k, v in named.items() if v is not None})
-        if not 1 <= out.rerank_top <= 10 or not 0 <= out.threshold <= 1 or out.child_overlap >= out.child_size or min(out.chunk_size, out.child_size, out.embedding_dim) < 1:
+        if out.text_config not in ("simple", "spanish") or not 1 <= out.rerank_top <= 10 or not 0 <= out.threshold <= 1 or out.child_overlap >= out.child_size or min(out.chunk_size, out.child_size, out.embedding_dim) < 1:
             raise ValueError(f"settings out of range: {out}")
         return out

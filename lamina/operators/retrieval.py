@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.columns import bind, cosine, words
+from lamina.functions.spanish import lexeme
 
 #: Fixed values of the fusion and of the limits on result sizes.
 RRF_K, POOL, CHILDREN, MOST_VECTOR, MOST_HYBRID, RERANK_TOP = 60, 60, 20, 20, 50, 3
@@ -57,9 +58,14 @@ def vector_ranks(chunks: DataFrame, query: Sequence[float], pool: int = POOL) ->
     return ranked(chunks.where(F.col("embedding").isNotNull()), cosine(F.col("embedding"), literal(query)), pool, "vector_rank")
 
 
-def terms(question: str) -> list[str]:
-    """The question's words, cut as :func:`lamina.functions.columns.words` cuts the contents, each once."""
-    return sorted(set(re.findall(r"[^\W]+", question.lower())))
+#: How texts are searched: by their words, or by Spanish stems without stop words.
+SIMPLE, SPANISH = "simple", "spanish"
+
+
+def terms(question: str, config: str = SIMPLE) -> list[str]:
+    """What a question asks for, each once: its words, cut as :func:`lamina.functions.columns.words` cuts the contents, or their stems."""
+    found = set(re.findall(r"[^\W]+", question.lower()))
+    return sorted(found if config == SIMPLE else {t for t in map(lexeme, found) if t})
 
 
 def term_counts(chunks: DataFrame, question: str, id_col: str = "id", content: str = "content") -> DataFrame:
@@ -80,13 +86,42 @@ def postings(chunks: DataFrame, id_col: str = "id", content: str = "content") ->
     return at.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def match_postings(index: DataFrame, question: str) -> DataFrame:
-    """Like :func:`match_all`, over a stored index; the filter on term prunes what is read."""
-    asked = terms(question)
+def lexemes(words_of: DataFrame, term: str = "term") -> DataFrame:
+    """(term, lexeme) of each distinct term that is no stop word: a word is stemmed once, however often it occurs."""
+
+    @F.pandas_udf("string")
+    def stems(parts: pd.Series) -> pd.Series:
+        return parts.map(lexeme)
+
+    return words_of.select(term).distinct().withColumn("lexeme", stems(F.col(term))).where(F.col("lexeme").isNotNull())
+
+
+def stemmed(index: DataFrame, asked: Sequence[str] | None = None) -> DataFrame:
+    """An index of words (:func:`postings`) as one of stems: (term, id, tf, positions), where positions are those of all words, stop words included.
+
+    ``asked``: only these stems; words that don't begin like one of them are left out before anything is stemmed, as the first two letters stay, accents apart.
+    """
+    if asked is not None:
+        begin = F.translate(F.substring("term", 1, 2), "áéíóú", "aeiou")
+        index = index.where(begin.isin([t[:2] for t in asked]))
+    known = lexemes(index)
+    known = known if asked is None else known.where(F.col("lexeme").isin(list(asked)))
+    forms = index.join(known, "term").groupBy(F.col("lexeme").alias("term"), "id")
+    return forms.agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
+def match_postings(index: DataFrame, question: str, config: str = SIMPLE) -> DataFrame:
+    """Like :func:`match_all`, over a stored index; the filter on term prunes what is read. A question of stop words alone finds nothing."""
+    asked = terms(question, config)
     hit = index.where(F.col("term").isin(asked)).groupBy("id")
     return hit.agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"), F.collect_list("positions").alias("places")).where(F.col("n_terms") == len(asked))
 
 
+def match_stems(chunks: DataFrame, question: str) -> DataFrame:
+    """(id, n_terms, tf, places) by Spanish stems, without a stored index."""
+    return match_postings(stemmed(postings(chunks), terms(question, SPANISH)), question, SPANISH)
+
+
 def places_of(content: Column, asked: Sequence[str]) -> Column:
     """Positions of each term of ``asked``, null if one is missing; the content is cut once, the rest works on the few words that are terms."""
     cut = F.filter(F.transform(words(content), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t.isin(list(asked)))
@@ -137,13 +172,21 @@ def cover_density(places: str) -> Column:
     return run(F.col(places))
 
 
-def text_ranks(chunks: DataFrame, question: str, pool: int = POOL, by: str = "cover", index: DataFrame | None = None) -> DataFrame:
-    """(id, text_rank) of the chunks that hold every term, by cover density or by ``tf``; from a stored index of :func:`postings` if there is one."""
-    if by == "tf":
-        return ranked(match_all(chunks, question) if index is None else match_postings(index, question), F.col("tf"), pool, "text_rank")
-    hits = match_places(chunks, question) if index is None else match_postings(index, question)
+def text_ranks(chunks: DataFrame, question: str, pool: int = POOL, by: str = "cover", index: DataFrame | None = None, config: str = SIMPLE) -> DataFrame:
+    """(id, text_rank) of the chunks that hold every term, by cover density or by ``tf``; from a stored index of :func:`postings` (of :func:`stemmed` ones for Spanish) if there is one."""
+    if index is not None:
+        hits = match_postings(index, question, config)
+    elif config == SPANISH:
+        hits = match_stems(chunks, question)
+    else:
+        hits = match_all(chunks, question) if by == "tf" else match_places(chunks, question)
+    return ranked_hits(hits, pool, by)
+
+
+def ranked_hits(hits: DataFrame, pool: int = POOL, by: str = "cover") -> DataFrame:
+    """(id, text_rank) of matches with tf or places."""
     # rounded, so that rounding in sums doesn't order chunks that are equal
-    return ranked(hits, F.round(cover_density("places"), 9), pool, "text_rank")
+    return ranked(hits, F.col("tf") if by == "tf" else F.round(cover_density("places"), 9), pool, "text_rank")
 
 
 def fuse(vector: DataFrame, text: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -158,9 +201,9 @@ def fuse_outer(vector: DataFrame, text: DataFrame, k: int = RRF_K) -> DataFrame:
     return vector.join(text, "id", "full_outer").select("id", "vector_rank", "text_rank", (one("vector_rank") + one("text_rank")).alias("score"))
 
 
-def hybrid(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None, config: str = SIMPLE) -> DataFrame:
     """The best chunks by fused rank, with all their columns. Both rankings carry ids alone; ``index`` spares reading the contents."""
-    fused = fuse(vector_ranks(chunks, query, pool), text_ranks(chunks, question, pool, index=index), k)
+    fused = fuse(vector_ranks(chunks, query, pool), text_ranks(chunks, question, pool, index=index, config=config), k)
     best = fused.orderBy(F.col("score").desc(), "id").limit(clamp(limit, MOST_HYBRID))
     return chunks.join(F.broadcast(best), "id")  # at most MOST_HYBRID rows
 
@@ -179,9 +222,9 @@ def resolve_parents(hits: DataFrame, chunks: DataFrame, few: bool = False) -> Da
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "priority")
 
 
-def search(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, query: Sequence[float], question: str, limit: int = CHILDREN, pool: int = POOL, k: int = RRF_K, index: DataFrame | None = None, config: str = SIMPLE) -> DataFrame:
     """Hybrid search with parents resolved, best first."""
-    return resolve_parents(hybrid(chunks, query, question, limit, pool, k, index), chunks, few=True).orderBy(F.col("score").desc(), "id")
+    return resolve_parents(hybrid(chunks, query, question, limit, pool, k, index, config), chunks, few=True).orderBy(F.col("score").desc(), "id")
 
 
 def rerank(hits: DataFrame, question: str, top: int = RERANK_TOP, scorer: Callable[[str, pd.Series], pd.Series] | None = None) -> DataFrame:

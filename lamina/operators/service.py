@@ -13,6 +13,7 @@ from lamina.functions.rules import CompanyRules
 from lamina.operators import checks, embedding, jobs, retrieval
 from lamina.operators.chunking import chunks
 from lamina.operators.cleaning import post_process
+from lamina.operators.textindex import TextIndex
 from lamina.sources.store import Store
 
 
@@ -76,6 +77,7 @@ def ingest(docs: DataFrame, known: DataFrame, folder: str, batch: int, factory:
             errors = clean.join(bad, key).select("file_hash", "model_error")
             clean = tx.write("documents", clean.join(bad, key, "left_anti"))
         table = tx.write("chunks", table.join(clean.select(key), key, "left_semi").drop("embedding_error")) if seen.get["failed"] else table
+        TextIndex(tx.store, settings.text_config).append(tx, table.select(F.col("chunk_id").alias("id"), "content"))
         policy = F.col(key).cast("string").alias("policy_id")
         tx.write("policies", clean.select(policy, "file_hash", F.upper("company_sigla").alias("company_sigla"), F.octet_length(text).cast("long").alias("markdown_size_bytes"), F.current_timestamp().alias("created_at")))
         tx.write("facts", clean.select(policy, "facts"))
@@ -86,12 +88,15 @@ def ingest(docs: DataFrame, known: DataFrame, folder: str, batch: int, factory:
     return report
 
 
-def ask(chunk_table: DataFrame, question: Question, factory: Callable[[], embedding.Model], complete=None, scorer=None, settings: Settings = Settings(), hybrid: bool = True) -> DataFrame:
-    """(question, answer, found). Hybrid search with reranking, or plain vector search with the question's own limits."""
+def ask(chunk_table: DataFrame, question: Question, factory: Callable[[], embedding.Model], complete=None, scorer=None, settings: Settings = Settings(), hybrid: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """(question, answer, found). Hybrid search with reranking, or plain vector search with the question's own limits. With a stored index the contents aren't read to match the words."""
     table = retrieval.filtered(chunk_table, policy_id=question.policy_id, sigla=question.sigla)
     vector = embedding.embed_question(question.text, factory, settings.embedding_dim)
     if hybrid:
-        hits = retrieval.rerank(retrieval.search(table, vector, question.text, settings.children, settings.pool, settings.rrf_k), question.text, settings.rerank_top, scorer)
+        stored = None if index is None else index.postings(question.text)
+        if stored is not None and (question.policy_id is not None or question.sigla is not None):
+            stored = stored.join(table.select("id"), "id", "left_semi")  # of other documents no chunk may take a rank
+        hits = retrieval.rerank(retrieval.search(table, vector, question.text, settings.children, settings.pool, settings.rrf_k, stored, settings.text_config), question.text, settings.rerank_top, scorer)
     else:
         hits = retrieval.vector_topk(table, vector, question.top_k, question.threshold)
     index = F.col("chunk_index") if "chunk_index" in table.columns else F.col("id")

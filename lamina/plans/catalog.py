@@ -33,10 +33,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lamina.plans import search  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -518,20 +521,23 @@ def skill_merge(spark, sf):
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash, CAST(0 AS INTEGER) AS batch FROM documents GROUP BY sha256(text)")
 def stream_ingest(spark, sf):
     """Documents as a stream of files, each text stored once; the result is read back from the store."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder(spark)}/stream-{uuid.uuid4().hex}"
     from lamina.streaming.ingest import ingest
 
+    folder = own_folder(spark, "stream")
+
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     ingest(spark, f"{sf}/documents.parque[t]", schema, folder, f"{folder}/_state").awaitTermination()
     return Store(spark, folder).read("documents").select("doc_id", "file_hash", "batch")
 
 
-def _own_folder(spark: SparkSession) -> str:
-    """Where no shared folder is set and all runs in one process, as in tests, one of our own."""
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; where none is set and all runs in one process, as in tests, one of our own."""
     import tempfile
+    import uuid
 
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="lamina-stream-")
+    return tempfile.mkdtemp(prefix=f"lamina-{name}-")

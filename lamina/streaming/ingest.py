@@ -11,6 +11,7 @@ from lamina.operators.cleaning import post_process
 from lamina.operators import jobs
 from lamina.operators.jobs import new_documents
 from lamina.operators.service import job_events, split_off
+from lamina.operators.textindex import TextIndex
 from lamina.sources.store import Store
 
 
@@ -32,6 +33,7 @@ def ingest(spark: SparkSession, source: str, schema: str, folder: str, state: st
             fresh = new_documents(batch.where(F.col("error").isNull()), known, key=key)
             clean = tx.write("documents", post_process(fresh, text).drop("context", "error"))
             table = tx.write("chunks", chunks(clean, key, text))
+            TextIndex(tx.store).append(tx, table.select(F.col("chunk_id").alias("id"), "content"))
             report = jobs.report(told, known, table, key)
             opened = job_events(report, number, F.lit(jobs.OPEN), key)
             tx.write("jobs", opened.unionByName(job_events(report, number, F.col("state"), key, F.col("error"), 1)))
