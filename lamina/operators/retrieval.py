@@ -93,7 +93,8 @@ def lexemes(words_of: DataFrame, term: str = "term") -> DataFrame:
     def stems(parts: pd.Series) -> pd.Series:
         return parts.map(lexeme)
 
-    return words_of.select(term).distinct().withColumn("lexeme", stems(F.col(term))).where(F.col("lexeme").isNotNull())
+    # marked so that the filters behind it don't make the plan run it twice
+    return words_of.select(term).distinct().withColumn("lexeme", stems.asNondeterministic()(F.col(term))).where(F.col("lexeme").isNotNull())
 
 
 def stemmed(index: DataFrame, asked: Sequence[str] | None = None) -> DataFrame:
