@@ -45,11 +45,18 @@ CLASSES = "IHTNRO"
 SEED_INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "dumb", "dummkopf", "abschaum", "trottel", "imbécile", "ordure", "crétin", "idiota", "imbécil", "estúpido", "basura")
 THREATS = ("kill", "hurt", "destroy", "burn", "beat", "töten", "umbringen", "vernichten", "tuer", "détruire", "frapper", "matar", "destruir", "golpear")
 TARGETS = ("you", "your", "they", "them", "he", "she", "him", "her", "people", "du", "ihr", "euch", "sie", "ihn", "tu", "vous", "toi", "ils", "elles", "lui", "usted", "ustedes", "vosotros", "ellos", "él")
-NEGATIONS = ("not", "no", "never", "isn't", "aren't", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun", "nunca", "jamás", "ni")
+NEGATIONS = ("not", "no", "never", "isn't", "aren't", "wasn't", "weren't", "don't", "doesn't", "didn't", "nicht", "kein", "keine", "nie", "pas", "jamais", "aucun", "nunca", "jamás", "ni")
 REPORTS = ("said", "says", "called", "quoted", "wrote", "reported", "claimed", "sagte", "schrieb", "nannte", "dit", "écrit", "déclaré", "dijo", "escribió", "llamó")
 CLAUSE_ENDS = ".!?;:,\n|"
 CLAUSE = re.compile("[" + re.escape(CLAUSE_ENDS) + "]+")
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: A word ends at an apostrophe (d'idiot is two words), but for the contracted not.
+WORD = re.compile(r"[^\W\d_]+n't(?![^\W\d_])|[^\W\d_]+")
+APOSTROPHES = str.maketrans("\u2019\u02bc", "''")
+
+
+def lowered(text: str) -> str:
+    """Lower case with one kind of apostrophe."""
+    return text.lower().translate(APOSTROPHES)
 
 
 def target() -> Transducer:
@@ -119,7 +126,7 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         """log(1 + x) of: matched weight, matched weight per 1000 words, strongest clause, negated, reported, threats."""
-        text = (text or "").lower()
+        text = lowered(text or "")
         total, most, at, end = Counter(), 0.0, 0, len(text)
         while (m := self.trigger.search(text, at)) is not None:
             # the clause around the match
@@ -150,7 +157,7 @@ def learn_insults(texts: list[str], toxic: np.ndarray, least_docs: int = 4, leas
     def starts(word: str) -> set[str]:
         return {word[:k] for k in range(3, min(8, len(word)) + 1)} | {word + "$"}
 
-    bags = [Counter(WORD.findall(t.lower())) for t in texts]
+    bags = [Counter(WORD.findall(lowered(t))) for t in texts]
     seen: Counter[str] = Counter()
     for bag, t in zip(bags, toxic, strict=True):
         if t:
