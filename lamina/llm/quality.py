@@ -29,7 +29,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.links import cut, discard
@@ -201,9 +201,15 @@ class Spread:
                 new = np.flatnonzero(at == len(steps) - 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new)), b.column(1).take(pa.array(new)), pa.array(by[new], pa.int32()), pa.array(label[new], pa.int32())], names=["v", "h", "by", "label"])
 
-        found = self.table.select("v", "h").mapInArrow(tidy(run), "v binary, h long, by int, label int").groupBy("by", "label", "h").agg(F.min("v").alias("v"))
-        first = found.withColumn("r", F.row_number().over(Window.partitionBy("by", "label").orderBy("h"))).where(F.col("r") <= F.when(F.col("label") == 1, math.ceil(self.give_rows * good)).otherwise(math.ceil(self.give_rows * (1 - good))))
-        rows = sorted(first.select("by", "label", "r", "v").collect())
+        found = cut(self.table.select("v", "h").mapInArrow(tidy(run), "v binary, h long, by int, label int"))
+
+        def first(by: int, label: int) -> DataFrame:
+            """A limit, for which each task keeps its own first rows only. Few of them are the same, as rows with the same numbers have the same hash."""
+            mine = found.where((F.col("by") == by) & (F.col("label") == label)).groupBy("h").agg(F.min("v").alias("v")).orderBy("h")
+            return mine.limit(math.ceil(self.give_rows * (good if label else 1 - good))).select(F.lit(by).alias("by"), F.lit(label).alias("label"), "h", "v")
+
+        rows = sorted(first(0, 0).unionByName(first(0, 1)).unionByName(first(1, 0)).unionByName(first(1, 1)).collect())
+        discard(found)
         c, m = unpacked([r.v for r in rows])
         return [(x, y, r.by, r.label) for x, y, r in zip(c, m, rows, strict=True)]
 
