@@ -7,7 +7,7 @@ replicas' roots and, level by level, expands only the nodes that differ. The rec
 matched by id and content, wherever they stand, so one that is missing makes no other seem damaged.
 
 An archive holds the records of ``per_archive`` consecutive page ids. One that repeated ids make larger than four times
-that is split into a power of two of parts by a hash of id and content. Equal records stand next to each other and are one
+that, or pages larger than ``archive_bytes``, is split into a power of two of parts by a hash of id and content. Equal records stand next to each other and are one
 leaf with a count (``copies``); those of a split archive are dealt out evenly over its parts. So an archive is the same in whatever
 order its rows come, and no id or content gathers in one task.
 
@@ -29,6 +29,8 @@ from lamina.llm.links import cut
 from lamina.llm.memory import tidy
 
 LENGTH = re.compile(rb"\r\nContent-Length: (\d+)", re.I)
+#: Bytes beyond which an archive is split, far under the 2 GB that one value may have: parts are dealt by hash, so some are larger than others.
+ARCHIVE_BYTES = 256_000_000
 RECORD_ID = re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+)>", re.I)
 
 
@@ -43,13 +45,15 @@ def record(key: str, url: str, body: str) -> Column:
     return F.concat(head, text, F.lit("\r\n\r\n"))
 
 
-def hashed(pages: DataFrame, key: str, url: str, body: str, per_archive: int) -> DataFrame:
+def hashed(pages: DataFrame, key: str, url: str, body: str, per_archive: int, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(k, archive, parts, r, length, sha256); parts: into how many the archive is split."""
     k = F.coalesce(F.col(key).cast("long"), F.lit(-1))
     archive = F.expr(f"(k - pmod(k, {per_archive})) div {per_archive}")
     most = 4 * per_archive
-    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most))).cast("int").alias("parts")
-    large = pages.select(k.alias("k")).groupBy(archive.alias("archive")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("archive", parts)
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n")))).cast("int").alias("parts")
+    size = F.octet_length(record(key, url, body)).cast("long")
+    n = F.greatest(F.when(F.count("*") > most, F.count("*") / most), F.when(F.sum("b") > archive_bytes, F.sum("b") / archive_bytes)).alias("n")
+    large = pages.select(k.alias("k"), size.alias("b")).groupBy(archive.alias("archive")).agg(n).where(F.col("n") > 1).select("archive", parts)
     rec = pages.select(k.alias("k"), record(key, url, body).alias("r")).withColumn("archive", archive)
     rec = rec.select("k", "archive", "r", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("sha256"))
     large = cut(large, 1)
@@ -67,18 +71,18 @@ def dealt(rows: DataFrame, *more: Column) -> DataFrame:
     return one.select("archive", part, "k", "length", "sha256", copies, *[c for c in one.columns if c not in ("archive", "parts", "k", "length", "sha256", "n", "i")])
 
 
-def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
+def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(key, archive, part, at, seq, offset, length, sha256, copies) of each leaf: its place among the leaves, the number and offset of its first record. Page bytes are not shuffled."""
     w = Window.partitionBy("archive", "part").orderBy("k", "sha256", "length")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt(hashed(pages, key, url, body, per_archive).drop("r")).withColumn("at", F.row_number().over(w).cast("long") - 1)
+    rows = dealt(hashed(pages, key, url, body, per_archive, archive_bytes).drop("r")).withColumn("at", F.row_number().over(w).cast("long") - 1)
     rows = rows.withColumn("seq", F.coalesce(F.sum("copies").over(before), F.lit(0))).withColumn("offset", F.coalesce(F.sum(F.col("copies") * F.col("length")).over(before), F.lit(0)))
     return rows.select(F.col("k").alias(key), "archive", "part", "at", "seq", "offset", "length", "sha256", "copies")
 
 
-def archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024) -> DataFrame:
+def archives(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", per_archive: int = 1024, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, part, bytes): each archive's records one after another, ready to be written as files."""
-    rows = hashed(pages, key, url, body, per_archive)
+    rows = hashed(pages, key, url, body, per_archive, archive_bytes)
     order = ["archive", "part", "k", "sha256", "length", "copies", "r"]
     usual = rows.where("parts IS NULL").select("archive", F.lit(0).alias("part"), "k", "sha256", "length", F.lit(1).cast("long").alias("copies"), "r")
     rows = usual.unionByName(dealt(rows.where("parts IS NOT NULL"), F.first("r").alias("r")).select(*order))  # empty where no archive is split
