@@ -213,7 +213,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bars, pa.float64())], names=["k", "v", "floor"])
 
     told = cut(asked.mapInArrow(tidy(floors), "k long, v array<double>, floor double"))
-    blocks = packed(rows.withColumn("s", dealt(shards)), lambda pdf: Shard.build(pdf, model))
+    blocks = packed(dealt(rows, shards), lambda pdf: Shard.build(pdf, model))
 
     def search(block: Shard, ids: np.ndarray, v: list[np.ndarray], bars: np.ndarray):
         own = np.array([i for i, x in enumerate(v) if len(x) == d], int)

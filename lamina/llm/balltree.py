@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     rows = usable(vectors, key, vector).select("k", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     shards = n_blocks(rows.count(), shard_rows)
     asked = rows.where(is_query).groupBy("k").agg(F.min("v").alias("v"))
-    blocks = packed(rows.withColumn("s", dealt(shards)), lambda pdf: trees(pdf, leaf))
+    blocks = packed(dealt(rows, shards), lambda pdf: trees(pdf, leaf))
 
     def first_pass(block: dict, ids: np.ndarray, v: list[np.ndarray], floors: np.ndarray):
         for w, at in by_width(v):

@@ -27,9 +27,14 @@ def n_blocks(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
 
-def dealt(n: int, *salt: object) -> Column:
-    """Block of a row. Equal rows are told apart by a running number, so that even a table of one repeated row spreads."""
-    return F.pmod(F.xxhash64("k", "v", F.monotonically_increasing_id(), *[F.lit(s) for s in salt]), F.lit(n)).cast("int")
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """``rows`` with a number ``n`` that tells equal ones apart. It follows the order within a partition, so it hangs on what rows a partition has and not on how they came there: a task that is run again numbers them alike."""
+    return rows.sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (k, v) with their block ``s``. Equal rows are told apart, so that even a table of one repeated row spreads."""
+    return numbered(rows, "k", "v").withColumn("s", F.pmod(F.xxhash64("k", "v", "n"), F.lit(n)).cast("int")).drop("n")
 
 
 def packed(rows: DataFrame, make: Callable[[pd.DataFrame], object]) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 9: packing token sequences by first-fit decreasing with a tournament tree.
 
-Documents are dealt out and ordered by a seeded random draw; each task packs groups of at most ``group_docs`` documents
+Documents are dealt out and ordered by a seeded hash of key, text and a number that tells equal rows apart; each task packs groups of at most ``group_docs`` documents
 and ``group_chars`` characters on its own, so memory is bounded and no group waits for another. The order
-within a task is that of the draws, not of arrival, so a task that runs again makes the same sequences.
+within a task is that of the hashes, not of arrival, so a task that runs again makes the same sequences, whatever order its input came in.
 Within a group, pieces in decreasing length go to the first open sequence with room, which a
 tournament tree over the sequences' free room finds in logarithmic time. Then the emptiest sequences are
 taken apart to fill gaps of at least ``least_cut`` tokens, and what is left over at the end of the
@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.blocks import numbered
 from lamina.llm.bpe import encoder, portions
 from lamina.llm.memory import tidy
 
@@ -106,10 +107,15 @@ def pack_group(lengths: list[int], size: int = 4096, least_cut: int = 16) -> lis
     return out
 
 
-def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = 4096, close: int = 2, group_docs: int = 2048, group_chars: int = 4_000_000, partitions: int | None = None, seed: int = 9) -> DataFrame:
-    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def tasks_for(texts: DataFrame, task_bytes: int) -> int:
+    total = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    return max(1, -(-total // task_bytes))
+
+
+def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = 4096, close: int = 2, group_docs: int = 2048, group_chars: int = 4_000_000, task_bytes: int = 8_000_000, partitions: int | None = None, seed: int = 9) -> DataFrame:
+    """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset. Dealt to as many tasks as the texts' bytes ask for, if ``partitions`` doesn't say."""
     kind = docs.schema[key].dataType.simpleString()
-    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or tasks_for(docs.select(F.col(text).cast("string").alias("text")), task_bytes)
 
     def groups(batches) -> Iterable[tuple[list, list[np.ndarray]]]:
         enc, keys, rows, chars = encoder(path), [], [], 0
@@ -144,7 +150,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema_key = to_arrow_type(docs.schema[key].dataType)
-    drawn = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.rand(seed).alias("draw"))
-    dealt = drawn.repartition(parts, "draw").sortWithinPartitions("draw").select("key", "text")
+    drawn = numbered(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key", F.xxhash64("text"))
+    drawn = drawn.withColumn("draw", F.xxhash64(F.col("key").cast("string"), F.xxhash64("text"), "n", F.lit(seed)))
+    dealt = drawn.repartition(parts, "draw").sortWithinPartitions("draw", "key", "text").select("key", "text")
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
