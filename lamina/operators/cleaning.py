@@ -76,7 +76,7 @@ def spaced_lines(text: Column, least: float = 0.4) -> Column:
 
 def ghost_lines(text: Column) -> Column:
     """How many lines ``rules.drop_ghosts`` drops: those that a longer neighbour within ten lines before and eleven after, or the neighbours together, hold, letters compared; of equal lines the first doesn't count. Natively, for counts."""
-    bare = F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.struct(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")).alias("b"), strip(x).rlike(r"^(#|\||```|<!--|\*|-|>)").alias("mark"), F.exists(F.split(x, r"(?U)\s+"), lambda w: F.length(w) > 22).alias("run")))
+    bare = F.transform(F.split(text, LINE_BREAK, -1), lambda x: F.struct(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]", "")).alias("b"), strip(x).rlike(r"^(#|\||```|<!--|\*|-|>)").alias("mark"), F.exists(F.split(x, r"(?U)\s+"), lambda w: F.length(w) > R.RUN_ON).alias("run")))
 
     def count(all_lines: Column) -> Column:
         letters = lambda near: F.array_join(F.transform(near, lambda n: n.b), "")
@@ -84,8 +84,8 @@ def ghost_lines(text: Column) -> Column:
         def ghost(x: Column, i: Column) -> Column:
             before = F.slice(all_lines, F.greatest(F.lit(1), i - 9), F.least(i, F.lit(10)))
             after = F.filter(F.slice(all_lines, i + 2, F.lit(11)), lambda n: n.b != x.b)
-            held = bind(F.concat(letters(before), letters(after)), lambda t: F.contains(t, x.b) & ((F.length(t) >= F.length(x.b) * 1.15) | x.run))
-            return F.when((F.length(x.b) >= 15) & ~x.mark, held).otherwise(False)
+            held = bind(F.concat(letters(before), letters(after)), lambda t: F.contains(t, x.b) & ((F.length(t) >= F.length(x.b) * R.GHOST_SURPLUS) | x.run))
+            return F.when((F.length(x.b) >= R.GHOST_LETTERS) & ~x.mark, held).otherwise(False)
 
         return F.size(F.filter(F.transform(all_lines, ghost), lambda g: g))
 

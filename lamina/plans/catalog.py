@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lamina.plans import search  # noqa: F401  adds its own
+    from lamina.plans import derived, search  # noqa: F401  add their own
 
     return dict(QUERIES)
 
@@ -370,7 +370,7 @@ def post_process_all(spark, sf):
 def company_rules(spark, sf):
     from lamina.functions.rules import CompanyRules
 
-    own = CompanyRules("CRI", kv_keys=("Ramo", "Póliza"), header_patterns=(r"^Agente", "["), table_split_hints=(r"^# ",), fixes=({"header_pattern": ["A", "B"], "expected_columns": 4, "insert_at_index": 1, "fill_value": "copy_previous"},))
+    own = CompanyRules("CRI", kv_keys=("Ramo", "Póliza"), header_patterns=(r"^Agente", "["), table_split_hints=("# ",), fixes=({"header_pattern": ["A", "B"], "expected_columns": 4, "insert_at_index": 1, "fill_value": "copy_previous"},))
     return cleaning.post_process(_forms(spark, sf), company=own).select("doc_id", "text")
 
 

@@ -54,7 +54,7 @@ def test_repeated_elements():
 
 
 def test_company():
-    rules = R.CompanyRules("CRI", kv_keys=("Ramo", "Monto"), header_patterns=("^PIE", "["), table_split_hints=("^SECCION",))
+    rules = R.CompanyRules("CRI", kv_keys=("Ramo", "Monto"), header_patterns=("^PIE", "["), table_split_hints=("seccion",))
     out = done(R.company, "PIE de página\nRamo: Vida\nMonto\n12\nx\nSECCION A", rules)
     assert "PIE" not in out and "| **Ramo** | Vida |" in out and "| **Monto** | 12 |" in out and "\n---\nSECCION A" in out
 

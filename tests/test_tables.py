@@ -8,6 +8,7 @@ from lamina.config import Settings
 from lamina.functions.rules import CompanyRules
 from lamina.operators import checks, cleaning, jobs, retrieval, skills
 from lamina.plans import catalog
+from lamina.sources.store import Store
 from lamina.sources import files, sinks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -139,7 +140,7 @@ def test_sinks(spark, tmp_path):
     assert stored.count() == 2 and sinks.unsaved(docs, stored).count() == 0
     for _ in range(2):
         sinks.store_batch(spark, f"{tmp_path}/s", 7, documents=docs)
-    assert spark.read.parquet(f"{tmp_path}/s/documents").count() == 2
+    assert Store(spark, f"{tmp_path}/s").read("documents").count() == 2
 
 
 def test_settings(monkeypatch):
