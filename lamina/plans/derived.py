@@ -88,7 +88,7 @@ def paragraph_dedup_digest(spark, sf):
 def _tables(spark, sf):
     """Before the text a table with page rows, an empty column, equal neighbours, a title row and a sub-header, more or fewer of them by document."""
     k = F.col("doc_id")
-    rows = F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), lambda i: F.concat(F.lit("| "), i, F.lit(" | "), F.when(i % 2 == 0, "x").otherwise(F.col("lang")), F.lit(" | x | "), F.when(k % 3 == 0, F.lit("")).otherwise("source"), F.lit(" |")))
+    rows = F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), lambda i: F.concat(F.lit("| "), i, F.lit(" | "), F.when(i % 2 == 0, "x").otherwise(F.col("lang")), F.lit(" | x | "), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("source")), F.lit(" |")))
     head = F.array(F.lit("| Nro | A | B | C |"), F.lit("|---|:--|---|--:|"))
     more = F.when(k % 2 == 0, F.array(F.lit("| | Resumen | | |"), F.lit("| 7 | Página 2 de 3 | | |"))).otherwise(F.array().cast("array<string>"))
     sub = F.when(k % 7 == 0, F.array(F.lit("| Código | Coberturas | Suma | Prima |"), F.lit("| 9 | z | z | 1 |"))).otherwise(F.array().cast("array<string>"))
