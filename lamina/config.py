@@ -27,6 +27,8 @@ class Settings:
     rerank_top: int = 3
     facts_chars: int = 12000
     text_config: str = "spanish"
+    #: Names of standard rules that are left out, separated by commas.
+    rules_off: str = ""
 
     @staticmethod
     def from_env() -> Settings:

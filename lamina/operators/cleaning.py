@@ -26,9 +26,12 @@ def cleaner(company: R.CompanyRules | None = None, standard: tuple = R.STANDARD)
     return run
 
 
-def post_process(docs: DataFrame, text: str = "text", company: R.CompanyRules | None = None, most_blank: int = 2) -> DataFrame:
-    """``docs`` with a clean text and a struct of what was done; removed repeated lines count half as headers, half as footers."""
-    done = docs.withColumn("_c", cleaner(company)(newlines(F.coalesce(F.col(text), F.lit("")))))
+def post_process(docs: DataFrame, text: str = "text", company: R.CompanyRules | None = None, most_blank: int = 2, registry: R.Registry | None = None, **options: object) -> DataFrame:
+    """``docs`` with a clean text and a struct of what was done; removed repeated lines count half as headers, half as footers.
+
+    ``registry``: other rules, or the standard ones switched on or off; ``options`` go to the rules that take them (``least``, ``share``).
+    """
+    done = docs.withColumn("_c", cleaner(company, (registry or R.REGISTRY).steps(**options))(newlines(F.coalesce(F.col(text), F.lit("")))))
     n = F.coalesce(F.try_element_at("_c.counts", F.lit("repeated_lines")), F.lit(0))
     ctx = F.struct("_c.applied", "_c.errors", "_c.counts", F.expr("coalesce(try_element_at(_c.counts, 'repeated_lines'), 0) div 2").alias("headers_removed"), (n - F.floor(n / 2)).cast("long").alias("footers_removed"))
     return done.withColumn(text, fewer_blanks(F.col("_c.text"), most_blank)).withColumn("context", ctx).drop("_c")

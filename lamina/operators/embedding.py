@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A model: texts to vectors. The factory runs on the worker.
@@ -66,6 +66,39 @@ def embed_question(question: str, factory: Callable[[], Model], dim: int = 1024)
     return unit(factory()([question]), dim)[0].tolist()
 
 
+#: The facts as they are stored: text fields, coverages and conditions.
+COVERAGES = "array<struct<nombre:string,limite:string,franquicia:string,detalle:string>>"
+
+
+def parsed_facts(answer: Column) -> Column:
+    """A model's answer as (facts, rejected): facts is a struct of typed fields, rejected names what the answer has but no value could be read for.
+
+    The answer is parsed as a variant, after a fence around it has been taken off, so wrong types are seen field by field: numbers and truth values count as text, a single
+    text as a list of one, anything else in a field's place is rejected. Of an answer that is no JSON, as when it was cut off, each text field
+    that is whole (a comma or brace follows) is still read; its lists are rejected if they were begun. An answer without anything has only nulls.
+    """
+    body = F.regexp_replace(F.regexp_replace(answer, r"(?s)^.*?```(?:json)?\s*", ""), r"(?s)\s*```.*$", "")
+    whole = F.try_parse_json(F.when(answer.contains("```"), body).otherwise(answer))
+    whole = F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole)
+    at = lambda field, kind: F.try_variant_get(whole, f"$.{field}", kind)
+    shape = lambda field: F.schema_of_variant(at(field, "variant"))
+
+    def text(field: str) -> Column:
+        plain = ~shape(field).startswith("OBJECT") & ~shape(field).startswith("ARRAY")
+        torn = F.regexp_extract(answer, rf'"{field}"\s*:\s*"((?:[^"\\]|\\.)*)"(?=\s*[,}}])', 1)
+        found = F.when(plain, at(field, "string"))
+        return F.when(whole.isNotNull(), found).otherwise(F.when(torn != "", F.regexp_replace(torn, r'\\(["\\/])', "$1")))
+
+    def listed(field: str, kind: str) -> Column:
+        lone = F.when(~shape(field).startswith("OBJECT") & ~shape(field).startswith("ARRAY"), F.array(at(field, "string"))) if kind == "array<string>" else F.lit(None)
+        return F.when(shape(field).startswith("ARRAY"), at(field, kind)).otherwise(lone.cast(kind))
+
+    values = {f: text(f) for f in FACT_FIELDS} | {"coberturas": listed("coberturas", COVERAGES), "condiciones": listed("condiciones", "array<string>")}
+    said = lambda f: F.when(whole.isNotNull(), at(f, "variant").isNotNull() & (shape(f) != "VOID")).otherwise(answer.contains(f'"{f}"'))
+    rejected = F.array_compact(F.array(*[F.when(F.coalesce(said(f), F.lit(False)) & v.isNull(), F.lit(f)) for f, v in values.items()]))
+    return F.struct(F.struct(*[v.alias(f) for f, v in values.items()]).alias("facts"), rejected.alias("rejected"))
+
+
 def facts(docs: DataFrame, extractor: Callable[[str, str | None], dict] | None = None, text: str = "text", sigla: str = "company_sigla", most: int = 12000) -> DataFrame:
     """``docs`` with a JSON column of facts from the first ``most`` characters; on failure, or without a model, the fallback."""
 

@@ -248,7 +248,7 @@ def rerank(hits: DataFrame, question: str, top: int = RERANK_TOP, scorer: Callab
 
 
 def vector_topk_batch(chunks: DataFrame, questions: DataFrame, k: int = 5, threshold: float | None = None) -> DataFrame:
-    """(question_id, id, score) of the k most similar chunks of each of ``questions`` (question_id, embedding), which come in batches of at most 1,000.
+    """(question_id, id, score) of the k most similar chunks of each of ``questions`` (question_id, embedding), which come in batches of at most 1,000. Chunks whose vector is null, zero or of another length are left out.
 
     Every chunk is read once; each task keeps the best k of a question before anything is shuffled.
     """
@@ -258,23 +258,35 @@ def vector_topk_batch(chunks: DataFrame, questions: DataFrame, k: int = 5, thres
     k = clamp(k, MOST_VECTOR)
     if not asked:
         return chunks.select(F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
+    if len({len(r.e) for r in asked}) != 1:
+        raise ValueError("questions have vectors of one length")
     ids, q = [r.question_id for r in asked], np.array([r.e for r in asked], float)
     q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, np.nan, n)
     kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, score double"
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in ids]  # of each question scores and ids
         for f in frames:
-            if not len(f):
-                continue
-            v = np.array([np.asarray(x, float) for x in f["embedding"]]).reshape(len(f), -1)
-            length = np.linalg.norm(v, axis=1, keepdims=True)
-            s = (v / np.where(length == 0, np.nan, length)) @ q.T
-            new = pd.DataFrame({"question": np.tile(np.arange(len(ids)), len(f)), "id": np.repeat(f["id"].to_numpy(), len(ids)), "score": s.ravel()}).dropna(subset=["score"])
-            kept = new if kept is None else pd.concat([kept, new])
-            kept = kept.sort_values(["question", "score", "id"], ascending=[True, False, True]).groupby("question").head(k)
-        if kept is not None and len(kept):
-            yield pd.DataFrame({"question_id": [ids[i] for i in kept["question"]], "id": kept["id"], "score": kept["score"]})
+            vectors = [np.asarray(x, float) for x in f["embedding"]]
+            fits = np.array([len(v) == q.shape[1] for v in vectors], bool)  # others are like nothing that is asked
+            names = f["id"].to_numpy(object)[fits]
+            v = np.array([x for x, ok in zip(vectors, fits, strict=True) if ok]).reshape(-1, q.shape[1])
+            for lo in range(0, len(v), 1024):
+                part = v[lo : lo + 1024]
+                length = np.linalg.norm(part, axis=1, keepdims=True)
+                scores = q @ (part / np.where(length == 0, np.nan, length)).T
+                for i, row in enumerate(scores):
+                    row = np.where(np.isnan(row), -np.inf, row)
+                    near = np.arange(len(row))
+                    if len(row) > k:  # all that tie with the last one stay until the ids have decided
+                        near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+                    near = near[row[near] > -np.inf]
+                    both = np.r_[kept[i][0], row[near]], np.r_[kept[i][1], names[lo : lo + 1024][near]]
+                    order = sorted(range(len(both[0])), key=lambda j: (-both[0][j], both[1][j]))[:k]
+                    kept[i] = both[0][order], both[1][order]
+        rows = [(ids[i], key, score) for i, (scores, keys) in enumerate(kept) for score, key in zip(scores.tolist(), keys.tolist(), strict=True)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["question_id", "id", "score"])
 
     found = chunks.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInPandas(best, kinds)
     first = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "id")

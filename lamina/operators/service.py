@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.config import Settings
-from lamina.functions.rules import CompanyRules
+from lamina.functions.rules import REGISTRY, CompanyRules
 from lamina.operators import checks, embedding, jobs, retrieval
 from lamina.operators.chunking import chunks
 from lamina.operators.cleaning import post_process
@@ -25,6 +25,11 @@ class Question:
     policy_id: str | None = None
     sigla: str | None = None
 
+    @staticmethod
+    def of(text: str, settings: Settings, **more: object) -> Question:
+        """With the settings' limits."""
+        return Question(text, **({"top_k": settings.top_k, "threshold": settings.threshold} | more))
+
     def __post_init__(self) -> None:
         if not 3 <= len(self.text.strip()) <= 2000:
             raise ValueError("a question has 3 to 2000 characters")
@@ -63,7 +68,7 @@ def ingest(docs: DataFrame, known: DataFrame, folder: str, batch: int, factory:
     spark = docs.sparkSession
     hashed = split_off(docs, text)
     fresh = jobs.new_documents(hashed.where(F.col("error").isNull()), known, key=key)
-    clean = embedding.facts(post_process(fresh, text, company, settings.most_blank_lines), extractor, text, most=settings.facts_chars)
+    clean = embedding.facts(post_process(fresh, text, company, settings.most_blank_lines, REGISTRY.switched(off=filter(None, settings.rules_off.split(","))), least=settings.spaced_share, share=settings.repetition_share), extractor, text, most=settings.facts_chars)
     status = F.coalesce(F.col("status"), F.lit("success")) if "status" in docs.columns else F.lit("success")
     codes = checks.validation_codes(status, F.col(text), F.lit(0), F.lit(0), F.col("context.errors"))
     with Store(spark, folder).begin(batch) as tx:
@@ -104,6 +109,13 @@ def ask(chunk_table: DataFrame, question: Question, factory: Callable[[], embedd
     return retrieval.answer(hits.withColumn("label", retrieval.label(meta, index)), question.text, complete)
 
 
+def document_types(pages: DataFrame, settings: Settings = Settings(), key: str = "doc_id", page: str = "page_no", chars: str = "n_chars") -> DataFrame:
+    """:func:`checks.document_types` of the pages that the settings let be probed, by their limits."""
+    total = pages.groupBy(key).agg(F.count("*").cast("int").alias("_total"))
+    probed = pages.join(total, key).where(F.array_contains(checks.sampled_pages(F.col("_total"), settings.pdf_sample_pages), F.col(page).cast("int")))
+    return checks.document_types(probed, key, chars, settings.pdf_min_chars, settings.pdf_scanned_share, pages.select(key))
+
+
 def metrics(events: DataFrame, policies: DataFrame) -> DataFrame:
     """One row over the metric log: totals, pages, tables, mean seconds of the last 1000, stored policies."""
     totals = events.agg(F.count("*").alias("jobs"), F.count_if(F.col("status").isin("COMPLETED", "SKIPPED")).alias("succeeded"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.coalesce(F.sum("tables"), F.lit(0)).alias("tables"))

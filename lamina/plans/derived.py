@@ -181,3 +181,40 @@ def table_split_digest(spark, sf):
     rows = F.transform(F.sequence(F.lit(0), (k % 40).cast("int")), lambda i: F.concat(F.lit("| "), F.lpad(i.cast("string"), 4, "0"), F.lit(" | "), F.lpad(k.cast("string"), 19, "0"), F.lit(" |")))
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("| Fila | Dato |\n|---|---|\n"), F.array_join(rows, "\n")).alias("text"))
     return chunking.chunks(docs, name=F.lit("d.pdf"), size=350).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+# -- lookup and facts ------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed w') OR contains(lower(p_name), 'ing')")
+def name_lookup(spark, sf):
+    """Parts whose name holds one of two strings, by an index of three-letter runs stored in two batches."""
+    from lamina.operators.lookup import NameIndex
+
+    parts, store = table(spark, sf, "part"), Store(spark, own_folder(spark, "names"))
+    index = NameIndex(store)
+    for batch in range(2):
+        with store.begin(batch) as tx:
+            index.append(tx, parts.where(F.pmod("p_partkey", F.lit(2)) == batch), "p_name")
+    return index.find(parts, "ED w", "p_name").unionByName(index.find(parts, "ing", "p_name")).distinct().select("p_partkey", "p_name")
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS k, lang, source, length(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN k IN (0, 1, 2, 3) THEN source END AS asegurado, CASE WHEN k IN (0, 1) THEN CAST(n AS VARCHAR) END AS numero_poliza, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE -1 END AS n_coberturas, CASE WHEN k IN (0, 1) THEN lang WHEN k = 2 THEN lang || '2' END AS condicion,
+    CASE k WHEN 2 THEN 'numero_poliza,coberturas' WHEN 3 THEN 'numero_poliza,coberturas' ELSE '' END AS rejected FROM d""")
+def facts_parsed(spark, sf):
+    """Model answers made of each document's own fields: plain, fenced, wrongly typed, cut off, and no JSON at all."""
+    from lamina.operators.embedding import parsed_facts
+
+    k, q = F.col("doc_id") % 5, F.col
+    n = F.length("text").cast("string")
+    plain = F.concat(F.lit('{"asegurado": "'), q("source"), F.lit('", "numero_poliza": '), n, F.lit(', "tomador": null, "coberturas": [{"nombre": "a", "limite": 5}'))
+    answer = (
+        F.when(k == 0, F.concat(plain, F.lit(', {"nombre": "b"}], "condiciones": ["'), q("lang"), F.lit('", "z"]}')))
+        .when(k == 1, F.concat(F.lit("Aquí está:\n```json\n"), plain, F.lit('], "condiciones": ["'), q("lang"), F.lit('"]}\n```\nListo.')))
+        .when(k == 2, F.concat(F.lit('{"asegurado": "'), q("source"), F.lit('", "numero_poliza": {"a": 1}, "coberturas": "ninguna", "condiciones": "'), q("lang"), F.lit('2"}')))
+        .when(k == 3, F.concat(F.lit('{"asegurado": "'), q("source"), F.lit('", "numero_poliza": "12'), F.lit('34, "coberturas": [{"nom')))
+        .otherwise(F.lit("No hay datos."))
+    )
+    got = table(spark, sf, "documents").select("doc_id", parsed_facts(answer).alias("p"))
+    return got.select("doc_id", "p.facts.asegurado", "p.facts.numero_poliza", F.coalesce(F.size("p.facts.coberturas"), F.lit(-1)).alias("n_coberturas"), F.get("p.facts.condiciones", 0).alias("condicion"), F.array_join("p.rejected", ",").alias("rejected"))

@@ -75,27 +75,114 @@ def find_stored(stored: DataFrame, wanted: str) -> DataFrame:
     return stored.where(exact | part).orderBy(F.when(exact, 0).otherwise(1), "source_path").limit(1)
 
 
+class RuleFileError(ValueError):
+    """A line of a rule file that can't be read."""
+
+
 def parse_simple(text: str) -> dict:
-    """A small part of YAML: scalars, inline lists and block lists of scalars."""
-    out: dict = {}
-    key = None
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+    """The part of YAML that rule files are written in: maps, lists and maps in lists nested by indentation, scalars, inline lists, comments. Anything else is an error that names the line."""
+    lines = []
+    for n, raw in enumerate(text.splitlines(), 1):
+        bare = without_comment(raw)
+        if bare.strip() and bare.strip() != "---":
+            if "\t" in bare[: len(bare) - len(bare.lstrip())]:
+                raise RuleFileError(f"line {n}: indented by a tab")
+            lines.append((len(bare) - len(bare.lstrip()), bare.strip(), n))
+    if not lines:
+        return {}
+    out, end = parse_block(lines, 0, lines[0][0])
+    if end < len(lines):
+        raise RuleFileError(f"line {lines[end][2]}: indented less than the first one")
+    if not isinstance(out, dict):
+        raise RuleFileError(f"line {lines[0][2]}: not a map")
+    return out
+
+
+def without_comment(line: str) -> str:
+    """Up to a # that starts the line or follows a blank, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and (i == 0 or line[i - 1] in " \t[,:"):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i].rstrip()
+    return line.rstrip()
+
+
+KEY_LINE = re.compile(r"""("[^"]*"|'[^']*'|[^\s:#\[\]{}&*!|>'"%@`][^:#]*?)\s*:(?:\s+(.*))?$""")
+
+
+def parse_block(lines: list[tuple[int, str, int]], at: int, depth: int) -> tuple[object, int]:
+    """The map or list whose lines are indented by ``depth``, and where it ends."""
+    listed = lines[at][1].startswith("- ") or lines[at][1] == "-"
+    out: dict | list = [] if listed else {}
+    while at < len(lines) and lines[at][0] == depth:
+        _, body, n = lines[at]
+        if listed:
+            if not (body.startswith("- ") or body == "-"):
+                break
+            rest = body[1:].lstrip()
+            inner = depth + len(body) - len(rest)
+            if KEY_LINE.match(rest) or rest.startswith("- "):  # a map or list that begins on the dash's line
+                value, at = parse_block([*lines[:at], (inner, rest, n), *lines[at + 1 :]], at, inner)
+            else:
+                value, at = parse_value(lines, at, rest, depth, n)
+            out.append(value)
+            continue
+        found = KEY_LINE.match(body)
+        if not found:
+            raise RuleFileError(f"line {n}: neither a key nor a list's item")
+        key = found[1].strip().strip("\"'")
+        if key in out:
+            raise RuleFileError(f"line {n}: {key} is there already")
+        out[key], at = parse_value(lines, at, found[2] or "", depth, n)
+    if at < len(lines) and lines[at][0] > depth:
+        raise RuleFileError(f"line {lines[at][2]}: indented more than the lines before it")
+    return out, at
+
+
+def parse_value(lines: list[tuple[int, str, int]], at: int, rest: str, depth: int, n: int) -> tuple[object, int]:
+    """What stands behind a key or a dash: a scalar, an inline list, or the block below, which may be a list as deep as its key."""
+    if rest:
+        if rest[0] in "&*!|>{%@`" or rest.startswith("? "):
+            raise RuleFileError(f"line {n}: {rest[0]} isn't read here")
+        return (inline(rest, n) if rest.startswith("[") else scalar(rest)), at + 1
+    if at + 1 < len(lines):
+        below = lines[at + 1]
+        if below[0] > depth or below[0] == depth and below[1].startswith("- ") and not lines[at][1].startswith("-"):
+            return parse_block(lines, at + 1, below[0])
+    return None, at + 1
+
+
+def inline(text: str, n: int) -> list:
+    """[a, "b, c", [d]]: an inline list."""
+    if not text.endswith("]"):
+        raise RuleFileError(f"line {n}: an inline list that doesn't end")
+    out, part, quote, depth = [], "", "", 0
+    for c in text[1:-1] + ",":
+        if c == "," and not quote and not depth:
+            if part.strip():
+                out.append(inline(part.strip(), n) if part.strip().startswith("[") else scalar(part.strip()))
+            part = ""
             continue
-        if key is not None and re.match(r"\s*-\s+", line):
-            out[key] = [*(out[key] or []), scalar(line.strip()[1:].strip())]
-        elif (m := re.match(r"([\w-]+)\s*:\s*(.*)", line)) is not None:
-            key, value = m[1], m[2].strip()
-            out[key] = [scalar(v.strip()) for v in value[1:-1].split(",") if v.strip()] if value.startswith("[") and value.endswith("]") else scalar(value) if value else None
+        quote = ("" if c == quote else quote) if quote else c if c in "\"'" and not part.strip() else ""
+        depth += 0 if quote else (c == "[") - (c == "]")
+        part += c
+    if quote or depth:
+        raise RuleFileError(f"line {n}: an inline list that doesn't end")
     return out
 
 
 def scalar(text: str) -> object:
-    bare = text.strip().strip("\"'")
-    if bare != text.strip():
-        return bare
-    known = {"true": True, "false": False, "null": None}
-    return known[bare.lower()] if bare.lower() in known else int(bare) if re.fullmatch(r"-?\d+", bare) else bare
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1]
+    known = {"true": True, "false": False, "null": None, "~": None}
+    if text.lower() in known:
+        return known[text.lower()]
+    return int(text) if re.fullmatch(r"[-+]?(0|[1-9]\d*)", text) else float(text) if re.fullmatch(r"[-+]?\d+\.\d*", text) else text
 
 
 def parse_yaml(text: str) -> dict:
@@ -103,7 +190,10 @@ def parse_yaml(text: str) -> dict:
         import yaml
     except ImportError:
         return parse_simple(text)
-    return yaml.safe_load(text) or {}
+    try:
+        return yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise RuleFileError(str(e)) from e
 
 
 def parse_rules(markdown: str) -> CompanyRules:

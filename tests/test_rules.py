@@ -1,5 +1,7 @@
 """Rules that carry state, on small texts."""
 
+import pytest
+
 from lamina.functions import rules as R
 from lamina.functions.chunks import blocks, chunk, policy_code, sections, split_table, split_text
 
@@ -121,3 +123,64 @@ def test_chunks():
     assert len(parents) == 3 and all(c.content.startswith("[Póliza: ABC-12345 | Documento: doc") for c in parents)
     assert [c.index for c in out if c.kind == "child"] and all(c.parent_id == parents[0].chunk_id for c in out if c.kind == "child")
     assert chunk("") == [] and chunk(None) == [] and chunk(text, "doc.pdf")[0].chunk_id == out[0].chunk_id
+
+
+def test_rule_registry(spark):
+    """Switching a rule off is the text without it; order follows from constraints; cycles, unknown and repeated names are refused."""
+    from lamina.operators import cleaning
+
+    assert [n for n, _ in R.REGISTRY.steps()] == ["unspace", "drop_ghosts", "format_forms", "clean_tables", "drop_repeated"] == [n for n, _ in R.STANDARD]
+    text = "E s t o es a s í\n\n| A | B | B |\n|---|---|---|\n| 1 | x | x |\nPágina 1 de 2\n" + "palabra " * 20
+    for name in ("unspace", "clean_tables", "drop_repeated"):
+        got = R.run(text, R.REGISTRY.switched(off=[name]).steps())[0]
+        assert got == R.run(text, tuple(s for s in R.STANDARD if s[0] != name))[0] != R.run(text)[0]
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        assert cleaning.post_process(df, registry=R.REGISTRY.switched(off=[name])).first().text.strip() == got.strip()
+    mark = lambda c: lambda t, n: t + c
+    made = R.Registry([R.Rule("c", mark("c"), ("a", "b")), R.Rule("b", mark("b"), ("a",), enabled=False), R.Rule("a", mark("a")), R.Rule("d", mark("d"))])
+    assert R.run("x", made.steps())[0] == "xacd" and R.run("x", made.switched(on=["b"]).steps())[0] == "xabcd"
+    for bad in (lambda: made.add(R.Rule("a", mark("a"))), lambda: made.switched(off=["z"]), lambda: R.Registry([R.Rule("a", mark("a"), ("b",)), R.Rule("b", mark("b"), ("a",))]).steps(), lambda: R.Registry([R.Rule("a", mark("a"), ("z",))]).steps()):
+        with pytest.raises(ValueError):
+            bad()
+    assert R.unspaced_line("a b c dd ee ff gg hh", 0.9) == "a b c dd ee ff gg hh" != R.unspaced_line("a b c dd ee", 0.4)
+
+
+def test_rule_files_with_and_without_a_library():
+    from lamina.sources import files
+
+    yaml = pytest.importorskip("yaml")
+    text = """
+# comment
+sigla: CRI   # behind
+empresa: "A # b: c"
+normalize_dates: true
+kv_keys: [Ramo, "Suma, total", 'x']
+header_patterns:
+- '^PIE'
+- "a: b"
+vacio:
+lista:
+  - - a
+    - b
+  - c
+table_column_alignment_fixes:
+  - id: uno
+    header_pattern: [A, B]
+    expected_columns: 4
+    insert_at_index: -1
+    nested:
+      deep: {}
+  - id: dos
+    trigger_columns:
+      - X
+      - Y
+    fill_value: "0.00"
+    rate: 1.5
+""".replace("{}", "ja")
+    assert files.parse_simple(text) == yaml.safe_load(text)
+    rules = "---\nsigla: CRI\n---\n```yaml\n" + text.replace("sigla: CRI   # behind\n", "") + "```\n"
+    assert files.parse_rules(rules).fixes[1]["trigger_columns"] == ["X", "Y"] and files.parse_rules(rules).kv_keys == ("Ramo", "Suma, total", "x")
+    for bad in ("a: 1\n  b: 2\n", "a: |\n  text\n", "just words\n", "a: {b: 1}\n", "\ta: 1\n", "a: [1, 2\n", "- a\n", "a: 1\na: 2\n", "  a: 1\nb: 2\n"):
+        with pytest.raises(files.RuleFileError, match="line"):
+            files.parse_simple(bad)
+    assert files.parse_simple("") == {} == files.parse_simple("# nothing\n")

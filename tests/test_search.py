@@ -76,3 +76,42 @@ def test_ingest_appends_a_segment_that_ask_reads(spark, tmp_path):
     for index in (None, TextIndex(store)):
         got = service.ask(table, service.Question("póliza vencida"), factory, lambda q, c: c.split("\n")[0], settings=s, index=index).first()
         assert got.found and got.answer == "Uno"
+
+
+def test_names_by_their_parts(spark, tmp_path):
+    from lamina.operators.lookup import NameIndex
+
+    names = ["/data/CRI/Poliza 12.pdf", "/data/ALI/poliza-13.pdf", "/x/abcabc.md", "/x/bcabca.md", None, "ab"]
+    stored = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, source_path string")
+    store = Store(spark, str(tmp_path))
+    index = NameIndex(store)
+    with store.begin(0) as tx:
+        index.append(tx, stored)
+    for wanted, want in (("POLIZA", {0, 1}), ("za 12", {0}), ("abcabc", {2}), ("nothing", set()), (".md", {2, 3})):
+        assert {r.id for r in index.find(stored, wanted).collect()} == want
+    assert index.first(stored, "poliza").first().id == 1
+    assert {r.name for r in index.candidates("abcabc").collect()} == {names[2], names[3]}  # pruned, not yet compared
+    with pytest.raises(ValueError):
+        index.candidates("ab")
+    plan = index.candidates("poliza")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder#\d+ IN", plan) and re.search(r"PushedFilters: \[[^\]]*gram", plan)
+
+
+def test_facts_of_odd_answers(spark):
+    from lamina.operators.embedding import parsed_facts
+
+    cases = {
+        '{"asegurado": "A \\"B\\"", "numero_poliza": 7, "coberturas": [], "condiciones": ["x"]}': ('A "B"', "7", 0, ["x"], []),
+        '```json\n{"asegurado": true}\n```': ("true", None, None, None, []),
+        'text before {"asegurado": "A"': (None, None, None, None, ["asegurado"]),
+        '{"asegurado": "A", "numero_poliza": "1", "condiciones": ["x", "y': ("A", "1", None, None, ["condiciones"]),
+        '{"asegurado": {"n": 1}, "coberturas": 5, "condiciones": "one"}': (None, None, None, ["one"], ["asegurado", "coberturas"]),
+        '{"asegurado": null}': (None, None, None, None, []),
+        '["asegurado"]': (None, None, None, None, ["asegurado"]),
+        "": (None, None, None, None, []),
+        None: (None, None, None, None, []),
+    }
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(cases)], "i int, a string").select("i", parsed_facts(F.col("a")).alias("p"))
+    for r, (answer, want) in zip(df.orderBy("i").collect(), cases.items(), strict=True):
+        f = r.p.facts
+        assert (f.asegurado, f.numero_poliza, None if f.coberturas is None else len(f.coberturas), f.condiciones, r.p.rejected) == want, answer
