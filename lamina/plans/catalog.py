@@ -178,14 +178,16 @@ def document_label(spark, sf):
     return table(spark, sf, "documents").select("doc_id", _labels().alias("label"))
 
 
-@query(f"""SELECT string_agg({LABELLED} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, doc_id) AS context, count(*) AS n_hits
-    FROM (SELECT *, 1.0 / (1 + doc_id) AS score FROM documents ORDER BY doc_id LIMIT 5)""")
+@query(f"""WITH {CHUNKS}{MATCH}{COVER}{RANKS}{HITS} SELECT string_agg({LABELLED} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY round(score, 9) DESC, doc_id) AS context, count(*) AS n_hits FROM final JOIN documents ON doc_id = id""")
 def context_string(spark, sf):
-    few = table(spark, sf, "documents").orderBy("doc_id").limit(5)
-    return retrieval.context(few.select(F.col("doc_id").alias("id"), _labels().alias("label"), F.col("text").alias("content"), (F.lit(1.0) / (1 + F.col("doc_id"))).alias("score")))
+    """The context of a search's hits, labelled and best first."""
+    hits = retrieval.search(chunk_table(spark, sf), asked(spark, sf), QUESTION).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "content")
+    named = hits.join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return retrieval.context(named.select(F.col("doc_id").alias("id"), _labels().alias("label"), "content", "score"))
 
 
-@query(f"SELECT 'nothing here' AS question, '{retrieval.NO_HITS}' AS answer, false AS found")
+@query(rf"""WITH w AS (SELECT list_distinct(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS w FROM documents), n AS (SELECT count(*) AS n FROM w WHERE list_contains(w, 'qqqq') AND list_contains(w, 'zzzz'))
+SELECT 'nothing here' AS question, CASE WHEN n = 0 THEN '{retrieval.NO_HITS}' END AS answer, n > 0 AS found FROM n""")
 def answer_without_hits(spark, sf):
     none = retrieval.match_all(chunk_table(spark, sf), "qqqq zzzz").select("id", F.col("tf").alias("score"), F.lit("").alias("label"), F.lit("").alias("content"))
     return retrieval.answer(none, "nothing here")
@@ -278,9 +280,18 @@ def sigla_from_path(spark, sf):
     return table(spark, sf, "part").select("p_partkey", skills.sigla_of_path(path).alias("sigla"), valid_upload(path).alias("valid"))
 
 
-@query("SELECT company_sigla, length(company_sigla) AS n FROM (VALUES ('ALI'), ('ALV'), ('BIS'), ('FOV'), ('CRI'), ('CRG'), ('CRP'), ('FOR'), ('LBC'), ('LBP'), ('VIT'), ('MSC'), ('NPF'), ('NVS'), ('UNI'), ('UBI')) t(company_sigla)")
+#: Paths of documents, of a known company by their number or of none.
+SIGLAS = ", ".join(f"'{c}'" for c in [*sorted(skills.COMPANIES), "XXX", "ABC"])
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_extract([{SIGLAS}], CAST(length(text) % {len(skills.COMPANIES) + 2} + 1 AS BIGINT)) AS c, length(text) AS n FROM documents)
+SELECT c AS company_sigla, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chars FROM p WHERE c NOT IN ('XXX', 'ABC') GROUP BY c""")
 def company_registry(spark, sf):
-    return skills.registry(spark).select("company_sigla", F.length("company_sigla").cast("long").alias("n"))
+    """Documents and letters of each company of the registry, by the paths that the documents lie under; paths of no company count nowhere."""
+    names = F.array(*[F.lit(c) for c in [*sorted(skills.COMPANIES), "XXX", "ABC"]])
+    d = table(spark, sf, "documents").select(F.length("text").alias("n"), F.concat(F.lit("in/"), F.lower(F.get(names, F.length("text") % (len(skills.COMPANIES) + 2))), F.lit("/"), F.col("doc_id"), F.lit(".pdf")).alias("path"))
+    found = d.select("n", skills.sigla_of_path(F.col("path")).alias("company_sigla"))
+    return skills.registry(spark).join(found, "company_sigla").groupBy("company_sigla").agg(F.count("*").alias("n_documents"), F.sum("n").cast("long").alias("n_chars"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '---' || chr(10) || text || '<!-- page break -->z' ELSE text END AS t FROM documents),
@@ -389,10 +400,15 @@ def kv_key_gaps(spark, sf):
     return skills.top_keys(skills.key_gaps(skills.key_counts(_keyed(spark, sf), most=None), spark.createDataFrame([("Ramo",)], "key string")))
 
 
-@query(r"""SELECT doc_id, 'ABC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS policy_code, CAST(2 AS BIGINT) AS n FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, repeat('ABC - ' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || ' ', doc_id % 3) || repeat('ZZ-9999 ', doc_id % 4) || 'QQ-1X2Y ABC-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || ' x' || chr(10) || text AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(t, '\b([A-Z]{2,5}\s*-\s*[A-Z0-9]{4,15})\b', 1)), '\s*-\s*', '-') AS policy_code FROM t)
+SELECT doc_id, policy_code, n FROM (SELECT doc_id, policy_code, count(*) AS n FROM c GROUP BY doc_id, policy_code) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, policy_code) = 1""")
 def policy_code_mode(spark, sf):
-    code = F.lpad(F.col("doc_id").cast("string"), 6, "0")
-    return chunking.policy_codes(table(spark, sf, "documents").select("doc_id", F.concat(F.lit("ABC - "), code, F.lit(" ZZ-9999 ABC-"), code, F.lit(" x\n"), F.coalesce("text", F.lit(""))).alias("text")))
+    """Codes of which now one and now another is the most frequent, before each text."""
+    k = F.col("doc_id")
+    code = F.lpad(k.cast("string"), 6, "0")
+    lead = F.concat(F.repeat(F.concat(F.lit("ABC - "), code, F.lit(" ")), (k % 3).cast("int")), F.repeat(F.lit("ZZ-9999 "), (k % 4).cast("int")), F.lit("QQ-1X2Y ABC-"), code, F.lit(" x\n"))
+    return chunking.policy_codes(table(spark, sf, "documents").select("doc_id", F.concat(lead, F.coalesce("text", F.lit(""))).alias("text")))
 
 
 def _chunks(spark, sf):
@@ -414,7 +430,7 @@ def chunk_stats(spark, sf):
     return chunking.stats(_chunks(spark, sf))
 
 
-@query("SELECT doc_id, length(text) > 0 AS has_text, CAST(1 AS BIGINT) AS n_tables FROM documents")
+@query(r"""SELECT doc_id, length(text) > 0 AS has_text, 1 + CAST(len(regexp_extract_all(text, '(?m)^\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)+\|?$')) AS BIGINT) AS n_tables FROM documents""")
 def table_chunks(spark, sf):
     n = _chunks(spark, sf).where(F.contains("content", F.lit("| --- |")) | F.contains("content", F.lit("|---|"))).groupBy("doc_id").agg(F.count("*").alias("n_tables"))
     return table(spark, sf, "documents").join(n, "doc_id").select("doc_id", (F.length("text") > 0).alias("has_text"), "n_tables")
@@ -450,11 +466,22 @@ def fid_column_mixing(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(checks.column_mixing(F.col("text")), 6).alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM documents")
+def integrity_sql(source: str) -> str:
+    """CTEs that end in whole (doc_id, s): the share of even tables, from runs of rows among the lines of ``source`` (doc_id, t)."""
+    return rf"""tl AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM {source}),
+ti AS (SELECT doc_id, unnest(ls[1:len(ls) - 1]) AS x, generate_subscripts(ls[1:len(ls) - 1], 1) AS i FROM tl),
+tr AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ti WHERE starts_with(x, '|') AND ends_with(x, '|') AND length(x) > 2),
+tt AS (SELECT doc_id, count(DISTINCT length(x) - length(replace(x, '|', ''))) = 1 AS even, max(CASE WHEN i > first AND regexp_full_match(x, '\|[-:| ]+\|') THEN 1 ELSE 0 END) AS mark
+    FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, run) AS first FROM tr) GROUP BY doc_id, run),
+whole AS (SELECT tl.doc_id, CASE WHEN contains(any_value(t), '|' || chr(10) || '|') THEN coalesce(count(*) FILTER (mark = 1 AND even) / nullif(count(*) FILTER (mark = 1), 0), 1.0) ELSE 1.0 END::DOUBLE AS s FROM tl LEFT JOIN tt USING (doc_id) GROUP BY tl.doc_id)""".replace("\\\\", "\\")
+
+
+@query(f"""WITH given AS (SELECT doc_id, repeat('| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || chr(10), doc_id % 4) || repeat('| a | b |' || chr(10) || '|:-|-:|' || chr(10) || '| 1 |' || chr(10) || 'x' || chr(10), doc_id % 3) || '|-|' || chr(10) || '|y|' || chr(10) || text AS t FROM documents), {integrity_sql('given')}
+SELECT doc_id, round(s, 6) AS score FROM whole""")
 def fid_table_integrity(spark, sf):
-    good, bad = "| a | b |\n|---|---|\n| 1 | 2 |\n\n", "| a | b |\n|---|---|\n| 1 |\n\n"
-    t = F.when(F.col("doc_id") % 2 == 0, F.lit(good + "x\n")).otherwise(F.lit(good + bad))
-    return table(spark, sf, "documents").select("doc_id", checks.table_integrity(F.concat(t, F.coalesce("text", F.lit("")))).alias("score"))
+    good, bad, k = "| a | b |\n|---|---|\n| 1 | 2 |\n\n", "| a | b |\n|:-|-:|\n| 1 |\nx\n", F.col("doc_id")
+    t = F.concat(F.repeat(F.lit(good), (k % 4).cast("int")), F.repeat(F.lit(bad), (k % 3).cast("int")), F.lit("|-|\n|y|\n"))
+    return table(spark, sf, "documents").select("doc_id", F.round(checks.table_integrity(F.concat(t, F.coalesce("text", F.lit("")))), 6).alias("score"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) > 10) AS l FROM documents), n AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(l) AS x FROM l) GROUP BY 1, 2),
@@ -481,13 +508,12 @@ def fid_reference_f1(spark, sf):
     return d.select("doc_id", F.when(F.col("reference").isNotNull(), F.round(checks.overlap_f1(F.col("text"), F.col("reference")), 6)).alias("score"))
 
 
-#: Texts with tables are checked by fid_table_integrity and the tests; the given ones hold none.
-REPORT = f"""WITH l AS (SELECT doc_id, text, list_filter({LINES}, lambda x: x <> '') AS f, list_filter({LINES}, lambda x: length(x) > 10) AS g FROM documents),
+REPORT = f"""WITH given AS (SELECT doc_id, text AS t FROM documents), {integrity_sql('given')}, l AS (SELECT doc_id, text, list_filter({LINES}, lambda x: x <> '') AS f, list_filter({LINES}, lambda x: length(x) > 10) AS g FROM documents),
 n AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(g) AS x FROM l) GROUP BY 1, 2), c AS (SELECT doc_id, 1.0 - count(*) FILTER (n > 5) / count(*) AS s FROM n GROUP BY 1),
 s AS (SELECT doc_id, CASE WHEN length({STRIPPED.format('text')}) > 100 THEN 1.0 ELSE 0.0 END::DOUBLE AS a, least(1.0, len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+.+')) / 5.0)::DOUBLE AS b,
-    CASE WHEN len(f) < 20 THEN 1.0 ELSE 1.0 - len(list_filter(f, lambda x: length(x) < 20)) / len(f) END::DOUBLE AS c, coalesce(c.s, 1.0)::DOUBLE AS d, CASE WHEN length(text) > 200 THEN 1.0 ELSE 0.3 END::DOUBLE AS e FROM l LEFT JOIN c USING (doc_id)),
-p AS (SELECT *, [a >= 1.0, b >= 0.2, c > 0.7, d >= 0.9, e >= 1.0] AS p FROM s)
-SELECT doc_id, round((round(a, 6) + round(b, 6) + round(c, 6) + 1.0 + round(d, 6) + round(e, 6)) / 6, 6) AS score, len(list_filter(p, lambda x: NOT x)) = 0 AS passed, len(list_filter(p, lambda x: NOT x)) AS n_failed FROM p"""
+    CASE WHEN len(f) < 20 THEN 1.0 ELSE 1.0 - len(list_filter(f, lambda x: length(x) < 20)) / len(f) END::DOUBLE AS c, coalesce(c.s, 1.0)::DOUBLE AS d, CASE WHEN length(text) > 200 THEN 1.0 ELSE 0.3 END::DOUBLE AS e, whole.s AS i FROM l LEFT JOIN c USING (doc_id) JOIN whole USING (doc_id)),
+p AS (SELECT *, [a >= 1.0, b >= 0.2, c > 0.7, i >= 1.0, d >= 0.9, e >= 1.0] AS p FROM s)
+SELECT doc_id, round((round(a, 6) + round(b, 6) + round(c, 6) + round(i, 6) + round(d, 6) + round(e, 6)) / 6, 6) AS score, len(list_filter(p, lambda x: NOT x)) = 0 AS passed, len(list_filter(p, lambda x: NOT x)) AS n_failed FROM p"""
 
 
 @query(REPORT)
@@ -495,11 +521,14 @@ def fid_report(spark, sf):
     return checks.fidelity_report(checks.fidelity(table(spark, sf, "documents")))
 
 
-@query("""SELECT doc_id, count(*) AS n_pages, round(avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END), 6) AS scanned_share,
-    CASE WHEN avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END) = 0 THEN 'digital' WHEN avg(CASE WHEN n < 50 THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'scanned' ELSE 'hybrid' END AS pdf_type
-    FROM (SELECT page_id // 4 AS doc_id, length(html) % 150 AS n FROM pages) GROUP BY 1""")
+@query("""WITH p AS (SELECT page_id // 4 AS doc_id, CASE WHEN page_id // 4 % 10 <> 0 AND page_id % 7 <> 0 THEN least(length(regexp_replace(html, '<[^>]*>', '', 'g')), page_id // 4 % 5 * 30 + page_id % 4 * 20) END AS n FROM pages),
+s AS (SELECT doc_id, count(*) AS n_pages, avg(CASE WHEN coalesce(n, 0) < 50 THEN 1.0 ELSE 0.0 END) AS share, count(n) AS readable FROM p GROUP BY 1)
+SELECT doc_id, n_pages, round(share, 6) AS scanned_share, CASE WHEN readable = 0 THEN 'unknown' WHEN share = 0 THEN 'digital' WHEN share >= 0.5 THEN 'scanned' ELSE 'hybrid' END AS pdf_type FROM s""")
 def pdf_type_class(spark, sf):
-    return checks.document_types(table(spark, sf, "pages").select(F.expr("page_id div 4").alias("doc_id"), (F.length("html") % 150).alias("n_chars")))
+    """Four pages at a time as a document, by the letters between their tags; some pages are cut short, some can't be read."""
+    k = F.expr("page_id div 4")
+    letters = F.least(F.length(F.regexp_replace("html", "<[^>]*>", "")), (k % 5 * 30 + F.col("page_id") % 4 * 20).cast("int"))
+    return checks.document_types(table(spark, sf, "pages").select(k.alias("doc_id"), F.when((k % 10 != 0) & (F.col("page_id") % 7 != 0), letters).alias("n_chars")))
 
 
 @query("""WITH t AS (SELECT doc_id, CAST(doc_id % 60 AS INTEGER) AS n FROM documents)
@@ -509,11 +538,14 @@ def page_sample(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(checks.sampled_pages(n), lambda i: i.cast("string")), ",").alias("sample"))
 
 
-@query("""SELECT * FROM (VALUES ('CRI', 'Póliza,Ramo,Vigencia', 'x,y', true), ('ALI', 'Póliza,Ramo', 'x', false)) t(sigla, kv_keys, header_patterns, normalize_dates)""")
+@query("""WITH g AS (SELECT list(n_name ORDER BY n_name) AS k FROM nation WHERE n_regionkey < 2), o AS (SELECT s_nationkey, list(DISTINCT n_name ORDER BY n_name) AS k, list(DISTINCT s_name ORDER BY s_name) AS h, count(*) AS c FROM supplier JOIN nation ON n_regionkey = s_nationkey % 5 GROUP BY 1)
+SELECT CAST(s_nationkey AS VARCHAR) AS sigla, array_to_string(list_concat(g.k, list_filter(o.k, lambda x: NOT list_contains(g.k, x))), ',') AS kv_keys, array_to_string(list_concat(['x'], h), ',') AS header_patterns, c % 2 = 0 OR c % 3 = 0 AS normalize_dates FROM o, g""")
 def skill_merge(spark, sf):
-    fields = "sigla string, estado string, kv_keys array<string>, header_patterns array<string>, normalize_dates boolean"
-    general = spark.createDataFrame([("GENERAL", "activo", ["Póliza", "Ramo"], ["x"], True)], fields)
-    own = spark.createDataFrame([("CRI", "draft", ["Ramo", "Vigencia"], ["y", "x"], False), ("ALI", "activo", [], [], False)], fields)
+    """Rule sets by nation, of its suppliers' names and of the nations of a region, merged with general ones; those of an odd number of suppliers are finished."""
+    nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    general = nation.where("n_regionkey < 2").agg(F.array_sort(F.collect_list("n_name")).alias("kv_keys")).select(F.array(F.lit("x")).alias("header_patterns"), "kv_keys", F.lit(True).alias("normalize_dates"))
+    c = F.count("*")
+    own = supplier.join(nation.select("n_name", "n_regionkey"), F.col("n_regionkey") == F.col("s_nationkey") % 5).groupBy(F.col("s_nationkey").cast("string").alias("sigla")).agg(F.array_sort(F.collect_set("n_name")).alias("kv_keys"), F.array_sort(F.collect_set("s_name")).alias("header_patterns"), F.when(c % 2 == 0, "draft").otherwise("activo").alias("estado"), (c % 3 == 0).alias("normalize_dates"))
     m = skills.merge_tables(general, own)
     return m.select("sigla", F.array_join("kv_keys", ",").alias("kv_keys"), F.array_join("header_patterns", ",").alias("header_patterns"), "normalize_dates")
 

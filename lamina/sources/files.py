@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+import signal
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lamina.functions.rules import CompanyRules
 from lamina.operators.skills import sigla_of_path
@@ -42,23 +46,47 @@ def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("path", "length", "content", sigla_of_path(F.col("path")).alias("company_sigla"), F.sha2("content", 256).alias("file_hash"))
 
 
-def extract(files: DataFrame, extractor: Extractor) -> DataFrame:
-    """One row per file; a file on which the extractor fails becomes a failed row with the error."""
+@contextmanager
+def limited(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in what runs longer."""
+    if not seconds:
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"longer than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract(files: DataFrame, extractor: Extractor, seconds: float | None = None) -> DataFrame:
+    """One row per file, sorted by path; a file on which the extractor fails, or takes more than ``seconds``, becomes a failed row with the error.
+
+    Files come to tasks by their bytes (the reader packs them by size), one file is in memory at a time, and what is sorted are the results: no content is shuffled.
+    """
     names = [f.split()[0] for f in EXTRACTED.split(", ")]
     blank = {"status": "success", "markdown": "", "page_count": 0, "tables_detected": 0, "figures_detected": 0, "ocr_used": False, "errors": [], "warnings": []}
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content, digest in zip(pdf["path"], pdf["content"], pdf["file_hash"], strict=True):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, content, digest = (c[i].as_py() for c in b.columns)
                 try:
-                    got = blank | extractor(bytes(content), path)
+                    with limited(seconds):
+                        got = blank | extractor(content, path)
                 except Exception as e:  # noqa: BLE001  a bad file must not end the job
                     got = blank | {"status": "failed", "errors": [f"{type(e).__name__}: {e}"]}
-                rows.append(got | {"document_id": digest})
-            yield pd.DataFrame(rows, columns=names)
+                row = got | {"document_id": digest, "path": path}
+                yield pa.RecordBatch.from_pylist([{n: row[n] for n in ("path", *names)}], schema=kinds)
 
-    return files.select("path", "content", "file_hash").mapInPandas(run, EXTRACTED)
+    kinds = to_arrow_schema(StructType.fromDDL(f"path string, {EXTRACTED}"))
+    return files.select("path", "content", "file_hash").mapInArrow(run, f"path string, {EXTRACTED}").orderBy("path")
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,3 +157,58 @@ def test_job_states_are_an_ordered_fold(spark):
             refused += 1
         want[job] = state, since, n + 1, refused
     assert {r.job_id: (r.state, r.since, r.n_events, r.n_refused) for r in jobs.states(events).collect()} == want
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    """Ingest a folder, look at the jobs, find a document, ask."""
+    import sys
+    import types
+
+    from lamina.__main__ import main
+
+    module = types.ModuleType("stand_in")
+    module.factory = lambda: lambda texts: [[1.0, float(len(t))] for t in texts]
+    monkeypatch.setitem(sys.modules, "stand_in", module)
+    monkeypatch.setenv("LAMINA_EMBEDDING_DIM", "2")
+    folder, store = tmp_path / "md", str(tmp_path / "store")
+    (folder / "CRI").mkdir(parents=True)
+    (folder / "CRI" / "uno.md").write_text("# Uno\n" + "Las pólizas vencidas no cubren robos. " * 9)
+    (folder / "dos.md").write_text("# Dos\n" + "Otra cosa del todo. " * 9)
+    assert main(["ingest", store, "0", str(folder), "stand_in:factory"]) == 0
+    assert main(["ingest", store, "1", str(folder), "stand_in:factory"]) == 0
+    assert capsys.readouterr().out.count("COMPLETED") == 2
+    assert main(["jobs", store]) == 0
+    told = capsys.readouterr().out
+    assert told.count("COMPLETED") == 2 and told.count("SKIPPED") == 2
+    assert main(["find", store, "UNO"]) == 0 and "uno.md" in capsys.readouterr().out
+    assert main(["ask", store, "stand_in:factory", "póliza vencida"]) == 0 and "pólizas vencidas" in capsys.readouterr().out
+    assert main(["check", str(folder)]) == 0 and main(["rules", str(folder)]) == 0
+    assert main([]) == 2 and main(["ingest", store]) == 2
+
+
+def test_extraction_keeps_order_and_isolates_failures(spark, tmp_path):
+    """One large file among many small ones: a row for each, by path, with failures and timeouts as rows."""
+    import time
+
+    from lamina.sources import files
+
+    for i in range(12):
+        (tmp_path / f"{i:02d}.pdf").write_bytes(b"x" * (2_000_000 if i == 3 else 10 + i))
+
+    def extractor(content, path):
+        if path.endswith("05.pdf"):
+            raise ValueError("not a document")
+        if path.endswith("07.pdf"):
+            time.sleep(30)
+        return {"markdown": str(len(content)), "page_count": 1}
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        pdfs = files.read_pdfs(spark, str(tmp_path))
+        assert pdfs.rdd.getNumPartitions() > 1
+        rows = files.extract(pdfs, extractor, seconds=1.5).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.path[-6:-4] for r in rows] == [f"{i:02d}" for i in range(12)]
+    assert {r.path[-6:-4]: (r.status, *r.errors) for r in rows if r.status != "success"} == {"05": ("failed", "ValueError: not a document"), "07": ("failed", "TimeoutError: longer than 1.5 s")}
+    assert rows[3].markdown == "2000000"
