@@ -923,6 +923,32 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert 8 not in want and 5 not in want and 6 not in want and 4 in want
 
 
+def test_pipeline_with_trained_models_against_plain_python(spark, sf):
+    """The whole run on a labelled table against its stages one by one in plain Python, with models fitted on what each stage is given."""
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [tuple(r) for r in docs.collect()]
+    scorer = toxicity.fit(docs, labels).compiled()
+    assert scorer.model != toxicity.seed_model()
+    left = [r for r in rows if scorer.score(r[1]) < 0.5]
+    model = quality.fit(spark.createDataFrame(left, docs.schema), labels)
+    assert model.content and len(left) < len(rows)
+    left = [r for r, s in zip(left, model.scores(*[[r[i] for r in left] for i in (1, 2, 3)]), strict=True) if s >= corpus_pipeline.LEAST_QUALITY]
+    heads = {k for _, k, _ in brute([(r[0], r[1]) for r in left])[0]}
+    lib, want = reference("word_bpe_49k.json"), {}
+    for k, t, *_ in left:
+        if k in heads:
+            at, out = 0, ""
+            for a, _, b in all_spans(t, 400):
+                if b > at:
+                    out += t[at:a] + "[SECRET]"
+                    at = b
+            want[k] = len(lib.encode(out + t[at:], add_special_tokens=False).ids) + 1
+    got = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == want and 0 < len(want) < len(left)
+
+
 def test_stages_keep_the_columns(spark, sf):
     import corpus_pipeline
 
