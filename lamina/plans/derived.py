@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.functions import rules as R
-from lamina.operators import chunking, cleaning, jobs, retrieval, service
-from lamina.plans.catalog import CHUNKS, STATUS, chunk_table, own_folder, query, table
+from lamina.operators import checks, chunking, cleaning, jobs, retrieval, service
+from lamina.plans.catalog import CHUNKS, REPORT, STATUS, chunk_table, own_folder, query, table
 from lamina.sources.store import Store
 
 # -- jobs and ingestion --------------------------------------------------------------------------------------
@@ -218,3 +218,27 @@ def facts_parsed(spark, sf):
     )
     got = table(spark, sf, "documents").select("doc_id", parsed_facts(answer).alias("p"))
     return got.select("doc_id", "p.facts.asegurado", "p.facts.numero_poliza", F.coalesce(F.size("p.facts.coberturas"), F.lit(-1)).alias("n_coberturas"), F.get("p.facts.condiciones", 0).alias("condicion"), F.array_join("p.rejected", ",").alias("rejected"))
+
+
+# -- fidelity with page counts and references --------------------------------------------------------------------
+
+FULL = (
+    REPORT.replace("CASE WHEN length(text) > 200 THEN 1.0 ELSE 0.3 END::DOUBLE AS e", "CASE WHEN doc_id % 4 > 0 THEN least(1.0, length(text) / (doc_id % 4) / 500.0) WHEN length(text) > 200 THEN 1.0 ELSE 0.3 END::DOUBLE AS e, text")
+    .partition("\np AS (SELECT")[0]
+    + r"""
+ref AS (SELECT text AS r, row_number() OVER (ORDER BY item_id) - 1 AS n, count(*) OVER () AS c FROM benchmark),
+words AS (SELECT s.*, CASE WHEN doc_id % 3 > 0 THEN list_distinct(list_filter(regexp_split_to_array(lower(r), '\s+'), lambda x: x <> '')) END AS rw, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS tw FROM s JOIN ref ON ref.n = doc_id % ref.c),
+f1 AS (SELECT *, CASE WHEN rw IS NULL THEN NULL WHEN len(rw) = 0 THEN 1.0 ELSE coalesce(2.0 * len(list_intersect(tw, rw)) / nullif(len(tw) + len(rw), 0), 0.0) END::DOUBLE AS o FROM words),
+p AS (SELECT *, list_filter([a >= 1.0, b >= 0.2, c > 0.7, i >= 1.0, d >= 0.9, CASE WHEN doc_id % 4 > 0 THEN e >= 0.2 ELSE e = 1.0 END, o >= 0.7], lambda x: x IS NOT NULL) AS p FROM f1)
+SELECT doc_id, round((round(a, 6) + round(b, 6) + round(c, 6) + round(i, 6) + round(d, 6) + round(e, 6) + coalesce(round(o, 6), 0)) / (6 + CASE WHEN o IS NULL THEN 0 ELSE 1 END), 6) AS score, len(list_filter(p, lambda x: NOT x)) = 0 AS passed, len(list_filter(p, lambda x: NOT x)) AS n_failed FROM p"""
+)
+
+
+@query(FULL)
+def fid_report_full(spark, sf):
+    """All checks of all documents, with page counts where they are known and, for two thirds, a reference text dealt over the whole of ``benchmark``."""
+    ref = checks.dense(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("reference")), "item_id").select(F.col("number").alias("item"), "reference")
+    n = ref.agg(F.count("*").alias("n_items"))
+    d = table(spark, sf, "documents").join(F.broadcast(n), F.lit(True)).withColumn("item", F.expr("try_mod(doc_id, n_items)")).join(ref, "item", "left")
+    long = checks.fidelity(d, pages=F.col("doc_id") % 4, reference=F.when(F.col("doc_id") % 3 > 0, F.col("reference")))
+    return checks.fidelity_report(long)
