@@ -205,7 +205,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         rows = list(fitting((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), train_chars))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[0] for r in rows], [r[1] for r in rows], **how))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.mapInArrow(tidy(run), "model binary").collect()[0].model)
+    found = sample.mapInArrow(tidy(run), "model binary").collect()
+    return pickle.loads(found[0].model) if found else Model([], np.zeros((2, 0), np.float32), np.zeros(0))
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

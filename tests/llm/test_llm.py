@@ -923,6 +923,24 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert 8 not in want and 5 not in want and 6 not in want and 4 in want
 
 
+def test_recall_of_links_near_the_threshold(spark):
+    """Pairs of similarities from 0.80 to 0.95, half of them under 0.85, none above, so that the forest isn't told by others how far to shorten: links found of those there are."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(500):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(60)]
+        other = list(words)
+        for at in rng.sample(range(60), 1 if i % 2 else rng.choice((1, 1, 2))):
+            other[at if i % 2 == 0 else rng.choice((0, 1, 2, 57, 58, 59))] = "".join(rng.choices("qrstuvwxyz", k=6))
+        a, b = ({tuple(w[k : k + 5]) for k in range(56)} for w in (words, other))
+        want[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    linked = {i for i, s in want.items() if s >= 0.8}
+    assert 200 < len(linked) and sum(want[i] < 0.85 for i in linked) > 0.2 * len(linked)
+    got = {r.doc_id // 2 for r in near.join(spark.createDataFrame(rows, "doc_id long, text string")).where("links > 0").collect()}
+    assert got <= linked and len(got) >= 0.995 * len(linked), (len(got), len(linked))
+
+
 def test_pipeline_with_trained_models_against_plain_python(spark, sf):
     """The whole run on a labelled table against its stages one by one in plain Python, with models fitted on what each stage is given."""
     import corpus_pipeline
