@@ -63,7 +63,7 @@ def test_keys_with_marks_and_digits(spark):
 
 
 def test_planted_queries_read_the_texts(spark, tmp_path):
-    sf = stored(spark, tmp_path, documents=([(2, "QRS-4444\n" * 3), (4, "| a | b |\n|---|---|\n| 1 |\n"), (5, "prose")], "doc_id long, text string"))
+    sf = stored(spark, tmp_path, documents=([(2, "QRS-4444\n" * 5 + "\n| a | b |\n|---|---|\n| 1 | 2 |\n"), (4, "| a | b |\n|---|---|\n| 1 |\n"), (5, "prose")], "doc_id long, text string"))
     codes = {r.doc_id: (r.policy_code, r.n) for r in catalog.QUERIES["policy_code_mode"](spark, sf).collect()}
-    assert codes == {2: ("QRS-4444", 3), 4: ("ABC-000004", 2), 5: ("ABC-000005", 2)}
-    assert {r.doc_id: r.score for r in catalog.QUERIES["fid_table_integrity"](spark, sf).collect()} == {2: 1.0, 4: 0.5, 5: 0.5}
+    assert codes == {2: ("QRS-4444", 5), 4: ("ABC-000004", 2), 5: ("ABC-000005", 3)}
+    assert {r.doc_id: r.score for r in catalog.QUERIES["fid_table_integrity"](spark, sf).collect()} == {2: 0.6, 4: 0.0, 5: 0.333333}
