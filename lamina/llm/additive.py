@@ -5,11 +5,13 @@ another to the residuals of a bounded sample (k-means, ``sample_rows`` rows), th
 squares; codes come from beam search. The index holds every row: its codes, the norm of its reconstruction, the row's extent along
 it, and the norm of what stands across it. A query makes one table of inner products
 with all codewords; the sum of a row's entries is the query's inner product with the reconstruction, and by the stored norm the query's part
-along it, whose share of the score is exact. What is unknown is the product of what is left of both, whose spread is
-|q'| |r| / sqrt(d - 1). Rows whose score plus ``width`` spreads reaches the threshold are scored exactly on the original vectors. The
-threshold is the ``top``-th best exact score so far: of the sample (shared by all shards), or of the shard's most promising rows. Copies of a query leave out the
-same as the query does; where the most promising rows show that, their error takes the place of the spread. The set to rerank
-has no cap, so groups of near copies are ranked exactly too.
+along it, whose share of the score is exact. What is unknown is the product of what is left of both,
+at most |q'| |r|, with its sign: no row whose score plus that stays below the threshold can be among the best, whatever the rows are like, and all others are scored
+exactly on the original vectors. The
+threshold is the ``top``-th best exact score so far: of the sample (shared by all shards), or of the shard's most promising rows. The set to rerank
+has no cap, so groups of near copies are ranked exactly too. A finite ``width`` takes ``width`` spreads |q'| |r| / sqrt(d - 1) in place of the bound: fewer rows are scored, but
+what is left of rows of few dimensions among many isn't spread like that, and true neighbours are missed. Copies of a query leave out the
+same as the query does; where the most promising rows show that, their error takes the place of the spread.
 
 Work is a stated query set against all rows: each shard of ``shard_rows`` rows is one block, and the queries stream past it.
 A length of vectors that isn't the sample's most frequent one is searched exactly, among its like.
@@ -158,40 +160,57 @@ class Shard:
         back = model.decode(codes)
         norm = np.linalg.norm(back, axis=1)
         along = np.einsum("ij,ij->i", x, back) / np.where(norm > 0, norm, 1)  # the row's extent along its reconstruction
-        left = np.sqrt(np.maximum(0, (x**2).sum(1) - along**2))
+        left = np.linalg.norm(x - (along / np.where(norm > 0, norm, 1))[:, None] * back, axis=1)
         return Shard(own, x, codes.astype(np.uint8), norm, along, left, {int(w): of(w) for w in np.unique(n) if w != d})
 
-    def search(self, model: AdditiveQuantiser, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int, width: float) -> tuple[list[tuple[int, int, float]], int]:
-        """(query, key, exact score) of the best rows, and how many rows were scored exactly."""
+    def search(self, model: AdditiveQuantiser, ids: np.ndarray, q: np.ndarray, floors: np.ndarray, top: int, width: float = np.inf) -> tuple[list[tuple[int, int, float]], int]:
+        """(query, key, exact score) of the best rows, and how many rows the codes didn't rule out."""
         tables, out, reranked = model.tables(q), [], 0
+        # sums of single precision in units of the largest they can be, so that they don't overflow and their error is known
+        unit = np.abs(tables).max(axis=1).sum(axis=0)
+        unit = np.where(unit > 0, unit, 1)
         inner = np.zeros((len(self.codes), len(q)), np.float32)
         for b in range(self.codes.shape[1]):
-            inner += tables[b].astype(np.float32)[self.codes[:, b]]
-        part = inner / np.where(self.norm > 0, self.norm, 1).astype(np.float32)[:, None]  # the query's part along each reconstruction
+            inner += (tables[b] / unit).astype(np.float32)[self.codes[:, b]]
+        inner, rounding = np.ascontiguousarray(inner.T), (len(tables) + 1) * 2.0**-23
+        per_norm = np.where(self.norm > 0, 1 / np.where(self.norm > 0, self.norm, 1), 0)
+        size_q, doubles = np.linalg.norm(q, axis=1), 4 * q.shape[1] * np.finfo(float).eps
+        slack = doubles * np.hypot(self.along, self.left)  # what rounding in double precision can do, for a query of length 1
+        kept = np.zeros(inner.shape, bool)
         for j in range(len(q)):
-            p, other = part[:, j], self.keys != ids[j]
+            other = self.keys != ids[j]
+            p, off = inner[j] * (unit[j] * per_norm), rounding * unit[j] * per_norm  # the query's part along each reconstruction, and its error
             rough = p * self.along
-            unknown = self.left * np.sqrt(np.maximum(0, q[j] @ q[j] - p.astype(float) ** 2))
+            unknown = self.left * np.sqrt(np.maximum(0, size_q[j] ** 2 - np.maximum(0, np.abs(p) - off) ** 2))
             # the most promising rows' exact scores bound the k-th best from below
             first = np.flatnonzero(other)
             if len(first) > 2 * top:
                 first = first[np.argpartition(-rough[first], 2 * top)[: 2 * top]]
             exact = scored(self.x[first], q[j])
             bar = max(floors[j], kth(exact, top))
-            # copies of the query leave out what the query leaves out: then the error is no chance, and as large as with these rows
-            aligned = np.quantile((exact - rough[first]) / (unknown[first] + 1e-12), 0.75) if len(first) else 0.0
-            e = max(width / np.sqrt(max(1, q.shape[1] - 1)), min(1.0, 1.05 * aligned)) * unknown + 1e-6 * (1 + np.abs(rough))
-            near = (rough + e >= bar) & other
-            near[first] = True
-            found = np.flatnonzero(near)
+            share = 1.0
+            if np.isfinite(width):
+                # copies of the query leave out what the query leaves out: then the error is no chance, and as large as with these rows
+                aligned = np.quantile((exact - rough[first]) / (unknown[first] + 1e-12), 0.75) if len(first) else 0.0
+                share = min(1.0, max(width / np.sqrt(max(1, q.shape[1] - 1)), 1.05 * aligned))
+            e = share * unknown + off * np.abs(self.along) + size_q[j] * slack
+            kept[j] = ~(rough + e < bar) & other  # what isn't a number rules nothing out
+            kept[j, first] = True
+        # rows that some query keeps are multiplied at once; of these products a query takes its own rows', and the best, ties included, are scored row by row
+        some = np.flatnonzero(kept.any(axis=0))
+        products = q @ self.x[some].T
+        for j in range(len(q)):
+            mine = np.flatnonzero(kept[j, some])
+            reranked += len(mine)
+            found, about = some[mine], products[j, mine]
+            found = found[~(about < kth(about, top) - 2 * size_q[j] * slack[found].max(initial=0))]
             exact = scored(self.x[found], q[j])
-            reranked += len(found)
             order = np.lexsort((self.keys[found], -exact))[:top]
             out += zip([int(ids[j])] * len(order), self.keys[found[order]].tolist(), exact[order].tolist(), strict=True)
         return out, reranked
 
 
-def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20, width: float = 2.5, shard_rows: int = 16384, sample_rows: int = 8192, books: int = 24, words: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", top: int = 20, width: float = np.inf, shard_rows: int = 16384, sample_rows: int = 8192, books: int = 24, words: int = 64) -> DataFrame:
     """(query_id, rank, ``key``, score) of every row of which ``is_query`` (over column ``k``) holds."""
     rows = usable(vectors, key, vector).where(F.exists("v", lambda x: x != 0))
     fitted = fit(rows, sample_rows, books, words)
@@ -204,12 +223,13 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
 
     def floors(batches):
         # the k-th best exact score among the sample, less what rounding can do
+        longest = np.linalg.norm(sample, axis=1).max()
         for b in batches:
             v = [np.asarray(x, float) for x in b.column(1).to_pylist()]
             bars = []
             for k, q in zip(b.column(0).to_pylist(), v, strict=True):
                 bar = kth(sample[keys != k] @ q, top) if len(q) == d else -np.inf
-                bars.append(bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else -np.inf)
+                bars.append(bar - 8 * d * np.finfo(float).eps * longest * np.linalg.norm(q) if np.isfinite(bar) else -np.inf)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bars, pa.float64())], names=["k", "v", "floor"])
 
     told = cut(asked.mapInArrow(tidy(floors), "k long, v array<double>, floor double"))

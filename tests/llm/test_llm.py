@@ -741,6 +741,30 @@ def test_additive_quantiser_recall(spark):
     assert additive.nearest(df.where("false"), F.col("k") == 0).count() == balltree.top_k(df.where("false"), F.col("k") == 0).count() == 0
 
 
+def test_additive_quantiser_misses_none_of_rows_in_few_dimensions(spark):
+    """Rows that fill 60 of 400 dimensions: what the codes leave out is far larger along them than in a direction drawn at random."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 60)) @ rng.normal(size=(60, 400))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = additive.nearest(df, F.col("k") % 100 == 0, shard_rows=800, sample_rows=700, books=6).collect()
+    mine = {i: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] for i in range(0, 1500, 100)}
+    assert mine == {i: ranked_by(x, np.arange(1500), i, 20, lambda x, q: np.einsum("ij,j->i", x, q)) for i in mine}
+
+
+def test_no_row_is_ruled_out_that_is_nearest():
+    """Whatever the scale of the rows, above what single precision holds too, and with copies at the edge."""
+    rng = np.random.default_rng(7)
+    for x in (rng.normal(size=(900, 32)) * 1e30, rng.integers(-1, 2, size=(900, 32)) + 0.0, rng.normal(size=(900, 32)) * np.exp(2 * rng.normal(size=(900, 1))) * 1e-9, np.repeat(rng.normal(size=(30, 32)), 30, axis=0)):
+        keys = rng.permutation(900)
+        model = additive.AdditiveQuantiser.fit(x[:300], 6, 16)
+        shard = additive.Shard.build(pd.DataFrame({"k": keys, "v": list(x)}), model)
+        found, n = shard.search(model, keys[:30], x[:30], np.full(30, -np.inf), 10, np.inf)
+        for i in range(30):
+            want = ranked_by(x, keys, i, 10, lambda x, q: np.einsum("ij,j->i", x, q))
+            assert [(k, s) for a, k, s in found if a == keys[i]] == want
+        assert n <= 30 * 900
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = np.random.default_rng(1).normal(size=(600, 12))
     model = additive.AdditiveQuantiser.fit(x, 4, 16)
