@@ -31,7 +31,8 @@ def post_process(docs: DataFrame, text: str = "text", company: R.CompanyRules |
 
     ``registry``: other rules, or the standard ones switched on or off; ``options`` go to the rules that take them (``least``, ``share``).
     """
-    done = docs.withColumn("_c", cleaner(company, (registry or R.REGISTRY).steps(**options))(newlines(F.coalesce(F.col(text), F.lit("")))))
+    # marked so that the columns that follow from it don't make the plan run the rules for each of them
+    done = docs.withColumn("_c", cleaner(company, (registry or R.REGISTRY).steps(**options)).asNondeterministic()(newlines(F.coalesce(F.col(text), F.lit("")))))
     n = F.coalesce(F.try_element_at("_c.counts", F.lit("repeated_lines")), F.lit(0))
     ctx = F.struct("_c.applied", "_c.errors", "_c.counts", F.expr("coalesce(try_element_at(_c.counts, 'repeated_lines'), 0) div 2").alias("headers_removed"), (n - F.floor(n / 2)).cast("long").alias("footers_removed"))
     return done.withColumn(text, fewer_blanks(F.col("_c.text"), most_blank)).withColumn("context", ctx).drop("_c")

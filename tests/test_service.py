@@ -212,3 +212,15 @@ def test_extraction_keeps_order_and_isolates_failures(spark, tmp_path):
     assert [r.path[-6:-4] for r in rows] == [f"{i:02d}" for i in range(12)]
     assert {r.path[-6:-4]: (r.status, *r.errors) for r in rows if r.status != "success"} == {"05": ("failed", "ValueError: not a document"), "07": ("failed", "TimeoutError: longer than 1.5 s")}
     assert rows[3].markdown == "2000000"
+
+
+def test_rules_run_once_for_a_document(spark):
+    """However many columns follow from them: of the cleaned text, its facts and the codes."""
+    from lamina.operators import checks, cleaning
+
+    docs = service.split_off(spark.createDataFrame([(1, "a\nb", "cri")], "doc_id int, text string, company_sigla string"))
+    fresh = jobs.new_documents(docs.where(F.col("error").isNull()), spark.createDataFrame([], "file_hash string"))
+    clean = embedding.facts(cleaning.post_process(fresh))
+    codes = checks.validation_codes(F.lit("success"), F.col("text"), F.lit(0), F.lit(0), F.col("context.errors"))
+    plan = clean.withColumn("codes", codes).drop("context", "error")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(") == 2, plan  # the rules and the facts
