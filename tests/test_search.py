@@ -65,6 +65,26 @@ def test_stored_index_ranks_like_a_scan(spark, chunks, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*folder#\d+ IN \(|PartitionFilters: \[[^\]]*folder#\d+ INSET", plan) and "In(term" in plan
 
 
+def test_a_segment_names_each_chunk_once(spark, tmp_path):
+    """Not with each of its words, so that a segment is smaller than the texts; equal chunks, which have one id, count together, and merging changes nothing."""
+    import hashlib
+
+    texts = [" ".join(f"palabra{(i * j) % 397}" for j in range(150)) for i in range(400)] + ["", None, "de la", "robo póliza robo robos"]
+    rows = [(hashlib.sha256(str(t).encode()).hexdigest(), t) for t in [*texts, texts[5], texts[-1]]]
+    c = spark.createDataFrame(rows, "id string, content string").repartition(3)
+    store = Store(spark, str(tmp_path))
+    index = TextIndex(store)
+    with store.begin(0) as tx:
+        index.append(tx, c)
+    files = [f for f in (tmp_path / "postings").rglob("*.parquet")]
+    assert sum(f.stat().st_size for f in files) < sum(len(t or "") for t in texts)
+    held = lambda df: sorted((r.term, r.id, r.tf, tuple(r.positions)) for r in df.collect())
+    want = held(retrieval.stemmed(retrieval.postings(c)))
+    assert held(index.live()) == want
+    index.merge()
+    assert held(index.live()) == want
+
+
 def test_ingest_appends_a_segment_that_ask_reads(spark, tmp_path):
     factory = lambda: lambda texts: [[1.0, float(len(t))] for t in texts]
     docs = spark.createDataFrame([(1, "# Uno\n" + "Las pólizas vencidas no cubren el robo. " * 9, "cri"), (2, "# Dos\n" + "Nada de eso. " * 9, "ali")], "doc_id int, text string, company_sigla string")
